@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlens.functions.labels import REGIMES, SCARCITY_REGIMES
-from gridlens.functions.numbers import ratio
+from gridlens.functions.numbers import ratio, share
 from gridlens.functions.timeparts import is_winter
 from gridlens.operators.distribution import exact_quantiles
-from gridlens.operators.quality import share_by
 
 # Fuels compared, share of the plan that counts as a miss, low-output quantile.
 FUELS = {
@@ -48,20 +47,23 @@ def _flag(condition: Column) -> Column:
 
 def with_fuel_flags(mix: DataFrame) -> DataFrame:
     """Miss flags (at most 80 % of plan) and low flags (at most the 25 % quantile of the region)."""
-    wind = exact_quantiles(mix, ["region"], "WindMW_RT", {"_wind_low": LOW_QUANTILE}, "nearest")
-    gas = exact_quantiles(mix, ["region"], "GasMW_RT", {"_gas_low": LOW_QUANTILE}, "nearest")
+    outputs = ["WindMW_RT", "GasMW_RT"]
+    long = mix.select("region", *outputs).unpivot("region", outputs, "_fuel", "_mw")
+    cuts = exact_quantiles(long, ["region", "_fuel"], "_mw", {"_low": LOW_QUANTILE}, "nearest")
+    wide = cuts.groupBy("region").agg(
+        *[F.max(F.when(F.col("_fuel") == c, F.col("_low"))).alias(f"_low_{c}") for c in outputs]
+    )
     return (
-        mix.join(wind, "region", "left")
-        .join(gas, "region", "left")
+        mix.join(wide, "region", "left")
         .withColumns(
             {
                 "WindMissFlag": _flag(F.col("WindMW_PctDiff") <= MISS_SHARE),
                 "GasMissFlag": _flag(F.col("GasMW_PctDiff") <= MISS_SHARE),
-                "LowWindFlag": _flag(F.col("WindMW_RT") <= F.col("_wind_low")),
-                "LowGasFlag": _flag(F.col("GasMW_RT") <= F.col("_gas_low")),
+                "LowWindFlag": _flag(F.col("WindMW_RT") <= F.col("_low_WindMW_RT")),
+                "LowGasFlag": _flag(F.col("GasMW_RT") <= F.col("_low_GasMW_RT")),
             }
         )
-        .drop("_wind_low", "_gas_low")
+        .drop(*[f"_low_{c}" for c in outputs])
     )
 
 
@@ -86,10 +88,11 @@ def regime_by_temperature(df: DataFrame, flags_in_denominator: bool = True) -> D
 
 
 def fuel_mix_by_temperature(df: DataFrame) -> DataFrame:
-    """Average real-time output and its percent per fuel, with the scarcity share."""
+    """Average real-time output and its percent per fuel, with the scarcity share; one pass."""
     rows = df.where(F.col("TemperatureBucket").isNotNull())
     averages = rows.groupBy("TemperatureBucket").agg(
-        *[F.avg(f"{fuel}MW_RT").alias(f"avg_{fuel}MW_RT") for fuel in MIX]
+        *[F.avg(f"{fuel}MW_RT").alias(f"avg_{fuel}MW_RT") for fuel in MIX],
+        (share(F.col("regime").isin(*SCARCITY_REGIMES)) * 100).alias("ScarcityPct"),
     )
     total = F.lit(0.0)
     for fuel in MIX:
@@ -98,12 +101,7 @@ def fuel_mix_by_temperature(df: DataFrame) -> DataFrame:
         f"{fuel}Pct_RT": F.round(ratio(F.col(f"avg_{fuel}MW_RT"), F.col("TotalAvgMW_RT")) * 100, 2)
         for fuel in MIX
     }
-    scarce = {"ScarcityPct": F.col("regime").isin(*SCARCITY_REGIMES)}
-    return (
-        averages.withColumn("TotalAvgMW_RT", total)
-        .withColumns(percents)
-        .join(share_by(rows, "TemperatureBucket", scarce), "TemperatureBucket")
-    )
+    return averages.withColumn("TotalAvgMW_RT", total).withColumns(percents)
 
 
 def pct_of_seasonal_avg(df: DataFrame, value: str, out: str, ts: str = "start_time") -> DataFrame:

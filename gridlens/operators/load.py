@@ -39,9 +39,9 @@ def load_long(report: DataFrame, measure: str) -> DataFrame:
 
 
 def load_wide(long: DataFrame, zones: dict[str, str] = ZONES) -> DataFrame:
-    """One row per hour, one column per zone, mean of repeated reports."""
-    wide = long.groupBy("Datetime").pivot("zone", list(zones)).agg(F.avg("load"))
-    return wide.withColumnsRenamed(zones)
+    """One row per hour, one column per zone, mean of repeated reports; one aggregation."""
+    means = [F.avg(F.when(F.col("zone") == z, F.col("load"))).alias(c) for z, c in zones.items()]
+    return long.groupBy("Datetime").agg(*means)
 
 
 def load_tables(report: DataFrame, zones: dict[str, str] = ZONES) -> tuple[DataFrame, DataFrame]:

@@ -93,10 +93,12 @@ def regime_duration_stats(durations: DataFrame) -> DataFrame:
     return basic.join(middle, keys)
 
 
-def duration_matrix(stats: DataFrame) -> DataFrame:
+def duration_matrix(durations: DataFrame) -> DataFrame:
     """Average duration by node with one column per regime, rounded to one digit."""
-    wide = stats.groupBy("node").pivot("regime", list(REGIMES)).agg(F.first("avg_duration"))
-    return wide.select("node", *[F.round(F.col(r), 1).alias(r) for r in REGIMES])
+    counter = F.col("consecutive_regime_hours")
+    return durations.groupBy("node").agg(
+        *[F.round(F.avg(F.when(F.col("regime") == r, counter)), 1).alias(r) for r in REGIMES]
+    )
 
 
 def longest_runs(durations: DataFrame, top: int = 10) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.functions.numbers import NORMAL_Z05, ratio, sample_kurtosis, sample_skewness
+from gridlens.functions.numbers import NORMAL_Z05, ratio, sample_kurtosis, sample_skewness, share
 from gridlens.operators.distribution import equal_width_histogram, exact_quantiles
 
 
@@ -54,6 +54,13 @@ METRICS = (
 )
 
 
+# Metrics set side by side by tail_compare.
+COMPARED = {
+    "mean": "Mean_Spread", "median": "Median_Spread", "var": "Left_Tail_Threshold",
+    "cvar": "CVaR_Left_Tail", "worst": "_worst", "skewness": "_skewness_pop", "kurtosis": "_kurtosis_pop",
+}
+
+
 def cvar_price(metrics: DataFrame, keys: Sequence[str], mw: Column, hours: Column) -> DataFrame:
     """Price of a right under the tail scenario, under the mean, and their difference."""
     tail = F.col("CVaR_Value") * mw * hours
@@ -87,35 +94,35 @@ def histogram_tail(
 
 
 def tail_compare(
-    history: DataFrame, event: DataFrame, keys: Sequence[str], value: str, confidence: float = 0.95
+    df: DataFrame, keys: Sequence[str], value: str, sample: str, confidence: float = 0.95
 ) -> DataFrame:
-    """Centre, tail and shape of an event sample against history, per group."""
-    def side(df: DataFrame, name: str) -> DataFrame:
-        m = cvar_metrics(df, keys, value, confidence)
-        return m.select(
-            *keys,
-            F.col("Mean_Spread").alias(f"{name}_mean"),
-            F.col("Median_Spread").alias(f"{name}_median"),
-            F.col("Left_Tail_Threshold").alias(f"{name}_var"),
-            F.col("CVaR_Left_Tail").alias(f"{name}_cvar"),
-            F.col("_worst").alias(f"{name}_worst"),
-            F.col("_skewness_pop").alias(f"{name}_skewness"),
-            F.col("_kurtosis_pop").alias(f"{name}_kurtosis"),
-        )
+    """Centre, tail and shape of an event sample against history, per group.
 
-    past, now = side(history, "hist"), side(event, "event")
+    Column ``sample`` is ``hist`` or ``event``; groups need rows of both.
+    """
+    metrics = cvar_metrics(df, [*keys, sample], value, confidence)
+    sides = [
+        F.max(F.when(F.col(sample) == side, F.col(column))).alias(f"{side}_{name}")
+        for side in ("hist", "event")
+        for name, column in COMPARED.items()
+    ]
+    wide = metrics.groupBy(*keys).agg(*sides)
     x = F.col(value)
-    beyond = (
-        event.where(x.isNotNull())
-        .join(past.select(*keys, "hist_var", "hist_cvar"), list(keys))
+    names = [c for c in wide.columns if c not in keys]
+    compared = (
+        df.where((F.col(sample) == "event") & x.isNotNull())
+        .select(*keys, value)
+        .join(wide, list(keys))
+        .where(F.col("hist_mean").isNotNull())
         .groupBy(*keys)
         .agg(
-            F.avg((x <= F.col("hist_cvar")).cast("int")).alias("share_beyond_hist_cvar"),
-            F.avg((x <= F.col("hist_var")).cast("int")).alias("share_beyond_hist_var"),
+            *[F.any_value(n).alias(n) for n in names],
+            share(x <= F.col("hist_cvar")).alias("share_beyond_hist_cvar"),
+            share(x <= F.col("hist_var")).alias("share_beyond_hist_var"),
             F.count(x).alias("event_hours"),
         )
     )
-    return past.join(now, list(keys)).join(beyond, list(keys)).withColumns(
+    return compared.withColumns(
         {
             "mean_shift": F.col("event_mean") - F.col("hist_mean"),
             "cvar_gap": F.col("event_cvar") - F.col("hist_cvar"),

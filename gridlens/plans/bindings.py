@@ -120,7 +120,7 @@ def part_auction(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_type").alias("Type"),
         F.when(F.col("p_size") <= 25, PEAK).otherwise(OFF_PEAK).alias("Class"),
         F.col("p_size").cast("double").alias("MW"),
-        F.col("p_retailprice").alias("ClearingPrice"),
+        (F.col("p_retailprice") / 7).alias("ClearingPrice"),
     )
 
 
@@ -292,7 +292,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
  substr('ANR', ((p_partkey % 3 + 1 + (p_partkey // 3) % 2) % 3)::INTEGER + 1, 1) AS Sink,
  '12/1/' || (1997 + p_size % 3) AS StartDate, '2/28/' || (1998 + p_size % 3) AS EndDate, p_type AS Type,
  CASE WHEN p_size <= 25 THEN 'Peak' ELSE 'Off-peak' END AS Class, p_size::DOUBLE AS MW,
- p_retailprice AS ClearingPrice, (1997 + p_size % 3)::INTEGER AS season FROM part""",
+ p_retailprice / 7 AS ClearingPrice, (1997 + p_size % 3)::INTEGER AS season FROM part""",
     ),
     "positions": (
         ("auction",),

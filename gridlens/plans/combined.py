@@ -5,34 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.operators.fuel import fuel_mix_compare, pct_of_seasonal_avg, with_fuel_flags
-from gridlens.operators.prices import dart_table, with_regime, with_regime_durations
+from gridlens.operators.fuel import pct_of_seasonal_avg
+from gridlens.operators.prices import with_regime, with_regime_durations
 from gridlens.operators.weather import weather_features
+from gridlens.session import stage
 
 
-def regime_table(da: DataFrame, rt: DataFrame) -> DataFrame:
-    return with_regime_durations(with_regime(dart_table(da, rt)))
-
-
-def fuel_features(da: DataFrame, rt: DataFrame, region: str) -> DataFrame:
-    """Fuel comparison with flags of one region, by hour."""
-    picked = [df.where(F.col("region") == region) for df in (da, rt)]
-    return with_fuel_flags(fuel_mix_compare(*picked)).drop("region")
-
-
-def combined_dataset(
-    da: DataFrame, rt: DataFrame, expost: DataFrame, weather: DataFrame, fuel: DataFrame
-) -> DataFrame:
+def combined_dataset(dart: DataFrame, expost: DataFrame, weather: DataFrame, fuel: DataFrame) -> DataFrame:
     """Node hours with hourly features joined on time and the ex-post price on the key.
 
-    ``weather`` and ``fuel`` hold one row per hour; Spark broadcasts them when they are
-    small enough and shuffles otherwise.
+    ``dart`` is the joined price table; ``weather`` (UTC) and ``fuel`` (flagged comparison
+    of one region) hold one row per hour. Spark broadcasts the hourly tables when they are
+    small enough and shuffles otherwise. The joined rows are stored once, because the wind
+    percentage needs their winter mean.
     """
     prices = expost.select("node", "start_time", F.col("lmp").alias("lmp_da_expost"))
     joined = (
-        regime_table(da, rt)
+        with_regime_durations(with_regime(dart))
         .join(weather_features(weather), "start_time", "left")
         .join(fuel, "start_time", "left")
         .join(prices, ["node", "start_time"], "left")
     )
-    return pct_of_seasonal_avg(joined, "WindMW_RT", "WindMW_RT_PctOfSeasonalAvg")
+    stored = stage(joined, "combined")
+    return pct_of_seasonal_avg(stored, "WindMW_RT", "WindMW_RT_PctOfSeasonalAvg")

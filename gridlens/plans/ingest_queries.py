@@ -453,7 +453,7 @@ def parquet_scan(spark, sf_dir):
 @query(
     "csv_rounds",
     sql("auction", f"""SELECT Source, Sink, Class, StartDate, count(*) AS awards, sum(MW) AS mw,
- {r('sum(ClearingPrice::DECIMAL(18,2))::DOUBLE')} AS price_sum FROM auction GROUP BY ALL"""),
+ {r('sum(ClearingPrice)', 4)} AS price_sum FROM auction GROUP BY ALL"""),
 )
 def csv_rounds(spark, sf_dir):
     """Auction rounds written as CSV, read back in one scan and aggregated."""
@@ -468,9 +468,9 @@ def csv_rounds(spark, sf_dir):
     rows = read_auctions(spark, auction_paths(folder, template, years, rounds))
     grouped = rows.groupBy("Source", "Sink", "Class", "StartDate").agg(
         F.count(F.lit(1)).alias("awards"), F.sum("MW").alias("mw"),
-        F.sum(F.col("ClearingPrice").cast("decimal(18,2)")).cast("double").alias("price_sum"),
+        F.sum("ClearingPrice").alias("price_sum"),
     )
-    return rounded(grouped)
+    return rounded(grouped, 4)
 
 
 @query(

@@ -27,7 +27,7 @@ from gridlens.plans.bindings import (
     table,
 )
 from gridlens.plans.registry import query, r, rounded
-from gridlens.session import scratch_dir
+from gridlens.session import scratch_dir, stage
 from gridlens.sinks.tables import write_csv
 from gridlens.sources.tables import read_load_report
 
@@ -223,7 +223,8 @@ def count_label(spark, sf_dir):
 def error_boxplot(spark, sf_dir):
     """Five-number summary of the percent error."""
     rows = loads.complete_cases(load_errors(spark, sf_dir))
-    return rounded(box_summary(rows, ["TemperatureBucket", "IsUnderForecast"], "AbsolutePercentageError"))
+    columns = ["TemperatureBucket", "IsUnderForecast", "AbsolutePercentageError"]
+    return rounded(box_summary(stage(rows.select(*columns), "errors"), ["TemperatureBucket", "IsUnderForecast"], "AbsolutePercentageError"))
 
 
 @query(
@@ -244,7 +245,12 @@ def missing_load_by_day(spark, sf_dir):
 )
 def weather_features_query(spark, sf_dir):
     """Market-time weather with wind volatility and temperature bucket."""
-    return rounded(weather_features(event_weather(spark, sf_dir)), keep=("Temperature", "WindSpeed"))
+    return rounded(weather_features(stage(event_weather(spark, sf_dir), "weather")), keep=("Temperature", "WindSpeed"))
+
+
+def _station_rows(spark, sf_dir) -> DataFrame:
+    """Stored hourly rows of the station."""
+    return stage(event_station(spark, sf_dir).withColumn("station_id", F.lit("S")), "station")
 
 
 @query(
@@ -255,8 +261,8 @@ def weather_features_query(spark, sf_dir):
 )
 def ffill_limit(spark, sf_dir):
     """Forward fill over at most six rows."""
-    rows = event_station(spark, sf_dir).select(
-        F.lit("S").alias("station_id"), "timestamp", "temperature_2m", "wind_speed_10m"
+    rows = _station_rows(spark, sf_dir).select(
+        "station_id", "timestamp", "temperature_2m", "wind_speed_10m"
     )
     filled = forward_fill(rows, ["station_id"], "timestamp", ["temperature_2m", "wind_speed_10m"])
     return filled.drop("station_id")
@@ -270,7 +276,7 @@ def ffill_limit(spark, sf_dir):
 )
 def rolling_fill(spark, sf_dir):
     """Forward fill over two rows, then the 24-row mean where six values exist."""
-    rows = event_station(spark, sf_dir).select(F.lit("S").alias("station_id"), "timestamp", "temperature_2m")
+    rows = _station_rows(spark, sf_dir).select("station_id", "timestamp", "temperature_2m")
     filled = fill_gaps(rows, ["station_id"], "timestamp", ["temperature_2m"], limit=2, min_periods=6)
     return rounded(filled.drop("station_id"))
 
@@ -287,10 +293,6 @@ _CLEAN_SQL = f"""SELECT * FROM (SELECT timestamp, {', '.join(_fill_sql(v) for v
  OR relative_humidity_2m < 0 OR relative_humidity_2m > 100)"""
 
 
-def _station_rows(spark, sf_dir) -> DataFrame:
-    return event_station(spark, sf_dir).withColumn("station_id", F.lit("S"))
-
-
 @query("weather_clean", sql("station", _CLEAN_SQL))
 def weather_clean(spark, sf_dir):
     """Deduplicated, filled and bounded weather rows."""
@@ -344,4 +346,4 @@ def climate_histogram(spark, sf_dir):
     hours = winter_periods(
         season_weather(spark, sf_dir), "start_time", PERIOD_SPLIT, PERIODS, FIRST_YEAR, LAST_YEAR
     )
-    return rounded(equal_width_histogram(hours, "Temperature", 50, ["period"]))
+    return rounded(equal_width_histogram(stage(hours.select("period", "Temperature"), "winters"), "Temperature", 50, ["period"]))

@@ -21,8 +21,9 @@ from gridlens.plans.bindings import (
     event_weather,
     sql,
 )
-from gridlens.plans.combined import combined_dataset, fuel_features, regime_table
+from gridlens.plans.combined import combined_dataset
 from gridlens.plans.registry import query, r, rounded
+from gridlens.session import stage
 
 # Percentiles of the price profile and the high-price cut.
 PERCENTILES = (0.01, 0.03, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.97, 0.99)
@@ -36,19 +37,29 @@ def dart(spark, sf_dir) -> DataFrame:
     return prices.dart_table(event_prices(spark, sf_dir, DA), event_prices(spark, sf_dir, RT))
 
 
+def stored_dart(spark, sf_dir) -> DataFrame:
+    """Stored price table for operators that look at it more than once."""
+    return stage(dart(spark, sf_dir), "dart")
+
+
 def durations(spark, sf_dir) -> DataFrame:
-    return regime_table(event_prices(spark, sf_dir, DA), event_prices(spark, sf_dir, RT))
+    return prices.with_regime_durations(prices.with_regime(stored_dart(spark, sf_dir)))
 
 
 def fuel(spark, sf_dir) -> DataFrame:
-    return fuel_features(event_fuel(spark, sf_dir, DA), event_fuel(spark, sf_dir, RT), "NORTH")
+    mix = fuels.fuel_mix_compare(event_fuel(spark, sf_dir, DA), event_fuel(spark, sf_dir, RT))
+    return fuels.with_fuel_flags(stage(mix, "fuel")).drop("region")
+
+
+def weather(spark, sf_dir) -> DataFrame:
+    return stage(event_weather(spark, sf_dir), "weather")
 
 
 def node_hours(spark, sf_dir) -> DataFrame:
     """Regimes with weather and fuel features per node hour."""
     return (
         durations(spark, sf_dir)
-        .join(weather_features(event_weather(spark, sf_dir)), "start_time", "left")
+        .join(weather_features(weather(spark, sf_dir)), "start_time", "left")
         .join(fuel(spark, sf_dir), "start_time", "left")
     )
 
@@ -86,7 +97,7 @@ def _profile_sql() -> str:
 def profile_percentiles(spark, sf_dir):
     """Profile of the three price columns with eleven exact percentiles."""
     marks = {f"p{int(round(p * 100)):02d}": p for p in PERCENTILES}
-    return rounded(profile(dart(spark, sf_dir), PRICE_COLUMNS, marks))
+    return rounded(profile(stored_dart(spark, sf_dir), PRICE_COLUMNS, marks))
 
 
 def _histogram_sql(source: str, bins: int, density: bool = False) -> str:
@@ -101,7 +112,7 @@ def _histogram_sql(source: str, bins: int, density: bool = False) -> str:
 @query("histogram", sql("dart", _histogram_sql("SELECT lmp_dart_spread AS x FROM dart WHERE lmp_dart_spread IS NOT NULL", 100)))
 def histogram(spark, sf_dir):
     """Spread histogram with 100 equal bins."""
-    return rounded(equal_width_histogram(dart(spark, sf_dir), "lmp_dart_spread", 100))
+    return rounded(equal_width_histogram(stored_dart(spark, sf_dir), "lmp_dart_spread", 100))
 
 
 @query(
@@ -111,7 +122,7 @@ def histogram(spark, sf_dir):
 )
 def threshold_subset(spark, sf_dir):
     """Spread histogram of the hours with a high day-ahead price."""
-    high = dart(spark, sf_dir).where(F.col("lmp_da_exante") > HIGH_PRICE)
+    high = stored_dart(spark, sf_dir).where(F.col("lmp_da_exante") > HIGH_PRICE)
     return rounded(equal_width_histogram(high, "lmp_dart_spread", 50))
 
 
@@ -160,7 +171,7 @@ def regime_durations(spark, sf_dir):
 )
 def regime_duration_stats(spark, sf_dir):
     """Duration statistics per node and regime."""
-    stats = rounded(prices.regime_duration_stats(durations(spark, sf_dir)))
+    stats = rounded(prices.regime_duration_stats(stage(durations(spark, sf_dir), "durations")))
     return stats.withColumn("max_duration", F.col("max_duration").cast("long"))
 
 
@@ -172,7 +183,7 @@ def regime_duration_stats(spark, sf_dir):
 )
 def duration_matrix(spark, sf_dir):
     """Average duration by node, one column per regime."""
-    return rounded(prices.duration_matrix(prices.regime_duration_stats(durations(spark, sf_dir))))
+    return rounded(prices.duration_matrix(durations(spark, sf_dir)))
 
 
 @query(
@@ -238,7 +249,7 @@ def fuel_mix_by_temperature(spark, sf_dir):
 )
 def pct_of_seasonal_avg(spark, sf_dir):
     """Wind output in percent of its winter mean."""
-    mix = event_fuel(spark, sf_dir, RT).select("start_time", "wind")
+    mix = stage(event_fuel(spark, sf_dir, RT).select("start_time", "wind"), "wind")
     return rounded(fuels.pct_of_seasonal_avg(mix, "wind", "WindPct"))
 
 
@@ -258,8 +269,7 @@ _COMBINED = ("node", "start_time", "lmp_da_exante", "lmp_rt_expost", "lmp_da_exp
 def combined_query(spark, sf_dir):
     """The combined analysis set."""
     rows = combined_dataset(
-        event_prices(spark, sf_dir, DA), event_prices(spark, sf_dir, RT), event_prices(spark, sf_dir, ALL),
-        event_weather(spark, sf_dir), fuel(spark, sf_dir),
+        stored_dart(spark, sf_dir), event_prices(spark, sf_dir, ALL), weather(spark, sf_dir), fuel(spark, sf_dir)
     )
     picked = rows.select(
         *_COMBINED, "lmp_dart_spread", "WindSpeedVolatility6h", "GasMW_PctDiff", "WindMW_RT_PctOfSeasonalAvg"

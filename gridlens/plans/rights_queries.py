@@ -22,6 +22,7 @@ from gridlens.plans.bindings import (
     table,
 )
 from gridlens.plans.registry import query, r, rounded
+from gridlens.session import stage
 
 EVENT_START, EVENT_END = date(1999, 1, 10), date(1999, 1, 25)
 GROUP = ["Source", "Sink", "Class"]
@@ -58,11 +59,15 @@ def spreads(spark, sf_dir) -> DataFrame:
 
 
 def history(spark, sf_dir) -> DataFrame:
-    return spreads(spark, sf_dir).where(F.col("WinterYear") < HISTORY_END)
+    """Spreads before the event season, stored because their users look more than once."""
+    return stage(spreads(spark, sf_dir).where(F.col("WinterYear") < HISTORY_END), "history")
 
 
-def event(spark, sf_dir) -> DataFrame:
-    return spreads(spark, sf_dir).where(F.col("WinterYear") == EVENT_SEASON)
+def samples(spark, sf_dir) -> DataFrame:
+    """Stored spreads of history and event season, told apart by ``sample``."""
+    season = F.col("WinterYear")
+    name = F.when(season < HISTORY_END, "hist").when(season == EVENT_SEASON, "event")
+    return stage(spreads(spark, sf_dir).withColumn("sample", name).where(F.col("sample").isNotNull()), "samples")
 
 
 @query(
@@ -176,7 +181,7 @@ def ftr_event_pnl(spark, sf_dir):
 )
 def ftr_cumulative(spark, sf_dir):
     """Running profit per path and season."""
-    return rounded(rights.cumulative_pnl(rights.path_hours(pnl(spark, sf_dir))), 4)
+    return rounded(rights.cumulative_pnl(stage(rights.path_hours(pnl(spark, sf_dir)), "path-hours")), 4)
 
 
 @query(
@@ -190,7 +195,7 @@ def ftr_cumulative(spark, sf_dir):
 def cold_spells(spark, sf_dir):
     """Stretches of consecutive node hours below -5 degrees."""
     hours = season_prices(spark, sf_dir).join(season_weather(spark, sf_dir), "start_time", "left")
-    return rights.cold_spells(hours, ["node"])
+    return rights.cold_spells(stage(hours.select("node", "start_time", "Temperature"), "hours"), ["node"])
 
 
 def _corr_sql(driver: str) -> str:
@@ -298,8 +303,7 @@ _SIDE = ("mean", "median", "var", "cvar", "worst", "skewness", "kurtosis")
 )
 def tail_compare(spark, sf_dir):
     """Event spreads against history."""
-    compared = risk.tail_compare(history(spark, sf_dir), event(spark, sf_dir), GROUP, "PriceSpread", 0.95)
-    return rounded(compared, 4)
+    return rounded(risk.tail_compare(samples(spark, sf_dir), GROUP, "PriceSpread", "sample", 0.95), 4)
 
 
 @query(
@@ -309,7 +313,8 @@ def tail_compare(spark, sf_dir):
 )
 def event_outcome(spark, sf_dir):
     """Result of holding a right through the event season."""
-    out = risk.event_outcome(event(spark, sf_dir), GROUP, "PriceSpread", MW, HOURS)
+    season = spreads(spark, sf_dir).where(F.col("WinterYear") == EVENT_SEASON)
+    out = risk.event_outcome(season, GROUP, "PriceSpread", MW, HOURS)
     scaled = (F.round("scaled_pnl", 2) + F.lit(0.0)).alias("scaled_pnl")
     return rounded(out.select(*GROUP, "actual_pnl", scaled), 3, keep=("scaled_pnl",))
 
@@ -350,13 +355,10 @@ def histogram_tail(spark, sf_dir):
     "histogram_density",
     sql("spreads", " UNION ALL ".join(
         f"SELECT '{name}' AS sample, Class, {_BIN_SQL}, {r('count / (n * w)', 8)} AS density FROM ({_bars_sql(source, 80)})"
-        for name, source in (("history", _HIST), ("event", _EVENT)))),
+        for name, source in (("hist", _HIST), ("event", _EVENT)))),
 )
 def histogram_density(spark, sf_dir):
     """Density histograms of history and event on their own ranges."""
-    season = F.col("WinterYear")
-    sample = F.when(season < HISTORY_END, "history").when(season == EVENT_SEASON, "event")
-    rows = spreads(spark, sf_dir).withColumn("sample", sample).where(F.col("sample").isNotNull())
-    bars = equal_width_histogram(rows, "PriceSpread", 80, ["sample", "Class"], density=True)
+    bars = equal_width_histogram(samples(spark, sf_dir), "PriceSpread", 80, ["sample", "Class"], density=True)
     density = (F.round("density", 8) + F.lit(0.0)).alias("density")
     return rounded(bars.select(*[c for c in bars.columns if c != "density"], density), keep=("density",))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -47,3 +47,16 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     return tempfile.mkdtemp(prefix=f"gridlens-{label}-") + "/table"
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the scratch area and read it back.
+
+    Operators that look at their input more than once (exact quantiles, histograms, chunked
+    series) would otherwise repeat the whole upstream per look. The stored copy also cuts
+    the lineage, so a lost executor does not bring the upstream back.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
