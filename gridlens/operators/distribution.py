@@ -1,8 +1,8 @@
 """Exact quantiles, histograms, ECDF and profiles that stay distributed for hot groups.
 
 Spark's ``percentile`` keeps all distinct values of a group in one task. Here a group is cut
-into equal-width slices (pure arithmetic on its min and max, so every evaluation agrees),
-slices are counted with partial aggregation, and only the slices that hold a wanted rank are
+into ordered slices (pure arithmetic on its min and max, so every evaluation agrees), slices
+are counted with partial aggregation, and only the slices that hold a wanted rank are
 sorted. Exact for any input; the largest sort is one slice's distinct values.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlens.functions.numbers import equal_width_bin
+from gridlens.functions.numbers import equal_width_bin, order_slice
 
 SLICES = 4096
 EXPAND_STEP = 100_000
@@ -55,7 +55,7 @@ def exact_quantiles(
     rows = _values(source, group, value)
     span = _range(rows, group)
     sliced = _join(rows, span, group).withColumn(
-        "_slice", equal_width_bin(F.col("_v"), F.col("_low"), F.col("_high"), slices)
+        "_slice", order_slice(F.col("_v"), F.col("_low"), F.col("_high"), slices)
     )
 
     def rank(n: Column, p: float) -> Column:
@@ -179,7 +179,7 @@ def empirical_cdf(
     span = _range(rows, keys)
     distinct = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     sliced = _join(distinct, span, keys).withColumn(
-        "_slice", equal_width_bin(F.col("_v"), F.col("_low"), F.col("_high"), slices)
+        "_slice", order_slice(F.col("_v"), F.col("_low"), F.col("_high"), slices)
     )
     sizes = sliced.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_size"))
     earlier = (

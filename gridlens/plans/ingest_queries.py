@@ -20,11 +20,10 @@ from gridlens.functions.timeparts import (
 from gridlens.operators import quality
 from gridlens.operators.weather import HOURLY_VARIABLES, KEY_VARIABLES
 from gridlens.plans.bindings import (
-    ALL,
     DA,
     RT,
+    SCHEMAS,
     event_fuel,
-    event_load,
     event_prices,
     event_station,
     line_hour,
@@ -513,8 +512,7 @@ def add_years_query(spark, sf_dir):
 )
 def stream_dedupe(spark, sf_dir):
     """Events streamed through deduplication and the insert-only sink; the stored keys."""
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     hours = events.select(
         F.col("event_type").alias("node"),
         F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start_time"),

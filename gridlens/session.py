@@ -16,12 +16,16 @@ SESSION_CONF = {
 }
 
 
+# Settings that must be known when the session starts: no call-site capture per column.
+START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
 def build_session(app_name: str = "gridlens", master: str | None = None, **conf) -> SparkSession:
     """A session with the library's settings; ``conf`` keys replace ``.`` by ``__``."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in SESSION_CONF.items():
+    for key, value in {**SESSION_CONF, **START_CONF}.items():
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
