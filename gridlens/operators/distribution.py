@@ -31,7 +31,15 @@ def _range(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return left.join(right, list(keys))
+    """Add the columns of a one-row-per-group table; without keys, of a one-row table.
+
+    The latter is a scalar subquery: a join without a key could broadcast the wrong side.
+    """
+    if keys:
+        return left.join(right, list(keys))
+    row = right.select(F.struct(*right.columns)).scalar()
+    packed = left.withColumn("_row", row)
+    return packed.select(*left.columns, *[F.col(f"_row.{c}").alias(c) for c in right.columns])
 
 
 def exact_quantiles(
@@ -50,9 +58,8 @@ def exact_quantiles(
     """
     if method not in ("linear", "nearest"):
         raise ValueError(f"unknown method: {method}")
-    group = list(keys) or ["_all"]
-    source = df if keys else df.withColumn("_all", F.lit(1))
-    rows = _values(source, group, value)
+    group = list(keys)
+    rows = _values(df, group, value)
     span = _range(rows, group)
     sliced = _join(rows, span, group).withColumn(
         "_slice", order_slice(F.col("_v"), F.col("_low"), F.col("_high"), slices)
@@ -100,7 +107,7 @@ def exact_quantiles(
     lookup = found.groupBy(*group).agg(
         F.map_from_entries(F.collect_set(F.struct("_rank", "_v"))).alias("_at")
     )
-    joined = _join(span.select(*group, "_n"), lookup, group)
+    joined = _join(span.select(*group, "_n").where(F.col("_n") > 0), lookup, group)
 
     def at(r: Column) -> Column:
         return F.element_at("_at", r.cast("long"))
@@ -128,9 +135,8 @@ def equal_width_histogram(
     Bins are left-closed and the maximum falls into the last one. A group with a single
     distinct value gets a range of one unit around it. ``bin_center`` is the true midpoint.
     """
-    group = list(keys) or ["_all"]
-    source = df if keys else df.withColumn("_all", F.lit(1))
-    rows = _values(source, group, value)
+    group = list(keys)
+    rows = _values(df, group, value)
     flat = F.col("_low") == F.col("_high")
     half = F.when(flat, 0.5).otherwise(0.0)
     span = _range(rows, group).select(

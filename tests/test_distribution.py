@@ -62,6 +62,7 @@ def test_missing_values_are_ignored(spark):
     )
     out = d.exact_quantiles(df, ["k"], "x", {"m": 0.5}).collect()
     assert [(r.k, r.m) for r in out] == [("a", 2.0)]
+    assert d.exact_quantiles(df.where("k = 'b'"), [], "x", {"m": 0.5}).count() == 0
     with pytest.raises(ValueError):
         d.exact_quantiles(df, ["k"], "x", {"m": 0.5}, "median")
 
