@@ -61,7 +61,8 @@ def exact_quantiles(
     group = list(keys)
     rows = _values(df, group, value)
     span = _range(rows, group)
-    sliced = _join(rows, span, group).withColumn(
+    # The count is read on every use of the range, so that Spark plans the range only once.
+    sliced = _join(rows, span, group).where(F.col("_n") > 0).withColumn(
         "_slice", order_slice(F.col("_v"), F.col("_low"), F.col("_high"), slices)
     )
 
@@ -82,32 +83,31 @@ def exact_quantiles(
     )
     ranks = F.array_distinct(F.array(*wanted_ranks(F.col("_n"))))
     picked = ranked.select(
-        *group, "_slice", "_begin",
+        *group, "_slice", "_begin", "_n",
         F.filter(ranks, lambda r: (r >= F.col("_begin")) & (r < F.col("_end"))).alias("_ranks"),
     ).where(F.size("_ranks") > 0)
 
+    in_picked = [*group, "_slice"]
     distinct = (
-        _join(sliced.select(*group, "_slice", "_v"), picked, [*group, "_slice"])
-        .groupBy(*group, "_slice", "_v")
-        .agg(
-            F.count(F.lit(1)).alias("_c"),
-            F.any_value("_begin").alias("_begin"),
-            F.any_value("_ranks").alias("_ranks"),
-        )
+        sliced.join(picked.select(*in_picked), in_picked, "left_semi")
+        .groupBy(*in_picked, "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
-    in_slice = (
-        Window.partitionBy(*group, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    in_slice = Window.partitionBy(*in_picked).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = (
+        distinct.withColumn("_in", F.sum("_c").over(in_slice))
+        .join(picked, in_picked)
+        .withColumn("_to", F.col("_begin") + F.col("_in"))
     )
-    ordered = distinct.withColumn("_to", F.col("_begin") + F.sum("_c").over(in_slice))
     hits = F.filter(
         "_ranks", lambda r: (r >= F.col("_to") - F.col("_c")) & (r < F.col("_to"))
     )
-    found = ordered.select(*group, F.explode(hits).alias("_rank"), "_v")
+    found = ordered.select(*group, "_n", F.explode(hits).alias("_rank"), "_v")
     # At most two ranks per probability reach this map.
-    lookup = found.groupBy(*group).agg(
-        F.map_from_entries(F.collect_set(F.struct("_rank", "_v"))).alias("_at")
-    )
-    joined = _join(span.select(*group, "_n").where(F.col("_n") > 0), lookup, group)
+    joined = found.groupBy(*group).agg(
+        F.map_from_entries(F.collect_set(F.struct("_rank", "_v"))).alias("_at"),
+        F.max("_n").alias("_n"),
+    ).where(F.col("_n") > 0)
 
     def at(r: Column) -> Column:
         return F.element_at("_at", r.cast("long"))

@@ -44,20 +44,24 @@ def weighted_positions(auction: DataFrame, participants: Sequence[str] | None =
 
 def backfill_positions(positions: DataFrame, season: int, seasons: Sequence[int]) -> DataFrame:
     """Add copies of one season's positions for seasons that have none, with shifted dates."""
-    copies = positions.where(F.col("WinterYear") == season).withColumn(
-        "WinterYear", F.explode(F.array(*[F.lit(s) for s in seasons]))
+    own = F.array("WinterYear")
+    copied = F.concat(own, F.array(*[F.lit(s) for s in seasons]))
+    spread = positions.withColumn(
+        "_season", F.explode(F.when(F.col("WinterYear") == season, copied).otherwise(own))
     )
+    is_copy = F.col("_season") != F.col("WinterYear")
 
     def moved(column: str, old_year: int, new_year: Column) -> Column:
-        return F.replace(F.col(column), F.lit(str(old_year)), new_year.cast("string"))
+        shifted = F.replace(F.col(column), F.lit(str(old_year)), new_year.cast("string"))
+        return F.when(is_copy, shifted).otherwise(F.col(column))
 
-    shifted = copies.withColumns(
+    return spread.withColumns(
         {
-            "StartDate": moved("StartDate", season, F.col("WinterYear")),
-            "EndDate": moved("EndDate", season + 1, F.col("WinterYear") + 1),
+            "StartDate": moved("StartDate", season, F.col("_season")),
+            "EndDate": moved("EndDate", season + 1, F.col("_season") + 1),
+            "WinterYear": F.col("_season"),
         }
-    )
-    return positions.unionByName(shifted)
+    ).drop("_season")
 
 
 def path_spreads(prices: DataFrame, paths: DataFrame) -> DataFrame:
@@ -105,49 +109,47 @@ def hourly_pnl(positions: DataFrame, prices: DataFrame, hours: DataFrame) -> Dat
     )
 
 
-def summarise_paths(pnl: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
+def summarise_paths(pnl: DataFrame, positions: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
     """Profit statistics per path, class and season.
 
-    Cost, price and MW are those of the first hour. ``extra_keys`` keeps positions apart
-    that share a path.
+    Positions that share a path are taken together; cost, price and MW are those of the
+    largest one, which is the first after ordering by MW. ``extra_keys`` (position columns)
+    keeps them apart. The hourly rows are only hash-aggregated.
     """
-    first = F.min_by(
-        F.struct("TotalCost", "ClearingPrice", "MW"),
-        F.struct("start_time", "MW", "ClearingPrice"),
-    )
     profit = F.col("HourlyProfitLoss")
     keys = [*PATH, *extra_keys]
-    return (
-        pnl.groupBy(*keys)
-        .agg(
-            first.alias("_first"),
-            F.sum("HourlyCongestionRevenue").alias("TotalCongestionRevenue"),
-            F.sum(profit).alias("TotalProfitLoss"),
-            F.avg(profit).alias("AvgHourlyProfitLoss"),
-            F.stddev_samp(profit).alias("StdHourlyProfitLoss"),
-            sample_skewness(profit).alias("SkewnessHourlyProfitLoss"),
-            sample_kurtosis(profit).alias("KurtosisHourlyProfitLoss"),
-            F.max(profit).alias("MaxHourlyProfitLoss"),
-            F.min(profit).alias("MinHourlyProfitLoss"),
-        )
-        .withColumns(
-            {
-                "TotalCost": F.col("_first.TotalCost"),
-                "PricePaidPerMW": F.col("_first.ClearingPrice"),
-                "MWHeld": F.col("_first.MW"),
-            }
-        )
-        .drop("_first")
+    largest = F.max_by(F.struct("MW", "ClearingPrice"), F.struct("MW", "ClearingPrice"))
+    first = positions.groupBy(*keys).agg(largest.alias("_first")).select(
+        *keys,
+        (F.col("_first.ClearingPrice") * F.col("_first.MW")).alias("TotalCost"),
+        F.col("_first.ClearingPrice").alias("PricePaidPerMW"),
+        F.col("_first.MW").alias("MWHeld"),
     )
+    totals = pnl.groupBy(*keys).agg(
+        F.sum("HourlyCongestionRevenue").alias("TotalCongestionRevenue"),
+        F.sum(profit).alias("TotalProfitLoss"),
+        F.avg(profit).alias("AvgHourlyProfitLoss"),
+        F.stddev_samp(profit).alias("StdHourlyProfitLoss"),
+        sample_skewness(profit).alias("SkewnessHourlyProfitLoss"),
+        sample_kurtosis(profit).alias("KurtosisHourlyProfitLoss"),
+        F.max(profit).alias("MaxHourlyProfitLoss"),
+        F.min(profit).alias("MinHourlyProfitLoss"),
+    )
+    return totals.join(first, keys)
 
 
-def summarise_seasons(paths: DataFrame) -> DataFrame:
+def summarise_seasons(pnl: DataFrame) -> DataFrame:
+    """Season totals with the extreme hours and the extreme paths."""
+    profit = F.col("HourlyProfitLoss")
+    paths = pnl.groupBy(*PATH).agg(
+        F.sum(profit).alias("_total"), F.min(profit).alias("_low"), F.max(profit).alias("_high")
+    )
     return paths.groupBy("WinterYear").agg(
-        F.sum("TotalProfitLoss").alias("TotalProfitLoss"),
-        F.min("MinHourlyProfitLoss").alias("MinProfitLoss"),
-        F.max("MaxHourlyProfitLoss").alias("MaxProfitLoss"),
-        F.min("TotalProfitLoss").alias("MinTotalProfitLoss"),
-        F.max("TotalProfitLoss").alias("MaxTotalProfitLoss"),
+        F.sum("_total").alias("TotalProfitLoss"),
+        F.min("_low").alias("MinProfitLoss"),
+        F.max("_high").alias("MaxProfitLoss"),
+        F.min("_total").alias("MinTotalProfitLoss"),
+        F.max("_total").alias("MaxTotalProfitLoss"),
     )
 
 

@@ -57,8 +57,8 @@ def weather_features(
     if to_market:
         utc = rows.withColumn("_utc", F.col("start_time"))
         local = utc.withColumn("start_time", utc_to_market(F.col("_utc")))
-        first = F.min_by(F.struct("Temperature", "WindSpeed"), "_utc").alias("_row")
-        rows = local.groupBy(*series, "start_time").agg(first).select(*series, "start_time", "_row.*")
+        first = [F.min_by(c, "_utc").alias(c) for c in ("Temperature", "WindSpeed")]
+        rows = local.groupBy(*series, "start_time").agg(*first)
     rolled = rolling_std(rows, series, "start_time", "WindSpeed", "WindSpeedVolatility6h")
     bucket = temperature_bucket(F.col("Temperature"), extreme_cold)
     return rolled.withColumn("TemperatureBucket", bucket).drop("_all")

@@ -47,15 +47,23 @@ def held(spark, sf_dir) -> DataFrame:
     return rights.backfill_positions(positions(spark, sf_dir), AUCTION_SEASON, BACKFILLED)
 
 
+def stored_prices(spark, sf_dir) -> DataFrame:
+    """Stored hourly prices: source and sink side read the small table, not the line items."""
+    return stage(season_prices(spark, sf_dir), "season-prices")
+
+
 def pnl(spark, sf_dir) -> DataFrame:
     hours = rights.class_hours(calendar(spark, sf_dir))
-    prices = season_prices(spark, sf_dir).join(season_weather(spark, sf_dir), "start_time", "left")
-    return rights.hourly_pnl(held(spark, sf_dir), prices, hours)
+    return rights.hourly_pnl(held(spark, sf_dir), stored_prices(spark, sf_dir), hours)
+
+
+def pnl_with_weather(spark, sf_dir) -> DataFrame:
+    return pnl(spark, sf_dir).join(season_weather(spark, sf_dir), "start_time", "left")
 
 
 def spreads(spark, sf_dir) -> DataFrame:
     paths = part_auction(spark, sf_dir).select("Source", "Sink").distinct()
-    return rights.path_spreads(season_prices(spark, sf_dir), paths)
+    return rights.path_spreads(stored_prices(spark, sf_dir), paths)
 
 
 def history(spark, sf_dir) -> DataFrame:
@@ -136,9 +144,9 @@ def ftr_hourly_pnl(spark, sf_dir):
 @query(
     "ftr_summary",
     sql("pnl", f"""SELECT Source, Sink, Class, WinterYear,
- {r('first(TotalCost ORDER BY start_time, MW, ClearingPrice)', 4)} AS TotalCost,
- {r('first(ClearingPrice ORDER BY start_time, MW, ClearingPrice)', 4)} AS PricePaidPerMW,
- first(MW ORDER BY start_time, MW, ClearingPrice) AS MWHeld,
+ {r('first(TotalCost ORDER BY MW DESC, ClearingPrice DESC)', 4)} AS TotalCost,
+ {r('first(ClearingPrice ORDER BY MW DESC, ClearingPrice DESC)', 4)} AS PricePaidPerMW,
+ first(MW ORDER BY MW DESC) AS MWHeld,
  {r('sum(HourlyCongestionRevenue)', 4)} AS TotalCongestionRevenue, {r('sum(HourlyProfitLoss)', 4)} AS TotalProfitLoss,
  {r('avg(HourlyProfitLoss)', 4)} AS AvgHourlyProfitLoss, {r('stddev_samp(HourlyProfitLoss)', 4)} AS StdHourlyProfitLoss,
  {r('skewness(HourlyProfitLoss)', 4)} AS SkewnessHourlyProfitLoss,
@@ -148,7 +156,7 @@ def ftr_hourly_pnl(spark, sf_dir):
 )
 def ftr_summary(spark, sf_dir):
     """Profit statistics per path, class and season."""
-    return rounded(rights.summarise_paths(pnl(spark, sf_dir)), 4)
+    return rounded(rights.summarise_paths(pnl(spark, sf_dir), held(spark, sf_dir)), 4)
 
 
 @query(
@@ -160,7 +168,7 @@ def ftr_summary(spark, sf_dir):
 )
 def ftr_summary_by_season(spark, sf_dir):
     """Seasonal totals of the path summary."""
-    return rounded(rights.summarise_seasons(rights.summarise_paths(pnl(spark, sf_dir))), 4)
+    return rounded(rights.summarise_seasons(pnl(spark, sf_dir)), 4)
 
 
 @query(
@@ -215,7 +223,7 @@ def _corr_sql(driver: str) -> str:
 )
 def ftr_correlation(spark, sf_dir):
     """Correlation of profit with temperature and wind."""
-    return rounded(rights.path_drivers(pnl(spark, sf_dir), ["Temperature", "WindSpeed"]), 4)
+    return rounded(rights.path_drivers(pnl_with_weather(spark, sf_dir), ["Temperature", "WindSpeed"]), 4)
 
 
 _HIST = f"(SELECT * FROM spreads WHERE WinterYear < {HISTORY_END})"

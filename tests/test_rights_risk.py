@@ -56,13 +56,12 @@ def test_hourly_profit(pnl):
     assert [r.HourlyCongestionRevenue for r in rows] == [80.0, -200.0, 2400.0, 0.0]
 
 
-def test_summaries(pnl):
-    paths = rights.summarise_paths(pnl)
-    row = paths.first()
+def test_summaries(pnl, positions):
+    row = rights.summarise_paths(pnl, rights.weighted_positions(positions, ["P"])).first()
     assert (row.TotalCost, row.PricePaidPerMW, row.MWHeld) == (7000.0, 175.0, 40.0)
     assert (row.TotalProfitLoss, row.TotalCongestionRevenue) == (2252.0, 2280.0)
     assert row.StdHourlyProfitLoss == pytest.approx(np.std([73.0, -207.0, 2393.0, -7.0], ddof=1))
-    season = rights.summarise_seasons(paths).first()
+    season = rights.summarise_seasons(pnl).first()
     assert (season.TotalProfitLoss, season.MinProfitLoss, season.MaxProfitLoss) == (2252.0, -207.0, 2393.0)
     assert rights.event_pnl(pnl, date(2026, 1, 15), date(2026, 1, 16)).first().TotalProfitLoss == 2252.0
     assert rights.event_pnl(pnl, date(2026, 1, 16), date(2026, 1, 17)).count() == 0
