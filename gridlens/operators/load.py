@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,16 @@ def load_tables(report: DataFrame, zones: dict[str, str] = ZONES) -> tuple[DataF
     return load_wide(load_long(report, "actual"), zones), load_wide(load_long(report, "forecast"), zones)
 
 
+def prepare_load(
+    report: DataFrame, measure: str, start: date, end: date, fill_missing: bool = False,
+    zones: dict[str, str] = ZONES,
+) -> DataFrame:
+    """Report lines to hours by zone between two days (inclusive), in time order."""
+    lines = fill_actual(report) if fill_missing else report
+    days = lines.where(F.col("MarketDay").between(F.lit(start), F.lit(end)))
+    return load_wide(load_long(days, measure), zones).orderBy("Datetime")
+
+
 def unpivot_zones(wide: DataFrame, zones: Sequence[str], value: str) -> DataFrame:
     return wide.select("Datetime", *zones).unpivot("Datetime", list(zones), "Zone", value)
 

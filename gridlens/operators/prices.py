@@ -13,7 +13,7 @@ from gridlens.functions.numbers import no_nan
 from gridlens.functions.timeparts import day_floor, in_window, iso_weekday
 from gridlens.operators.distribution import exact_quantiles
 from gridlens.operators.quality import any_null
-from gridlens.operators.series import DEFAULT_CHUNK, run_counters
+from gridlens.operators.series import DEFAULT_CHUNK, elapsed_since, run_counters
 
 KEYS = ["node", "start_time"]
 
@@ -49,20 +49,20 @@ def with_regime(dart: DataFrame) -> DataFrame:
     return dart.withColumn("regime", price_regime(F.col("lmp_da_exante"), F.col("lmp_rt_expost")))
 
 
-def with_regime_durations(df: DataFrame, chunk: str = DEFAULT_CHUNK) -> DataFrame:
-    """Rows in the current regime, since the last extreme event, and since any scarcity."""
-    return run_counters(
-        df,
-        ["node"],
-        "start_time",
-        F.col("regime"),
-        run="consecutive_regime_hours",
-        since={
-            "hours_since_extreme": F.col("regime") == EXTREME,
-            "hours_since_scarcity": F.col("regime").isin(*SCARCITY_REGIMES),
-        },
-        chunk=chunk,
+def with_regime_durations(df: DataFrame, elapsed: bool = False, chunk: str = DEFAULT_CHUNK) -> DataFrame:
+    """Rows in the current regime, since the last extreme event, and since any scarcity.
+
+    With ``elapsed`` the two ``hours_since`` columns measure time instead of counting rows.
+    """
+    since = {
+        "hours_since_extreme": F.col("regime") == EXTREME,
+        "hours_since_scarcity": F.col("regime").isin(*SCARCITY_REGIMES),
+    }
+    counted = run_counters(
+        df, ["node"], "start_time", F.col("regime"), run="consecutive_regime_hours",
+        since={} if elapsed else since, chunk=chunk,
     )
+    return elapsed_since(counted, ["node"], "start_time", since, chunk=chunk) if elapsed else counted
 
 
 def regime_shares(df: DataFrame) -> DataFrame:

@@ -223,6 +223,43 @@ def run_counters(
     )
 
 
+def elapsed_since(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    since: Mapping[str, Column],
+    unit: str = "HOUR",
+    chunk: str = DEFAULT_CHUNK,
+) -> DataFrame:
+    """Time since the last marked row, in whole units; before the first mark, since the first row.
+
+    Differs from counting rows where hours are missing from the series.
+    """
+    marks = {f"_mark_{i}": flag for i, flag in enumerate(since.values())}
+    rows = _chunked(df, order, chunk).withColumns(marks)
+    marked = {m: F.max(F.when(F.col(m), F.col(order))) for m in marks}
+    summary = rows.groupBy(*keys, "_chunk").agg(
+        F.min(order).alias("_first"), *[last.alias(f"{m}_last") for m, last in marked.items()]
+    )
+    before = _before(keys)
+    whole = Window.partitionBy(*keys)
+    carried = summary.select(
+        *keys,
+        "_chunk",
+        F.min("_first").over(whole).alias("_begin"),
+        *[F.max(f"{m}_last").over(before).alias(f"{m}_carry") for m in marks],
+    )
+    so_far = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumns({f"{m}_here": last.over(so_far) for m, last in marked.items()})
+    elapsed = [
+        F.timestamp_diff(
+            unit, F.coalesce(F.col(f"{m}_here"), F.col(f"{m}_carry"), F.col("_begin")), F.col(order)
+        ).alias(name)
+        for name, m in zip(since, marks)
+    ]
+    return inside.join(carried, [*keys, "_chunk"]).select(*df.columns, *elapsed)
+
+
 def spells(
     df: DataFrame, keys: Sequence[str], order: str, inside: Column, chunk: str = DEFAULT_CHUNK
 ) -> DataFrame:

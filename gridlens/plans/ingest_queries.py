@@ -37,7 +37,7 @@ from gridlens.sinks import tables as sink
 from gridlens.sources.feeds import FEEDS, FUEL_COLUMNS, read_feed, read_nodes
 from gridlens.sources.tables import after_high_water_mark, auction_paths, read_auctions
 from gridlens.sources.weather import read_weather
-from gridlens.streaming.prices import PRICE_KEYS, dedupe_stream, upsert_stream
+from gridlens.streaming.prices import PRICE_KEYS, clean_price_stream, dedupe_stream, upsert_stream
 
 STORED_UNTIL, INCOMING_FROM = date(1999, 1, 1), date(1998, 7, 1)
 
@@ -58,8 +58,8 @@ def _land(records: DataFrame, page_keys: list[str], path: str) -> None:
     pages.select(F.to_json(F.struct("data"))).write.text(path)
 
 
-def _day_pages(spark: SparkSession, rows: DataFrame, feed: str, entity, fields: list, label: str) -> DataFrame:
-    """Land hourly rows as pages of a feed and read them back."""
+def _land_days(spark: SparkSession, rows: DataFrame, feed: str, entity, fields: list, label: str) -> str:
+    """Land hourly rows as pages of a feed; the folder they are in."""
     spec = FEEDS[feed]
     parts = [] if spec.entity_constant else [F.col(entity).alias(spec.entity)]
     parts += [_interval("start_time").alias(spec.interval), *fields]
@@ -68,7 +68,12 @@ def _day_pages(spark: SparkSession, rows: DataFrame, feed: str, entity, fields:
     )
     path = scratch_dir(spark, label)
     _land(records, ["_e", "_d"], path)
-    return read_feed(spark, path, feed)
+    return path
+
+
+def _day_pages(spark: SparkSession, rows: DataFrame, feed: str, entity, fields: list, label: str) -> DataFrame:
+    """Land hourly rows as pages of a feed and read them back."""
+    return read_feed(spark, _land_days(spark, rows, feed, entity, fields, label), feed)
 
 
 _TIMES = """start_time, start_time + INTERVAL 1 HOUR AS end_time, 'hourly' AS resolution,
@@ -127,10 +132,29 @@ def capacity_flag(spark, sf_dir):
 )
 def json_flatten(spark, sf_dir):
     """Landed price pages, flattened and typed."""
-    prices = event_prices(spark, sf_dir, DA)
-    fields = [F.lit("F").alias("preliminaryFinal"), "lmp"]
-    fields += [(F.col("lmp") * s).alias(n) for n, s in (("mcc", 0.25), ("mec", 0.5), ("mlc", 0.25))]
-    return _day_pages(spark, prices, "da_exante", "node", fields, "prices")
+    return _day_pages(spark, event_prices(spark, sf_dir, DA), "da_exante", "node", _price_fields(), "prices")
+
+
+def _price_fields() -> list:
+    """Price record whose components add up to the price exactly."""
+    parts = [(F.col("lmp") * s).alias(n) for n, s in (("mcc", 0.25), ("mec", 0.5), ("mlc", 0.25))]
+    return [F.lit("F").alias("preliminaryFinal"), "lmp", *parts]
+
+
+@query(
+    "stream_price_ingest",
+    sql("da", f"""SELECT node, start_time, lmp, lmp * 0.5::DOUBLE AS mec, 0.0::DOUBLE AS lmp_check, 0 AS lmp_check_flag,
+ 'da_exante' AS price_type, {_PARTS} FROM da WHERE lmp IS NOT NULL"""),
+)
+def stream_price_ingest(spark, sf_dir):
+    """Landed price pages streamed through flattening, quality rules, deduplication and upsert."""
+    landing = _land_days(spark, event_prices(spark, sf_dir, DA), "da_exante", "node", _price_fields(), "landing")
+    path, checkpoint = scratch_dir(spark, "stream"), scratch_dir(spark, "checkpoint")
+    prices = clean_price_stream(spark, landing, "da_exante", lateness="60 days")
+    upsert_stream(prices, path, checkpoint, PRICE_KEYS, ["lmp"]).awaitTermination()
+    return spark.read.parquet(path).select(
+        "node", "start_time", "lmp", "mec", "lmp_check", "lmp_check_flag", "price_type", "year", "month", "day"
+    )
 
 
 def _fuel_sql(view: str, tag: str) -> str:

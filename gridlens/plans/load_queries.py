@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,6 +98,18 @@ def load_pivot(spark, sf_dir):
     return rounded(loads.load_wide(loads.load_long(load_report(spark, sf_dir), "forecast")))
 
 
+@query(
+    "load_prepare",
+    _wide_sql("(CASE WHEN l_discount > 0 THEN l_quantity * 10 + 5 ELSE l_quantity * 10 END)").replace(
+        "WHERE", "WHERE l_shipdate BETWEEN '1996-01-01' AND '1999-12-31' AND"
+    ),
+)
+def load_prepare(spark, sf_dir):
+    """Filled actual load of four years by hour and zone."""
+    report = load_report(spark, sf_dir)
+    return rounded(loads.prepare_load(report, "actual", date(1996, 1, 1), date(1999, 12, 31), fill_missing=True))
+
+
 @query(
     "load_unpivot",
     f"""SELECT Datetime, Zone, LoadForecast FROM ({_wide_sql(_FORECAST)})

@@ -161,6 +161,20 @@ def regime_durations(spark, sf_dir):
     )
 
 
+@query(
+    "regime_elapsed",
+    sql("durations", """SELECT node, start_time, date_diff('hour', coalesce(max(CASE WHEN regime = 'Extreme Event' THEN start_time END)
+ OVER w, min(start_time) OVER w), start_time) AS hours_since_extreme,
+ date_diff('hour', coalesce(max(CASE WHEN regime IN ('Extreme Event', 'False Scarcity', 'Anticipated Scarcity',
+ 'Unanticipated Scarcity') THEN start_time END) OVER w, min(start_time) OVER w), start_time) AS hours_since_scarcity
+ FROM durations WINDOW w AS (PARTITION BY node ORDER BY start_time ROWS UNBOUNDED PRECEDING)"""),
+)
+def regime_elapsed(spark, sf_dir):
+    """Hours by the clock since the last extreme and scarcity events."""
+    rows = prices.with_regime_durations(prices.with_regime(stored_dart(spark, sf_dir)), elapsed=True)
+    return rows.select("node", "start_time", "hours_since_extreme", "hours_since_scarcity")
+
+
 @query(
     "regime_duration_stats",
     sql("durations", f"""SELECT node, regime, {r('avg(consecutive_regime_hours)')} AS avg_duration,

@@ -108,6 +108,10 @@ def test_load_report_steps(spark):
     assert forecast.count() == 2
     filled = [r[load.ACTUAL] for r in load.fill_actual(report).collect()]
     assert filled == [11.0, 20.0, 31.0, 1.0]
+    day = (date(2024, 1, 1), date(2024, 1, 1))
+    assert load.prepare_load(report, "actual", *day).count() == 2
+    assert load.prepare_load(report, "actual", *day, fill_missing=True).first().Lrz1 == 15.5
+    assert load.prepare_load(report, "actual", date(2024, 1, 2), date(2024, 1, 3)).count() == 0
     long = load.unpivot_zones(forecast, ["Lrz1", "Lrz2_7"], "LoadForecast")
     assert long.count() == 4
     with pytest.raises(ValueError):

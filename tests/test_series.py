@@ -81,6 +81,16 @@ def test_run_counter_fixture(hours):
     assert list(out.since) == [0, 1, 0, 1, 2]
 
 
+@pytest.mark.parametrize("chunk", ["month", "day"])
+def test_elapsed_since(df, plain, chunk):
+    out = collect(
+        s.elapsed_since(df, ["node"], "start_time", {"h": F.col("label") == "E"}, chunk=chunk), "h"
+    )
+    last = plain["start_time"].where(plain["label"] == "E").groupby(plain["node"]).ffill()
+    begin = plain.groupby("node")["start_time"].transform("min")
+    same(out.h, (plain["start_time"] - last.fillna(begin)) / pd.Timedelta(hours=1))
+
+
 def test_null_labels_form_runs(hours):
     df = hours([None, None, "a", None], "label string")
     out = collect(s.run_counters(df, ["node"], "start_time", F.col("label"), "run"), "run")

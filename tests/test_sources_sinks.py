@@ -148,6 +148,13 @@ def test_window_read_prunes_partitions(spark):
     assert "PartitionFilters: [isnotnull(year" in plan
 
 
+def test_table_read_ignores_log_folders(spark):
+    path = scratch_dir(spark, "log")
+    sink.overwrite_table(rows(spark, (1, "a", 1, 1)), path)
+    rows(spark, (2, "old", 1, 1)).write.parquet(f"{path}/_delta_log")
+    assert [r.k for r in spark.read.parquet(path).collect()] == [1]
+
+
 def test_empty_source_is_refused(spark):
     with pytest.raises(ValueError):
         sink.require_rows(spark.createDataFrame([], KEYED))
