@@ -17,10 +17,13 @@ from gridlens.sources.tables import table_exists
 PARTITIONS = ("year", "month")
 
 
+def _balanced(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    return df.hint("rebalance", *partition_by)
+
+
 def _write(df: DataFrame, path: str, partition_by: Sequence[str], mode: str, overwrite_mode: str = "dynamic"):
     (
-        df.hint("rebalance", *partition_by)
-        .write.mode(mode)
+        df.write.mode(mode)
         .option("compression", "zstd")
         .option("partitionOverwriteMode", overwrite_mode)
         .partitionBy(*partition_by)
@@ -30,12 +33,12 @@ def _write(df: DataFrame, path: str, partition_by: Sequence[str], mode: str, ove
 
 def overwrite_table(df: DataFrame, path: str, partition_by: Sequence[str] = PARTITIONS) -> None:
     """Replace the whole table."""
-    _write(df, path, partition_by, "overwrite", "static")
+    _write(_balanced(df, partition_by), path, partition_by, "overwrite", "static")
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str] = PARTITIONS) -> None:
     """Replace only the partitions that ``df`` has rows for."""
-    _write(df, path, partition_by, "overwrite")
+    _write(_balanced(df, partition_by), path, partition_by, "overwrite")
 
 
 def new_rows(source: DataFrame, stored: DataFrame, keys: Sequence[str], partition_by: Sequence[str]) -> DataFrame:
@@ -68,8 +71,12 @@ def insert_only_upsert(
 
 
 def _append_counted(df: DataFrame, path: str, partition_by: Sequence[str]) -> int:
+    """Append and count in one job.
+
+    The count sits above the rebalance: below it, Spark may drop it with an empty stage.
+    """
     inserted = Observation()
-    counted = df.observe(inserted, F.count(F.lit(1)).alias("rows"))
+    counted = _balanced(df, partition_by).observe(inserted, F.count(F.lit(1)).alias("rows"))
     _write(counted, path, partition_by, "append")
     return inserted.get["rows"]
 
