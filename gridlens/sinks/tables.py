@@ -41,15 +41,33 @@ def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str] =
     _write(_balanced(df, partition_by), path, partition_by, "overwrite")
 
 
-def new_rows(source: DataFrame, stored: DataFrame, keys: Sequence[str], partition_by: Sequence[str]) -> DataFrame:
-    """Source rows whose key is not stored.
+def _within_partitions(stored: DataFrame, source: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Stored rows inside the range of each partition column in the source.
 
-    The stored side is first cut to the partitions that occur in the source, which lets
-    Spark prune the others at run time.
+    The range comes from a scalar subquery, so Spark skips the other partitions at run time
+    whether or not the source carries a filter.
     """
-    touched = source.select(*partition_by).distinct()
-    known = stored.select(*keys, *partition_by).join(touched, list(partition_by), "left_semi")
-    return source.join(known.select(*keys), list(keys), "left_anti")
+    ends = [F.struct(F.min(p).alias("low"), F.max(p).alias("high")).alias(p) for p in partition_by]
+    bounds = source.agg(*ends).select(F.struct(*partition_by)).scalar()
+    for p in partition_by:
+        stored = stored.where(F.col(p).between(bounds[p]["low"], bounds[p]["high"]))
+    return stored
+
+
+def new_rows(
+    source: DataFrame,
+    stored: DataFrame,
+    keys: Sequence[str],
+    partition_by: Sequence[str],
+    span: DataFrame | None = None,
+) -> DataFrame:
+    """Source rows whose key is not stored; reads only partitions near the source's.
+
+    ``span`` is a cheaper frame with the same partition columns, such as the source before
+    deduplication.
+    """
+    known = _within_partitions(stored, source if span is None else span, partition_by).select(*keys)
+    return source.join(known, list(keys), "left_anti")
 
 
 def insert_only_upsert(
@@ -66,7 +84,7 @@ def insert_only_upsert(
     Partition columns must follow from the key.
     """
     unique = latest_per_key(source, keys, newest_by)
-    fresh = new_rows(unique, spark.read.parquet(path), keys, partition_by)
+    fresh = new_rows(unique, spark.read.parquet(path), keys, partition_by, span=source)
     return _append_counted(fresh, path, partition_by)
 
 
@@ -110,7 +128,8 @@ def append_deduped(
     tagged = incoming.withColumn("_load", F.lit(1))
     if table_exists(spark, path):
         touched = incoming.select(*partition_by).distinct()
-        stored = spark.read.parquet(path).join(touched, list(partition_by), "left_semi")
+        near = _within_partitions(spark.read.parquet(path), incoming, partition_by)
+        stored = near.join(touched, list(partition_by), "left_semi")
         tagged = tagged.unionByName(stored.withColumn("_load", F.lit(0)))
     merged = latest_per_key(tagged, keys, ["_load"]).drop("_load")
     overwrite_partitions(merged, path, partition_by)

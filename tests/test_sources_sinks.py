@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 from datetime import date, datetime
 
 import pytest
@@ -109,6 +110,21 @@ def test_upsert_inserts_unknown_keys_once(spark):
     assert out == [(1, "a"), (2, "a"), (3, "c")]
 
 
+def test_upsert_skips_partitions_far_from_the_source(spark):
+    path = scratch_dir(spark, "far")
+    days = spark.sql("SELECT explode(sequence(date'2020-01-01', date'2025-12-31')) AS d").withColumns(
+        {"year": F.year("d"), "month": F.month("d")}
+    )
+    sink.overwrite_table(days, path)
+    late = spark.sql("SELECT explode(sequence(date'2025-12-20', date'2026-01-10')) AS d").withColumns(
+        {"year": F.year("d"), "month": F.month("d")}
+    )
+    fresh = sink.new_rows(late, spark.read.parquet(path), ["d"], ["year", "month"])
+    assert fresh.count() == 10
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\n]*year[^\n]*Subquery", plan)
+
+
 def test_append_replaces_touched_partitions_only(spark):
     path = scratch_dir(spark, "append")
     sink.append_deduped(spark, rows(spark, (1, "a", 1, 1), (2, "a", 1, 1), (3, "a", 1, 2)), path, ["k"])
