@@ -23,7 +23,7 @@ from gridlens.plans.bindings import (
 )
 from gridlens.plans.combined import combined_dataset
 from gridlens.plans.registry import query, r, rounded
-from gridlens.session import stage
+from gridlens.session import stage, stage_all
 
 # Percentiles of the price profile and the high-price cut.
 PERCENTILES = (0.01, 0.03, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.97, 0.99)
@@ -46,21 +46,24 @@ def durations(spark, sf_dir) -> DataFrame:
     return prices.with_regime_durations(prices.with_regime(stored_dart(spark, sf_dir)))
 
 
-def fuel(spark, sf_dir) -> DataFrame:
-    mix = fuels.fuel_mix_compare(event_fuel(spark, sf_dir, DA), event_fuel(spark, sf_dir, RT))
-    return fuels.with_fuel_flags(stage(mix, "fuel")).drop("region")
+def fuel_pair(spark, sf_dir) -> DataFrame:
+    return fuels.fuel_mix_compare(event_fuel(spark, sf_dir, DA), event_fuel(spark, sf_dir, RT))
 
 
-def weather(spark, sf_dir) -> DataFrame:
-    return stage(event_weather(spark, sf_dir), "weather")
+def hourly_tables(spark, sf_dir) -> dict[str, DataFrame]:
+    """Stored price, weather and fuel tables of the market."""
+    return stage_all(
+        dart=dart(spark, sf_dir), weather=event_weather(spark, sf_dir), fuel=fuel_pair(spark, sf_dir)
+    )
 
 
 def node_hours(spark, sf_dir) -> DataFrame:
     """Regimes with weather and fuel features per node hour."""
+    stored = hourly_tables(spark, sf_dir)
     return (
-        durations(spark, sf_dir)
-        .join(weather_features(weather(spark, sf_dir)), "start_time", "left")
-        .join(fuel(spark, sf_dir), "start_time", "left")
+        prices.with_regime_durations(prices.with_regime(stored["dart"]))
+        .join(weather_features(stored["weather"]), "start_time", "left")
+        .join(fuels.with_fuel_flags(stored["fuel"]).drop("region"), "start_time", "left")
     )
 
 
@@ -221,7 +224,7 @@ def _fuel_columns() -> str:
 @query("fuel_compare", sql("fuel", f"SELECT start_time, {_fuel_columns()} FROM fuel"))
 def fuel_compare(spark, sf_dir):
     """Day-ahead against real-time fuel mix with miss and low flags."""
-    return rounded(fuel(spark, sf_dir))
+    return rounded(fuels.with_fuel_flags(stage(fuel_pair(spark, sf_dir), "fuel")).drop("region"))
 
 
 @query(
@@ -282,9 +285,9 @@ _COMBINED = ("node", "start_time", "lmp_da_exante", "lmp_rt_expost", "lmp_da_exp
 )
 def combined_query(spark, sf_dir):
     """The combined analysis set."""
-    rows = combined_dataset(
-        stored_dart(spark, sf_dir), event_prices(spark, sf_dir, ALL), weather(spark, sf_dir), fuel(spark, sf_dir)
-    )
+    stored = hourly_tables(spark, sf_dir)
+    fuel = fuels.with_fuel_flags(stored["fuel"]).drop("region")
+    rows = combined_dataset(stored["dart"], event_prices(spark, sf_dir, ALL), stored["weather"], fuel)
     picked = rows.select(
         *_COMBINED, "lmp_dart_spread", "WindSpeedVolatility6h", "GasMW_PctDiff", "WindMW_RT_PctOfSeasonalAvg"
     ).withColumns({c: F.col(c).cast("long") for c in COUNTERS})

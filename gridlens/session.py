@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,3 +65,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = scratch_dir(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_all(**frames: DataFrame) -> dict[str, DataFrame]:
+    """:func:`stage` several independent frames; their write jobs run at the same time."""
+    with ThreadPoolExecutor(len(frames)) as pool:
+        stored = pool.map(stage, frames.values(), frames)
+        return dict(zip(frames, stored))
