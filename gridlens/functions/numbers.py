@@ -68,17 +68,24 @@ def equal_width_bin(x: Column, low: Column, high: Column, bins: int) -> Column:
 MAGNITUDE_STEPS = 512
 
 
-def order_slice(x: Column, low: Column, high: Column, bins: int) -> Column:
-    """Slice number that never decreases with ``x``: an equal-width bin, cut by magnitude.
+def magnitude_slice(x: Column) -> Column:
+    """Slice number that never decreases with ``x``: every power of two in equal steps.
 
-    Equal widths alone put everything near zero into one slice when a far outlier stretches
-    the range; the second part cuts every power of two into steps. Both parts are monotone,
-    so a group occupies at most as many slices as both have together. A rounding error of
-    the logarithm moves a value to the neighbouring power with the same step number.
+    A rounding error of the logarithm moves a value to the neighbouring power, where the
+    step makes up for it, so the number stays the same.
     """
     size = F.abs(x)
     power = F.floor(F.log2(size))
     step = F.floor(size / F.pow(F.lit(2.0), power) * MAGNITUDE_STEPS)
     magnitude = F.when(size > 0, (power + 1076) * MAGNITUDE_STEPS + step).otherwise(F.lit(0))
-    signed = F.when(x < 0, -magnitude).otherwise(magnitude)
-    return equal_width_bin(x, low, high, bins) * F.lit(1 << 22) + signed
+    return F.when(x < 0, -magnitude).otherwise(magnitude)
+
+
+def order_slice(x: Column, low: Column, high: Column, bins: int) -> Column:
+    """Slice number that never decreases with ``x``: an equal-width bin, cut by magnitude.
+
+    Equal widths alone put everything near zero into one slice when a far outlier stretches
+    the range, magnitudes alone put a narrow range far from zero into one. Both are
+    monotone, so a group occupies at most as many slices as both have together.
+    """
+    return equal_width_bin(x, low, high, bins) * F.lit(1 << 22) + magnitude_slice(x)

@@ -1,9 +1,13 @@
 """Exact quantiles, histograms, ECDF and profiles that stay distributed for hot groups.
 
-Spark's ``percentile`` keeps all distinct values of a group in one task. Here a group is cut
-into ordered slices (pure arithmetic on its min and max, so every evaluation agrees), slices
-are counted with partial aggregation, and only the slices that hold a wanted rank are
-sorted. Exact for any input; the largest sort is one slice's distinct values.
+Spark's ``percentile`` keeps all distinct values of a group in one task. Here values fall
+into ordered slices by plain arithmetic, slices are counted with partial aggregation, and
+only the slices that hold a wanted rank are sorted. Exact for any input.
+
+The small tables computed on the way (slices with a wanted rank, ranges of groups) are
+stored before they are joined to the rows. Spark then knows their real size: it broadcasts
+them below its threshold and shuffles above it, instead of shuffling every row by group
+because the size of an aggregate is not known while planning.
 """
 
 from __future__ import annotations
@@ -13,7 +17,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlens.functions.numbers import equal_width_bin, order_slice
+from gridlens.functions.numbers import equal_width_bin, magnitude_slice, order_slice
+from gridlens.session import stage
 
 SLICES = 4096
 EXPAND_STEP = 100_000
@@ -30,16 +35,19 @@ def _range(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def with_group_values(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add the columns of a one-row-per-group table; without keys, of a one-row table.
 
     The latter is a scalar subquery: a join without a key could broadcast the wrong side.
     """
     if keys:
-        return left.join(right, list(keys))
-    row = right.select(F.struct(*right.columns)).scalar()
-    packed = left.withColumn("_row", row)
-    return packed.select(*left.columns, *[F.col(f"_row.{c}").alias(c) for c in right.columns])
+        return rows.join(stage(groups, "groups"), list(keys))
+    packed = rows.withColumn("_row", groups.select(F.struct(*groups.columns)).scalar())
+    return packed.select(*rows.columns, *[F.col(f"_row.{c}").alias(c) for c in groups.columns])
+
+
+def _up_to(partition: Sequence[str], order: str):
+    return Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def exact_quantiles(
@@ -55,16 +63,15 @@ def exact_quantiles(
     ``method`` is ``linear`` (interpolate between neighbours) or ``nearest`` (rank
     ``(n - 1) * p`` rounded half up). NULL and NaN values are ignored; groups without values
     are absent. With no ``keys`` the result has one row, or none for an empty input.
+
+    The rows are read twice. The first pass counts slices by magnitude, which needs no
+    knowledge of the data; the second takes the slices with a wanted rank and cuts each into
+    ``slices`` equal parts of its own range before sorting.
     """
     if method not in ("linear", "nearest"):
         raise ValueError(f"unknown method: {method}")
     group = list(keys)
-    rows = _values(df, group, value)
-    span = _range(rows, group)
-    # The count is read on every use of the range, so that Spark plans the range only once.
-    sliced = _join(rows, span, group).where(F.col("_n") > 0).withColumn(
-        "_slice", order_slice(F.col("_v"), F.col("_low"), F.col("_high"), slices)
-    )
+    rows = _values(df, group, value).withColumn("_slice", magnitude_slice(F.col("_v")))
 
     def rank(n: Column, p: float) -> Column:
         return (n - 1) * F.lit(float(p))
@@ -74,34 +81,42 @@ def exact_quantiles(
             return [F.round(rank(n, p)).cast("long") for p in probs.values()]
         return [f(rank(n, p)).cast("long") for p in probs.values() for f in (F.floor, F.ceil)]
 
-    counts = sliced.groupBy(*group, "_slice").agg(
-        F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n")
+    counts = rows.groupBy(*group, "_slice").agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
     )
-    up_to = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_end", F.sum("_c").over(up_to)).withColumn(
-        "_begin", F.col("_end") - F.col("_c")
+    whole = Window.partitionBy(*group).orderBy("_slice").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
     )
+    ranked = counts.select(
+        "*", F.sum("_c").over(_up_to(group, "_slice")).alias("_end"), F.sum("_c").over(whole).alias("_n")
+    ).withColumn("_begin", F.col("_end") - F.col("_c"))
     ranks = F.array_distinct(F.array(*wanted_ranks(F.col("_n"))))
-    picked = ranked.select(
-        *group, "_slice", "_begin", "_n",
-        F.filter(ranks, lambda r: (r >= F.col("_begin")) & (r < F.col("_end"))).alias("_ranks"),
-    ).where(F.size("_ranks") > 0)
+    within = F.filter(ranks, lambda r: (r >= F.col("_begin")) & (r < F.col("_end")))
+    picked = stage(
+        ranked.select(*group, "_slice", "_begin", "_n", "_low", "_high", within.alias("_ranks")).where(
+            F.size("_ranks") > 0
+        ),
+        "slices",
+    )
 
-    in_picked = [*group, "_slice"]
+    in_slice, in_part = [*group, "_slice"], [*group, "_slice", "_part"]
+    part = equal_width_bin(F.col("_v"), F.col("_low"), F.col("_high"), slices)
     distinct = (
-        sliced.join(picked.select(*in_picked), in_picked, "left_semi")
-        .groupBy(*in_picked, "_v")
+        rows.join(picked.select(*in_slice, "_low", "_high"), in_slice)
+        .groupBy(*in_slice, part.alias("_part"), "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    in_slice = Window.partitionBy(*in_picked).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = (
-        distinct.withColumn("_in", F.sum("_c").over(in_slice))
-        .join(picked, in_picked)
-        .withColumn("_to", F.col("_begin") + F.col("_in"))
+    sizes = distinct.groupBy(*in_part).agg(F.sum("_c").alias("_size"))
+    offsets = sizes.select(
+        *in_part, (F.sum("_size").over(_up_to(in_slice, "_part")) - F.col("_size")).alias("_offset")
     )
-    hits = F.filter(
-        "_ranks", lambda r: (r >= F.col("_to") - F.col("_c")) & (r < F.col("_to"))
+    ordered = (
+        distinct.withColumn("_in", F.sum("_c").over(_up_to(in_part, "_v")))
+        .join(offsets, in_part)
+        .join(picked.select(*in_slice, "_begin", "_n", "_ranks"), in_slice)
+        .withColumn("_to", F.col("_begin") + F.col("_offset") + F.col("_in"))
     )
+    hits = F.filter("_ranks", lambda r: (r >= F.col("_to") - F.col("_c")) & (r < F.col("_to")))
     found = ordered.select(*group, "_n", F.explode(hits).alias("_rank"), "_v")
     # At most two ranks per probability reach this map.
     joined = found.groupBy(*group).agg(
@@ -143,7 +158,7 @@ def equal_width_histogram(
         *group, (F.col("_low") - half).alias("_low"), (F.col("_high") + half).alias("_high"), "_n"
     )
     counts = (
-        _join(rows, span, group)
+        with_group_values(rows, span, group)
         .withColumn("bin", equal_width_bin(F.col("_v"), F.col("_low"), F.col("_high"), bins))
         .groupBy(*group, "bin")
         .agg(
@@ -184,7 +199,7 @@ def empirical_cdf(
     rows = _values(df, keys, value)
     span = _range(rows, keys)
     distinct = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    sliced = _join(distinct, span, keys).withColumn(
+    sliced = with_group_values(distinct, span, keys).withColumn(
         "_slice", order_slice(F.col("_v"), F.col("_low"), F.col("_high"), slices)
     )
     sizes = sliced.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_size"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlens.functions.numbers import NORMAL_Z05, ratio, sample_kurtosis, sample_skewness, share
-from gridlens.operators.distribution import equal_width_histogram, exact_quantiles
+from gridlens.operators.distribution import equal_width_histogram, exact_quantiles, with_group_values
 
 
 def cvar_metrics(df: DataFrame, keys: Sequence[str], value: str, confidence: float = 0.99) -> DataFrame:
@@ -25,7 +25,7 @@ def cvar_metrics(df: DataFrame, keys: Sequence[str], value: str, confidence: flo
     )
     x = F.col("_x")
     left, right = x <= F.col("Left_Tail_Threshold"), x >= F.col("Right_Tail_Threshold")
-    joined = rows.join(limits, list(keys))
+    joined = with_group_values(rows, limits, keys)
     metrics = joined.groupBy(*keys).agg(
         F.avg(x).alias("Mean_Spread"),
         F.any_value("Median_Spread").alias("Median_Spread"),
@@ -109,10 +109,9 @@ def tail_compare(
     wide = metrics.groupBy(*keys).agg(*sides)
     x = F.col(value)
     names = [c for c in wide.columns if c not in keys]
+    event = df.where((F.col(sample) == "event") & x.isNotNull()).select(*keys, value)
     compared = (
-        df.where((F.col(sample) == "event") & x.isNotNull())
-        .select(*keys, value)
-        .join(wide, list(keys))
+        with_group_values(event, wide, keys)
         .where(F.col("hist_mean").isNotNull())
         .groupBy(*keys)
         .agg(

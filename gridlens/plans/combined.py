@@ -5,26 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.operators.fuel import pct_of_seasonal_avg
+from gridlens.operators.fuel import pct_of_seasonal_avg, with_fuel_flags
 from gridlens.operators.prices import with_regime, with_regime_durations
 from gridlens.operators.weather import weather_features
-from gridlens.session import stage
+from gridlens.session import stage, stage_all
 
 
-def combined_dataset(dart: DataFrame, expost: DataFrame, weather: DataFrame, fuel: DataFrame) -> DataFrame:
-    """Node hours with hourly features joined on time and the ex-post price on the key.
+def node_hours(dart: DataFrame, weather: DataFrame, fuel: DataFrame) -> DataFrame:
+    """Regimes and run lengths per node hour with weather and fuel features.
 
-    ``dart`` is the joined price table; ``weather`` (UTC) and ``fuel`` (flagged comparison
-    of one region) hold one row per hour. Spark broadcasts the hourly tables when they are
-    small enough and shuffles otherwise. The joined rows are stored once, because the wind
-    percentage needs their winter mean.
+    ``dart`` is the joined price table; ``weather`` (UTC) and ``fuel`` (comparison of one
+    region) hold one row per hour. The hourly features are stored before the join, so that
+    Spark sees their size: it broadcasts them when small and shuffles otherwise.
     """
-    prices = expost.select("node", "start_time", F.col("lmp").alias("lmp_da_expost"))
-    joined = (
+    features = stage_all(
+        weather=weather_features(weather), fuel=with_fuel_flags(fuel).drop("region")
+    )
+    return (
         with_regime_durations(with_regime(dart))
-        .join(weather_features(weather), "start_time", "left")
-        .join(fuel, "start_time", "left")
-        .join(prices, ["node", "start_time"], "left")
+        .join(features["weather"], "start_time", "left")
+        .join(features["fuel"], "start_time", "left")
     )
-    stored = stage(joined, "combined")
-    return pct_of_seasonal_avg(stored, "WindMW_RT", "WindMW_RT_PctOfSeasonalAvg")
+
+
+def combined_dataset(dart: DataFrame, expost: DataFrame, weather: DataFrame, fuel: DataFrame) -> DataFrame:
+    """:func:`node_hours` with the ex-post price and the wind output in percent of its winter mean.
+
+    The joined rows are stored once, because the percentage needs their mean.
+    """
+    prices = expost.select("node", "start_time", F.col("lmp").alias("lmp_da_expost"))
+    joined = node_hours(dart, weather, fuel).join(prices, ["node", "start_time"], "left")
+    return pct_of_seasonal_avg(stage(joined, "combined"), "WindMW_RT", "WindMW_RT_PctOfSeasonalAvg")

@@ -11,7 +11,6 @@ from gridlens.functions.labels import REGIMES, SCARCITY_REGIMES
 from gridlens.operators import fuel as fuels
 from gridlens.operators import prices
 from gridlens.operators.distribution import equal_width_histogram, profile
-from gridlens.operators.weather import weather_features
 from gridlens.plans.bindings import (
     ALL,
     DA,
@@ -21,7 +20,7 @@ from gridlens.plans.bindings import (
     event_weather,
     sql,
 )
-from gridlens.plans.combined import combined_dataset
+from gridlens.plans.combined import combined_dataset, node_hours
 from gridlens.plans.registry import query, r, rounded
 from gridlens.session import stage, stage_all
 
@@ -57,14 +56,9 @@ def hourly_tables(spark, sf_dir) -> dict[str, DataFrame]:
     )
 
 
-def node_hours(spark, sf_dir) -> DataFrame:
+def features(spark, sf_dir) -> DataFrame:
     """Regimes with weather and fuel features per node hour."""
-    stored = hourly_tables(spark, sf_dir)
-    return (
-        prices.with_regime_durations(prices.with_regime(stored["dart"]))
-        .join(weather_features(stored["weather"]), "start_time", "left")
-        .join(fuels.with_fuel_flags(stored["fuel"]).drop("region"), "start_time", "left")
-    )
+    return node_hours(**hourly_tables(spark, sf_dir))
 
 
 @query(
@@ -239,7 +233,7 @@ def fuel_compare(spark, sf_dir):
 )
 def regime_by_temperature(spark, sf_dir):
     """Percent of regimes and flags per temperature bucket."""
-    return rounded(fuels.regime_by_temperature(node_hours(spark, sf_dir)))
+    return rounded(fuels.regime_by_temperature(features(spark, sf_dir)))
 
 
 def _mix_sql() -> str:
@@ -256,7 +250,7 @@ def _mix_sql() -> str:
 @query("fuel_mix_by_temperature", sql("node_hours", _mix_sql()))
 def fuel_mix_by_temperature(spark, sf_dir):
     """Average fuel mix, its percentages and scarcity share per temperature bucket."""
-    return rounded(fuels.fuel_mix_by_temperature(node_hours(spark, sf_dir)))
+    return rounded(fuels.fuel_mix_by_temperature(features(spark, sf_dir)))
 
 
 @query(
@@ -285,9 +279,7 @@ _COMBINED = ("node", "start_time", "lmp_da_exante", "lmp_rt_expost", "lmp_da_exp
 )
 def combined_query(spark, sf_dir):
     """The combined analysis set."""
-    stored = hourly_tables(spark, sf_dir)
-    fuel = fuels.with_fuel_flags(stored["fuel"]).drop("region")
-    rows = combined_dataset(stored["dart"], event_prices(spark, sf_dir, ALL), stored["weather"], fuel)
+    rows = combined_dataset(expost=event_prices(spark, sf_dir, ALL), **hourly_tables(spark, sf_dir))
     picked = rows.select(
         *_COMBINED, "lmp_dart_spread", "WindSpeedVolatility6h", "GasMW_PctDiff", "WindMW_RT_PctOfSeasonalAvg"
     ).withColumns({c: F.col(c).cast("long") for c in COUNTERS})
