@@ -145,3 +145,26 @@ def test_tail_histogram_and_outcome(spreads):
     assert sorted(r.bin for r in bars if r.in_tail) == [0]
     out = risk.event_outcome(spreads, ["path"], "x", 2.0, 10).first()
     assert (out.actual_pnl, out.scaled_pnl) == (2.0, 20.0)
+
+
+def test_metrics_of_random_groups_match_numpy(spark):
+    rng = np.random.default_rng(4)
+    groups = {
+        "hot": np.round(rng.standard_t(2, 4000) * 20, 2),
+        "small": rng.normal(0, 1, 7),
+        "shifted": 1e5 + rng.random(300),
+        "flat": np.full(50, 3.0),
+    }
+    rows = [(k, float(x)) for k, xs in groups.items() for x in xs]
+    df = spark.createDataFrame(rows, "path string, x double").repartition(6)
+    out = {r.path: r for r in risk.cvar_metrics(df, ["path"], "x", 0.95).collect()}
+    assert set(out) == set(groups)
+    for k, xs in groups.items():
+        row, low, high = out[k], np.percentile(xs, 5), np.percentile(xs, 95)
+        assert row.Left_Tail_Threshold == pytest.approx(low, rel=1e-12)
+        assert row.CVaR_Left_Tail == pytest.approx(xs[xs <= low].mean(), rel=1e-12)
+        assert row.CVaR_Right_Tail == pytest.approx(xs[xs >= high].mean(), rel=1e-12)
+        assert row.n_left_tail_events == (xs <= low).sum()
+        assert row.Std_Spread == pytest.approx(xs.std(), rel=1e-6, abs=1e-9)
+        order = [row.CVaR_Left_Tail, row.Left_Tail_Threshold, row.Median_Spread, row.Right_Tail_Threshold, row.CVaR_Right_Tail]
+        assert order == sorted(order)
