@@ -155,7 +155,7 @@ OP5_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (
     SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
-        list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
     FROM d),
 win AS (
     SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS k
