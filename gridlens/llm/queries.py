@@ -1,6 +1,6 @@
 """All queries of the subpackage; importing the modules fills the registry."""
 
-from gridlens.llm import bpe, ngram_jaccard, quality, secrets  # noqa: F401
+from gridlens.llm import bpe, decontamination, ngram_jaccard, quality, secrets, sharding  # noqa: F401
 from gridlens.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
