@@ -1,15 +1,81 @@
-"""The corpus pipeline; its stages are filled in as the operators arrive."""
+"""The corpus pipeline: language, lines, near duplicates, benchmark passages, tokens.
+
+Every stage gets the table that its predecessor kept and returns the same columns; the last one returns
+token counts and digests. Between stages the table is written to the shared folder and read again.
+
+Null and empty texts are rejected by the first stage, as are texts without a letter. Rows without a key
+pass the near-duplicate stage untouched; of repeated rows of one key and text one stays. Columns beyond
+those of ``documents`` pass through every stage but the last.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridlens.llm import bpe, decontamination, language, line_dedup, ngram_jaccard
+from gridlens.llm.quality import NOT_WHITE
+from gridlens.session import stage
+
+# Mean probability of the found language below which a text is in none of the learnt ones.
+LANGUAGE_SCORE = 0.35
+SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """The number of characters follows a changed text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents of a learnt language."""
+    network = language.train(docs.where(~language.held_out()))
+    clear = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    found = language.predict(docs, network, columns=clear)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE)).select(*clear)
+
+
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut repeated lines; documents of which nothing is left go."""
+    left = line_dedup.dedup_lines(docs).where((F.col("_removed") == 0) | F.col("text").rlike(NOT_WHITE))
+    return _sized(left.drop("_lines", "_removed")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest key of each group of near copies."""
+    groups = ngram_jaccard.jaccard_components(docs, size=SHINGLE_WORDS, percent=SHINGLE_PERCENT)
+    gone = groups.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    keyed = docs.where("doc_id is not null").join(stage(gone, "near-duplicates"), "doc_id", "left_anti")
+    once = keyed.withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]).drop("_same")
+    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut benchmark passages; documents of which nothing is left go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _sized(decontamination.decontaminate(docs, benchmark, keep_emptied=False))
+
+
+def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left."""
+    return bpe.digests(docs, bpe.default_vocabulary())
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_deduplication),
+    ("ngram_jaccard", near_duplicates),
+    ("decontamination", benchmark_decontamination),
+    ("bpe", bpe_tokens),
+]
 
-STAGES: list = []
+# A trained network decides in the first stage, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

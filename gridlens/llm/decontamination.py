@@ -296,9 +296,14 @@ def search(df: DataFrame, benchmark: DataFrame, columns: list[str], text: str =
     return _search(df, benchmark, columns, text, None).withColumnsRenamed({f"_c{k}": c for k, c in enumerate(columns)})
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``df``, hit spans cut out of the texts; other text stays as it is."""
+def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", keep_emptied: bool = True) -> DataFrame:
+    """All columns of ``df``, hit spans cut out of the texts; other text stays as it is.
+
+    Without ``keep_emptied`` rows go that were cut and have no letter or digit left.
+    """
     cleaned = _search(df, benchmark, df.columns, text, "clean")
+    if not keep_emptied:
+        cleaned = cleaned.where((F.size("_hit") == 0) | F.col("_text").rlike(r"[\p{L}\p{N}]"))
     return cleaned.select(*[F.col("_text" if c == text else f"_c{k}").alias(c) for k, c in enumerate(df.columns)])
 
 

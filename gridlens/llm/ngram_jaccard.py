@@ -109,14 +109,14 @@ def _schema(text: str):
     return StructType.fromDDL(text)
 
 
-def _groups(reps: DataFrame, percent: int) -> DataFrame:
+def _groups(reps: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """``rep, n, class, group, tokens``: prefixes of the classes that may have partners."""
     n = F.col("n")
-    entries = reps.select("rep", "n", "class", F.explode("least").alias("token"))
+    entries = reps.select("class", F.explode("least").alias("token"))
     often = entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = entries.join(often, "token").groupBy("rep", "n", "class").agg(
+    shared = entries.join(often, "token").groupBy("class").agg(
         F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s")
-    )
+    ).join(classes, "class")
     # Shingles of one class only come first in the order and meet nobody.
     left = _kept(n, percent) - (_indexed(n, percent) - F.size("s"))
     prefixes = shared.where(left > 0).select(
@@ -215,8 +215,8 @@ def jaccard_components(
     known = classes.where("rep is not null")
     reps = described.join(
         known.select(F.col("rep").alias("id"), "rep", F.col("class").alias("c"), F.col("n").alias("m")), "id"
-    ).where("class = c and n = m").select("rep", "n", "class", "least").dropDuplicates(["rep", "class"])
-    placed = stage(_candidates(_groups(reps, percent)), "jaccard-placed")
+    ).where("class = c and n = m").select("rep", "class", "least").dropDuplicates(["rep", "class"])
+    placed = stage(_candidates(_groups(reps, known, percent)), "jaccard-placed")
     blocks = placed.groupBy("part").agg(
         F.count("*").alias("k"), F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")
     ).where("k > 1")
@@ -229,7 +229,8 @@ def jaccard_components(
     )
     wanted = stage(tasks, "jaccard-tasks")
     bodies = df.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("body"))
-    links = bodies.join(wanted, "rep").groupBy("part", "i", "j").applyInPandas(
+    # One plan at every size: texts and tasks meet by a shuffle.
+    links = bodies.join(wanted.hint("merge"), "rep").groupBy("part", "i", "j").applyInPandas(
         _verifier(size, percent), _schema("a long, b long")
     )
     found = connected_components(links, "a", "b", "jaccard-links")

@@ -1,6 +1,8 @@
 """All queries of the subpackage; importing the modules fills the registry."""
 
-from gridlens.llm import bpe, decontamination, language, line_dedup, ngram_jaccard, quality, secrets, sharding, toxicity  # noqa: F401
+from gridlens.llm import (  # noqa: F401
+    bpe, decontamination, language, line_dedup, ngram_jaccard, quality, secrets, sharding, token_counts, toxicity,
+)
 from gridlens.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
