@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,15 +56,40 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return tempfile.mkdtemp(prefix=f"gridlens-{label}-") + "/table"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+# Folders made inside each open scope, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A scope at whose end the tables staged inside it are deleted, and nothing else.
+
+    Read what you need before the scope ends, or stage the result with ``outer=True``.
+    """
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stage(df: DataFrame, label: str, outer: bool = False) -> DataFrame:
     """Write ``df`` to the scratch area and read it back.
 
     Operators that look at their input more than once (exact quantiles, histograms, chunked
     series) would otherwise repeat the whole upstream per look. The stored copy also cuts
-    the lineage, so a lost executor does not bring the upstream back.
+    the lineage, so a lost executor does not bring the upstream back. Inside a :func:`scratch`
+    scope the copy lives until the scope ends, with ``outer`` until the enclosing one does.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, label)
+    scope = _SCOPES[:-1] if outer else _SCOPES
+    if scope:
+        scope[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

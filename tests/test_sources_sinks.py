@@ -208,3 +208,20 @@ def test_stream_equals_batch_and_repeats_insert_nothing(spark, tmp_path):
     # Same landing folder, new checkpoint: every key is stored already.
     checkpoint = scratch_dir(spark, "checkpoint")
     assert len(run()) == 3
+
+
+def test_scratch_deletes_its_own_tables_only(spark):
+    from pathlib import Path
+
+    from gridlens.session import scratch, stage
+
+    rows = spark.range(3)
+    kept = stage(rows, "kept")
+    with scratch(spark):
+        inner = stage(rows, "inner")
+        with scratch(spark):
+            deeper, result = stage(rows, "deeper"), stage(rows, "result", outer=True)
+            folders = [Path(df.inputFiles()[0].removeprefix("file:")).parent for df in (kept, inner, deeper, result)]
+        assert [f.exists() for f in folders] == [True, True, False, True]
+        assert result.count() == 3
+    assert [f.exists() for f in folders] == [True, False, False, False]
