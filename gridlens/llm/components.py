@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.session import stage
+from gridlens.session import scratch, stage
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -23,6 +23,15 @@ def connected_components(edges: DataFrame, a: str, b: str, label: str = "compone
     costs one row per neighbour, and its minimum is formed before rows are exchanged. Null nodes have
     no edges.
     """
+    with scratch(edges.sparkSession):
+        e = stage(_rounds(edges, a, b, label), label, outer=True)
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        e.select(F.col("v").alias("node"), F.col("v").alias("component"))
+    ).distinct()
+
+
+def _rounds(edges: DataFrame, a: str, b: str, label: str) -> DataFrame:
+    """The edges as stars: every node with the smallest one of its component."""
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = stage(e, label)
     before = _checksum(e)
@@ -37,6 +46,4 @@ def connected_components(edges: DataFrame, a: str, b: str, label: str = "compone
         if after == before:
             break
         before = after
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    ).distinct()
+    return e

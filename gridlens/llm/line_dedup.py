@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from gridlens.llm.quality import WHITE, let
 from gridlens.llm.registry import query, table
 from gridlens.llm.scratch import forget_shuffles
-from gridlens.session import stage
+from gridlens.session import scratch, stage
 
 MIN_WORDS = 5
 NEAR_WORDS = 10
@@ -111,9 +111,7 @@ def _near(df: DataFrame, distinct: DataFrame, key: str, text: str) -> DataFrame:
     mine = lines.select("line", F.col("words").alias("a"))
     theirs = lines.select(F.col("line").alias("other"), F.col("words").alias("b"))
     verified = pairs.join(mine, "line").join(theirs, "other").where(_within_one("a", "b"))
-    out = stage(verified.select("line"), "line-near")
-    forget_shuffles(spark)
-    return out
+    return stage(verified.select("line"), "line-near", outer=True)
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -134,26 +132,30 @@ def dedup_lines(
     df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS
 ) -> DataFrame:
     """All columns of ``df`` with repeated lines cut from the text, ``_lines`` and ``_removed`` counts."""
-    lines = stage(_lines(df, key, text, min_words, near_words), "lines")
-    distinct = stage(
-        lines.groupBy("line").agg(
-            F.min(F.struct("_k", "_h", "at")).alias("first"), F.count("*").alias("c"),
-            F.first("n").alias("n"), F.first("halves").alias("halves"),
-        ),
-        "line-distinct",
-    )
-    forget_shuffles(df.sparkSession)
-    near = _near(df, distinct, key, text).withColumn("near", F.lit(True))
-    affected = distinct.join(near, "line", "left").where("near or c > 1").select(
-        "line", F.coalesce("near", F.lit(False)).alias("near"), F.col("first").alias("earliest")
-    )
-    gone = stage(
-        lines.select("_k", "_h", "at", "line").join(affected, "line").where(
-            F.col("near") | (F.struct("_k", "_h", "at") != F.col("earliest"))
-        ).groupBy("_k", "_h").agg(F.collect_set("at").alias("_gone")),
-        "line-gone",
-    )
-    forget_shuffles(df.sparkSession)
+    spark = df.sparkSession
+    with scratch(spark):
+        lines = stage(_lines(df, key, text, min_words, near_words), "lines")
+        distinct = stage(
+            lines.groupBy("line").agg(
+                F.min(F.struct("_k", "_h", "at")).alias("first"), F.count("*").alias("c"),
+                F.first("n").alias("n"), F.first("halves").alias("halves"),
+            ),
+            "line-distinct",
+        )
+        forget_shuffles(spark)
+        with scratch(spark):
+            near = _near(df, distinct, key, text).withColumn("near", F.lit(True))
+        forget_shuffles(spark)
+        affected = distinct.join(near, "line", "left").where("near or c > 1").select(
+            "line", F.coalesce("near", F.lit(False)).alias("near"), F.col("first").alias("earliest")
+        )
+        gone = stage(
+            lines.select("_k", "_h", "at", "line").join(affected, "line").where(
+                F.col("near") | (F.struct("_k", "_h", "at") != F.col("earliest"))
+            ).groupBy("_k", "_h").agg(F.collect_set("at").alias("_gone")),
+            "line-gone", outer=True,
+        )
+    forget_shuffles(spark)
     source = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(df.columns)], *_identity(df, key, text))
     body = f"_c{df.columns.index(text)}"
     joined = source.join(gone, ["_k", "_h"], "left")

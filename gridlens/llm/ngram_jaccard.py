@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from gridlens.llm.components import connected_components
 from gridlens.llm.registry import query, table
+from gridlens.llm.scratch import forget_shuffles
 from gridlens.llm.text import LOWER, SPACED, mix, string_chunks, window_hashes, word_hashes, word_spans
-from gridlens.session import stage
+from gridlens.session import scratch, stage
 
 # Shingles of one block in verification; a task holds two blocks.
 BLOCK_SHINGLES = 400_000
@@ -200,19 +201,8 @@ def _verifier(size: int, percent: int):
     return verify
 
 
-def jaccard_components(
-    df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90
-) -> DataFrame:
-    """``key, n_shingles, component_id, class_id`` of every row.
-
-    ``component_id`` is the smallest key reachable by links of at least ``percent`` Jaccard similarity
-    over ``size``-word shingles; ``class_id`` is the smallest key with the same shingle set.
-    """
-    described = stage(_describe(df, key, text, size, percent), "jaccard-sets")
-    classes = stage(
-        described.where("n > 0").groupBy("class", "n").agg(F.min("id").alias("rep")), "jaccard-classes"
-    )
-    known = classes.where("rep is not null")
+def _tasks(described: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """``rep, class, part, i, j``: which classes are compared in which pair of blocks of a part."""
     reps = described.join(
         known.select(F.col("rep").alias("id"), "rep", F.col("class").alias("c"), F.col("n").alias("m")), "id"
     ).where("class = c and n = m").select("rep", "class", "least").dropDuplicates(["rep", "class"])
@@ -221,24 +211,44 @@ def jaccard_components(
         F.count("*").alias("k"), F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")
     ).where("k > 1")
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    tasks = placed.join(blocks, "part").withColumn("mine", mine).select(
+    spread = placed.join(blocks, "part").withColumn("mine", mine).select(
         "rep", "class", "part", "mine",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "blocks",
-    ).where("blocks = 1 or other <> mine").select(
-        "rep", "class", "part", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")
     )
-    wanted = stage(tasks, "jaccard-tasks")
-    bodies = df.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("body"))
-    # One plan at every size: texts and tasks meet by a shuffle.
-    links = bodies.join(wanted.hint("merge"), "rep").groupBy("part", "i", "j").applyInPandas(
-        _verifier(size, percent), _schema("a long, b long")
+    return spread.where("blocks = 1 or other <> mine").select(
+        "rep", "class", "part", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")
     )
-    found = connected_components(links, "a", "b", "jaccard-links")
+
+
+def jaccard_components(
+    df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90
+) -> DataFrame:
+    """``key, n_shingles, component_id, class_id`` of every row.
+
+    ``component_id`` is the smallest key reachable by links of at least ``percent`` Jaccard similarity
+    over ``size``-word shingles; ``class_id`` is the smallest key with the same shingle set.
+    """
+    spark = df.sparkSession
+    with scratch(spark):
+        described = stage(_describe(df, key, text, size, percent), "jaccard-sets")
+        rows = stage(described.select("id", "n", "class"), "jaccard-rows", outer=True)
+        classes = stage(
+            rows.where("n > 0").groupBy("class", "n").agg(F.min("id").alias("rep")), "jaccard-classes", outer=True
+        )
+        wanted = stage(_tasks(described, classes.where("rep is not null"), percent), "jaccard-tasks")
+        forget_shuffles(spark)
+        bodies = df.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("body"))
+        # One plan at every size: texts and tasks meet by a shuffle.
+        links = bodies.join(wanted.hint("merge"), "rep").groupBy("part", "i", "j").applyInPandas(
+            _verifier(size, percent), _schema("a long, b long")
+        )
+        found = stage(connected_components(links, "a", "b", "jaccard-links"), "jaccard-components", outer=True)
+    forget_shuffles(spark)
     labelled = classes.join(found, classes["rep"] == found["node"], "left").select(
         F.col("class").alias("c"), F.col("n").alias("m"), F.col("rep").alias("class_id"),
         F.coalesce("component", "rep").alias("component_id"),
     )
-    joined = described.select("id", "n", "class").join(
+    joined = rows.join(
         labelled, (F.col("class") == F.col("c")) & (F.col("n") == F.col("m")), "left"
     )
     return joined.select(
