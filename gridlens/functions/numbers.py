@@ -19,7 +19,7 @@ def ratio(x: Column, y: Column) -> Column:
     return F.try_divide(x, y)
 
 
-def exact_sum(x: Column, scale: int = 2) -> Column:
+def exact_sum(x: Column, scale: int) -> Column:
     """Sum of fixed-point values, the same whatever order the rows arrive in.
 
     Added up as whole units of the last digit, which is exact and cheaper than decimals.
@@ -28,7 +28,7 @@ def exact_sum(x: Column, scale: int = 2) -> Column:
     return F.sum(F.rint(x * unit).cast("long")) / unit
 
 
-def exact_avg(x: Column, scale: int = 2) -> Column:
+def exact_avg(x: Column, scale: int) -> Column:
     """Mean of fixed-point values through :func:`exact_sum`."""
     return F.try_divide(exact_sum(x, scale), F.count(x))
 
@@ -63,12 +63,28 @@ def sample_kurtosis(x: Column) -> Column:
 
 def equal_width_bin(x: Column, low: Column, high: Column, bins: int) -> Column:
     """0-based slice of ``[low, high]``; slices are left-closed, the last one closed."""
-    slot = F.floor((x - low) / (high - low) * bins)
-    return F.when(high > low, F.least(slot, F.lit(bins - 1).cast("long"))).otherwise(
-        F.lit(0).cast("long")
+    last = F.lit(bins - 1).cast("long")
+    inside = F.least(F.floor((x - low) / (high - low) * bins), last)
+    return (
+        F.when((high > low) & (x > low) & (x < high), inside)
+        .when((high > low) & (x >= high), last)
+        .otherwise(F.lit(0).cast("long"))
     )
 
 
+def bin_edge(low: Column, high: Column, bins: int, number: Column) -> Column:
+    """Left edge of a histogram bin."""
+    return low + number * ((high - low) / bins)
+
+
+def histogram_bin(x: Column, low: Column, high: Column, bins: int) -> Column:
+    """:func:`equal_width_bin`, then moved to the bin whose edges, as computed, hold ``x``."""
+    slot = equal_width_bin(x, low, high, bins)
+    below = (slot > 0) & (x < bin_edge(low, high, bins, slot))
+    above = (slot < bins - 1) & (x >= bin_edge(low, high, bins, slot + 1))
+    return F.when(below, slot - 1).when(above, slot + 1).otherwise(slot)
+
+
 MAGNITUDE_STEPS = 512
 
 
@@ -76,12 +92,13 @@ def magnitude_slice(x: Column) -> Column:
     """Slice number that never decreases with ``x``: every power of two in equal steps.
 
     A rounding error of the logarithm moves a value to the neighbouring power, where the
-    step makes up for it, so the number stays the same.
+    step makes up for it, so the number stays the same. Infinities get the outermost numbers.
     """
-    size = F.abs(x)
+    size = F.when(F.abs(x) < float("inf"), F.abs(x))
     power = F.floor(F.log2(size))
     step = F.floor(size / F.pow(F.lit(2.0), power) * MAGNITUDE_STEPS)
-    magnitude = F.when(size > 0, (power + 1076) * MAGNITUDE_STEPS + step).otherwise(F.lit(0))
+    finite = F.when(size > 0, (power + 1076) * MAGNITUDE_STEPS + step).when(size == 0, F.lit(0))
+    magnitude = F.coalesce(finite, F.lit(2200 * MAGNITUDE_STEPS))
     return F.when(x < 0, -magnitude).otherwise(magnitude)
 
 

@@ -8,6 +8,9 @@ The small tables computed on the way (slices with a wanted rank, ranges of group
 stored before they are joined to the rows. Spark then knows their real size: it broadcasts
 them below its threshold and shuffles above it, instead of shuffling every row by group
 because the size of an aggregate is not known while planning.
+
+Groups are structs of their keys inside, in which NULL equals NULL: a NULL group is a group like any
+other. NULL and NaN values are ignored everywhere; histograms also leave out infinities.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlens.functions.numbers import equal_width_bin, magnitude_slice, order_slice
+from gridlens.functions.numbers import bin_edge, equal_width_bin, histogram_bin, magnitude_slice, order_slice
 from gridlens.session import stage
 
 SLICES = 4096
@@ -26,22 +29,43 @@ EXPAND_STEP = 100_000
 
 def _values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     x = F.col(value).cast("double")
-    return df.select(*keys, x.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    return df.select(*_packed(keys), x.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+
+
+def _packed(keys: Sequence[str]) -> list[Column]:
+    return [F.struct(*keys).alias("_g")] if keys else []
+
+
+def _group(keys: Sequence[str]) -> list[str]:
+    return ["_g"] if keys else []
+
+
+def _unpacked(keys: Sequence[str]) -> list[Column]:
+    return [F.col("_g").getField(k).alias(k) for k in keys]
+
+
+def _finite(x: Column) -> Column:
+    return F.when(F.abs(x) < float("inf"), x)
 
 
-def _range(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(
-        F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("_v").alias("_n")
+def _range(rows: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Finite range and number of values of each group."""
+    return rows.groupBy(*group).agg(
+        F.min(_finite(F.col("_v"))).alias("_low"), F.max(_finite(F.col("_v"))).alias("_high"), F.count("_v").alias("_n")
     )
 
 
-def with_group_values(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+def with_group_values(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Add the columns of a one-row-per-group table; without keys, of a one-row table.
 
-    The latter is a scalar subquery: a join without a key could broadcast the wrong side.
+    NULL keys match each other. The table is stored first, so that Spark joins it by its real
+    size. Without keys it is a scalar subquery: a join without a key could broadcast the wrong side.
     """
     if keys:
-        return rows.join(stage(groups, "groups"), list(keys))
+        small = stage(groups, "groups")
+        theirs = small.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], *[c for c in small.columns if c not in keys])
+        same = [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)]
+        return rows.join(theirs, same, how).drop(*[f"_{i}" for i in range(len(keys))])
     packed = rows.withColumn("_row", groups.select(F.struct(*groups.columns)).scalar())
     return packed.select(*rows.columns, *[F.col(f"_row.{c}").alias(c) for c in groups.columns])
 
@@ -70,8 +94,8 @@ def exact_quantiles(
     """
     if method not in ("linear", "nearest"):
         raise ValueError(f"unknown method: {method}")
-    group = list(keys)
-    rows = _values(df, group, value).withColumn("_slice", magnitude_slice(F.col("_v")))
+    group = _group(keys)
+    rows = _values(df, keys, value).withColumn("_slice", magnitude_slice(F.col("_v")))
 
     def rank(n: Column, p: float) -> Column:
         return (n - 1) * F.lit(float(p))
@@ -132,9 +156,9 @@ def exact_quantiles(
         if method == "nearest":
             return at(F.round(r))
         low, high = at(F.floor(r)), at(F.ceil(r))
-        return low + (high - low) * (r - F.floor(r))
+        return F.when(low == high, low).otherwise(low + (high - low) * (r - F.floor(r)))
 
-    return joined.select(*keys, *[quantile(p).alias(name) for name, p in probs.items()])
+    return joined.select(*_unpacked(keys), *[quantile(p).alias(name) for name, p in probs.items()])
 
 
 def equal_width_histogram(
@@ -147,11 +171,11 @@ def equal_width_histogram(
 ) -> DataFrame:
     """Counts per bin between a group's minimum and maximum.
 
-    Bins are left-closed and the maximum falls into the last one. A group with a single
+    Bins are left-closed by their computed edges and the maximum falls into the last one. A group with a single
     distinct value gets a range of one unit around it. ``bin_center`` is the true midpoint.
     """
-    group = list(keys)
-    rows = _values(df, group, value)
+    group = _group(keys)
+    rows = _values(df, keys, value).where(F.abs("_v") < float("inf"))
     flat = F.col("_low") == F.col("_high")
     half = F.when(flat, 0.5).otherwise(0.0)
     span = _range(rows, group).select(
@@ -159,7 +183,7 @@ def equal_width_histogram(
     )
     counts = (
         with_group_values(rows, span, group)
-        .withColumn("bin", equal_width_bin(F.col("_v"), F.col("_low"), F.col("_high"), bins))
+        .withColumn("bin", histogram_bin(F.col("_v"), F.col("_low"), F.col("_high"), bins))
         .groupBy(*group, "bin")
         .agg(
             F.count(F.lit(1)).alias("count"),
@@ -174,7 +198,7 @@ def equal_width_histogram(
             0, ["count"]
         )
     width = (F.col("_high") - F.col("_low")) / bins
-    left = F.col("_low") + F.col("bin") * width
+    left = bin_edge(F.col("_low"), F.col("_high"), bins, F.col("bin"))
     columns = [
         F.col("bin").cast("long").alias("bin"),
         left.alias("bin_left"),
@@ -184,7 +208,7 @@ def equal_width_histogram(
     ]
     if density:
         columns.append((F.col("count") / (F.col("_n") * width)).alias("density"))
-    return counts.select(*keys, *columns)
+    return counts.select(*_unpacked(keys), *columns)
 
 
 def empirical_cdf(
@@ -196,38 +220,39 @@ def empirical_cdf(
     written out in pieces of ``step`` that are redistributed, so one value holding a third
     of a sample does not stay in one task.
     """
+    group = _group(keys)
     rows = _values(df, keys, value)
-    span = _range(rows, keys)
-    distinct = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    sliced = with_group_values(distinct, span, keys).withColumn(
+    span = _range(rows, group)
+    distinct = rows.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    sliced = with_group_values(distinct, span, group).withColumn(
         "_slice", order_slice(F.col("_v"), F.col("_low"), F.col("_high"), slices)
     )
-    sizes = sliced.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_size"))
+    sizes = sliced.groupBy(*group, "_slice").agg(F.sum("_c").alias("_size"))
     earlier = (
-        Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = sizes.select(
-        *keys, "_slice", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset")
+        *group, "_slice", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset")
     )
     in_slice = (
-        Window.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*group, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     )
     ends = (
         sliced.withColumn("_in", F.sum("_c").over(in_slice))
-        .join(offsets, [*keys, "_slice"])
+        .join(offsets, [*group, "_slice"])
         .withColumn("_to", F.col("_offset") + F.col("_in"))
         .withColumn("_from", F.col("_to") - F.col("_c") + 1)
     )
     pieces = ends.select(
-        *keys, "_v", "_n", "_to",
+        *group, "_v", "_n", "_to",
         F.explode(F.sequence(F.col("_from"), F.col("_to"), F.lit(step).cast("long"))).alias("_piece"),
     )
-    spread = pieces.repartition(*keys, "_piece")
+    spread = pieces.repartition(*group, "_piece")
     last = F.least(F.col("_piece") + step - 1, F.col("_to"))
     return spread.select(
-        *keys, F.col("_v").alias(value), "_n",
+        *group, F.col("_v").alias(value), "_n",
         F.explode(F.sequence(F.col("_piece"), last)).alias("rank"),
-    ).select(*keys, value, "rank", (F.col("rank") / F.col("_n")).alias("cdf"))
+    ).select(*_unpacked(keys), value, "rank", (F.col("rank") / F.col("_n")).alias("cdf"))
 
 
 def profile(
@@ -246,7 +271,7 @@ def profile(
         F.min("_x").alias("min"),
         F.max("_x").alias("max"),
     )
-    return basic.join(exact_quantiles(long, group, "_x", percentiles), group, "left")
+    return with_group_values(basic, exact_quantiles(long, group, "_x", percentiles), group, "left")
 
 
 def box_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -255,4 +280,4 @@ def box_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("count")
     )
     middle = exact_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    return ends.join(middle, list(keys), "left")
+    return with_group_values(ends, middle, keys, "left")

@@ -5,7 +5,9 @@ series into calendar chunks, work inside the chunks, and carry a one-row summary
 forward. Only the summaries are ordered per entity, so an entity that holds a third of all
 rows is spread over as many tasks as it has chunks. Results equal those of the plain window.
 
-``order`` must be unique inside an entity; ``chunk`` is a ``date_trunc`` unit.
+``order`` must be unique inside an entity; ``chunk`` is a ``date_trunc`` unit. Rows with a NULL key form an
+entity of their own and rows with a NULL time come first, as in a plain window; chunks are joined on
+structs, in which NULL equals NULL.
 """
 
 from __future__ import annotations
@@ -19,33 +21,41 @@ DEFAULT_CHUNK = "month"
 BLOCK_ROWS = 8192
 
 
-def _chunked(df: DataFrame, order: str, chunk: str) -> DataFrame:
-    return df.withColumn("_chunk", F.date_trunc(chunk, F.col(order)))
+PLACE = ["_entity", "_chunk"]
 
 
-def _local(keys: Sequence[str], order: str):
-    return Window.partitionBy(*keys, "_chunk").orderBy(order)
+def _chunked(df: DataFrame, keys: Sequence[str], order: str, chunk: str) -> DataFrame:
+    return df.withColumns(
+        {
+            "_entity": F.struct(F.lit(0), *keys),
+            "_chunk": F.struct(F.date_trunc(chunk, F.col(order))),
+        }
+    )
+
+
+def _local(order: str):
+    return Window.partitionBy(*PLACE).orderBy(order)
 
 
-def _before(keys: Sequence[str]):
+def _before():
     """All earlier chunks of the entity."""
-    return Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy("_entity").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def with_position(
     df: DataFrame, keys: Sequence[str], order: str, out: str = "position", chunk: str = DEFAULT_CHUNK
 ) -> DataFrame:
     """1-based row number of each row inside its entity."""
-    rows = _chunked(df, order, chunk)
-    sizes = rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    rows = _chunked(df, keys, order, chunk)
+    sizes = rows.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(
-        *keys, "_chunk", F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0)).alias("_offset")
+        *PLACE, F.coalesce(F.sum("_n").over(_before()), F.lit(0)).alias("_offset")
     )
-    numbered = rows.withColumn("_row", F.row_number().over(_local(keys, order)))
+    numbered = rows.withColumn("_row", F.row_number().over(_local(order)))
     return (
-        numbered.join(offsets, [*keys, "_chunk"])
+        numbered.join(offsets, PLACE)
         .withColumn(out, F.col("_offset") + F.col("_row"))
-        .drop("_chunk", "_offset", "_row")
+        .drop(*PLACE, "_offset", "_row")
     )
 
 
@@ -134,18 +144,18 @@ def running_sum(
     df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, chunk: str = DEFAULT_CHUNK
 ) -> DataFrame:
     """Running total of ``value`` in time order; NULL values add nothing."""
-    rows = _chunked(df, order, chunk)
+    rows = _chunked(df, keys, order, chunk)
     amount = F.coalesce(F.col(value), F.lit(0))
-    totals = rows.groupBy(*keys, "_chunk").agg(F.sum(amount).alias("_total"))
+    totals = rows.groupBy(*PLACE).agg(F.sum(amount).alias("_total"))
     carried = totals.select(
-        *keys, "_chunk", F.coalesce(F.sum("_total").over(_before(keys)), F.lit(0)).alias("_carry")
+        *PLACE, F.coalesce(F.sum("_total").over(_before()), F.lit(0)).alias("_carry")
     )
-    inside = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = _local(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         rows.withColumn("_inside", F.sum(amount).over(inside))
-        .join(carried, [*keys, "_chunk"])
+        .join(carried, PLACE)
         .withColumn(out, F.col("_carry") + F.col("_inside"))
-        .drop("_chunk", "_inside", "_carry")
+        .drop(*PLACE, "_inside", "_carry")
     )
 
 
@@ -168,27 +178,27 @@ def run_counters(
     """
     since = dict(since or {})
     marks = {f"_mark_{i}": flag for i, flag in enumerate(since.values())}
-    local = _local(keys, order)
+    local = _local(order)
     so_far = local.rowsBetween(Window.unboundedPreceding, 0)
     row = F.row_number().over(local)
     changed = (row > 1) & ~F.lag("_label").over(local).eqNullSafe(F.col("_label"))
 
-    labelled = _chunked(df, order, chunk).withColumns({"_label": label, **marks})
+    labelled = _chunked(df, keys, order, chunk).withColumns({"_label": label, **marks})
     numbered = labelled.withColumns({"_row": row, "_changed": changed})
     last_rows = {"_change_row": F.max(F.when(F.col("_changed"), F.col("_row"))).over(so_far)}
     for mark in marks:
         last_rows[f"{mark}_row"] = F.max(F.when(F.col(mark), F.col("_row"))).over(so_far)
     inside = numbered.withColumns(last_rows)
 
-    summary = numbered.groupBy(*keys, "_chunk").agg(
+    summary = numbered.groupBy(*PLACE).agg(
         F.max("_row").alias("_n"),
         F.min_by("_label", "_row").alias("_first"),
         F.max_by("_label", "_row").alias("_last"),
         F.max(F.when(F.col("_changed"), F.col("_row"))).alias("_change_end"),
         *[F.max(F.when(F.col(m), F.col("_row"))).alias(f"{m}_end") for m in marks],
     )
-    before = _before(keys)
-    chunk_order = Window.partitionBy(*keys).orderBy("_chunk")
+    before = _before()
+    chunk_order = Window.partitionBy("_entity").orderBy("_chunk")
     placed = summary.withColumns(
         {
             "_offset": F.coalesce(F.sum("_n").over(before), F.lit(0)),
@@ -201,8 +211,7 @@ def run_counters(
     ends.update({f"{m}_end": F.col("_offset") + F.col(f"{m}_end") for m in marks})
     ended = placed.withColumns(ends)
     carried = ended.select(
-        *keys,
-        "_chunk",
+        *PLACE,
         "_offset",
         F.when(F.col("_fresh"), F.col("_offset") + 1)
         .otherwise(F.max("_change_end").over(before))
@@ -218,7 +227,7 @@ def run_counters(
     for name, mark in zip(since, marks):
         last = F.coalesce(F.col("_offset") + F.col(f"{mark}_row"), F.col(f"{mark}_carry"), F.lit(1))
         result[name] = position - last
-    return inside.join(carried, [*keys, "_chunk"]).select(
+    return inside.join(carried, PLACE).select(
         *df.columns, *[column.alias(name) for name, column in result.items()]
     )
 
@@ -236,20 +245,19 @@ def elapsed_since(
     Differs from counting rows where hours are missing from the series.
     """
     marks = {f"_mark_{i}": flag for i, flag in enumerate(since.values())}
-    rows = _chunked(df, order, chunk).withColumns(marks)
+    rows = _chunked(df, keys, order, chunk).withColumns(marks)
     marked = {m: F.max(F.when(F.col(m), F.col(order))) for m in marks}
-    summary = rows.groupBy(*keys, "_chunk").agg(
+    summary = rows.groupBy(*PLACE).agg(
         F.min(order).alias("_first"), *[last.alias(f"{m}_last") for m, last in marked.items()]
     )
-    before = _before(keys)
-    whole = Window.partitionBy(*keys)
+    before = _before()
+    whole = Window.partitionBy("_entity")
     carried = summary.select(
-        *keys,
-        "_chunk",
+        *PLACE,
         F.min("_first").over(whole).alias("_begin"),
         *[F.max(f"{m}_last").over(before).alias(f"{m}_carry") for m in marks],
     )
-    so_far = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    so_far = _local(order).rowsBetween(Window.unboundedPreceding, 0)
     inside = rows.withColumns({f"{m}_here": last.over(so_far) for m, last in marked.items()})
     elapsed = [
         F.timestamp_diff(
@@ -257,7 +265,7 @@ def elapsed_since(
         ).alias(name)
         for name, m in zip(since, marks)
     ]
-    return inside.join(carried, [*keys, "_chunk"]).select(*df.columns, *elapsed)
+    return inside.join(carried, PLACE).select(*df.columns, *elapsed)
 
 
 def spells(

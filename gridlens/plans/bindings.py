@@ -40,6 +40,15 @@ SCHEMAS = {
 }
 
 
+def sum_of_cents(x: Column) -> Column:
+    """The test tables hold values of two decimals."""
+    return exact_sum(x, 2)
+
+
+def avg_of_cents(x: Column) -> Column:
+    return exact_avg(x, 2)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,7 +64,7 @@ def event_prices(spark: SparkSession, sf_dir: str, market: str) -> DataFrame:
     """node, start_time, lmp of one market; one row per key."""
     rows = market_half(table(spark, sf_dir, "events"), market)
     return rows.groupBy(F.col("event_type").alias("node"), hour_floor(F.col("ts")).alias("start_time")).agg(
-        exact_avg(F.col("value")).alias("lmp")
+        avg_of_cents(F.col("value")).alias("lmp")
     )
 
 
@@ -66,19 +75,19 @@ def _of_type(name: str) -> Column:
 def event_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """start_time (UTC), Temperature, WindSpeed."""
     return table(spark, sf_dir, "events").groupBy(hour_floor(F.col("ts")).alias("start_time")).agg(
-        (exact_avg(_of_type("view")) - 30).alias("Temperature"),
-        exact_avg(_of_type("click")).alias("WindSpeed"),
+        (avg_of_cents(_of_type("view")) - 30).alias("Temperature"),
+        avg_of_cents(_of_type("click")).alias("WindSpeed"),
     )
 
 
 def event_station(spark: SparkSession, sf_dir: str) -> DataFrame:
     """timestamp and the five imputed variables of one station."""
     return table(spark, sf_dir, "events").groupBy(hour_floor(F.col("ts")).alias("timestamp")).agg(
-        (exact_avg(_of_type("view")) - 30).alias("temperature_2m"),
-        (exact_avg(_of_type("purchase")) * 0.5).alias("relative_humidity_2m"),
-        (exact_avg(_of_type("signup")) - 60).alias("dewpoint_2m"),
-        exact_avg(_of_type("error")).alias("precipitation"),
-        exact_avg(_of_type("click")).alias("wind_speed_10m"),
+        (avg_of_cents(_of_type("view")) - 30).alias("temperature_2m"),
+        (avg_of_cents(_of_type("purchase")) * 0.5).alias("relative_humidity_2m"),
+        (avg_of_cents(_of_type("signup")) - 60).alias("dewpoint_2m"),
+        avg_of_cents(_of_type("error")).alias("precipitation"),
+        avg_of_cents(_of_type("click")).alias("wind_speed_10m"),
     )
 
 
@@ -86,8 +95,8 @@ def event_fuel(spark: SparkSession, sf_dir: str, market: str) -> DataFrame:
     """region, start_time, totalMw and five fuels."""
     rows = market_half(table(spark, sf_dir, "events"), market)
     return rows.groupBy(F.lit("NORTH").alias("region"), hour_floor(F.col("ts")).alias("start_time")).agg(
-        exact_sum(F.col("value")).alias("totalMw"),
-        *[exact_sum(_of_type(kind)).alias(fuel) for kind, fuel in FUEL_OF_TYPE.items()],
+        sum_of_cents(F.col("value")).alias("totalMw"),
+        *[sum_of_cents(_of_type(kind)).alias(fuel) for kind, fuel in FUEL_OF_TYPE.items()],
     )
 
 
@@ -95,8 +104,8 @@ def event_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Datetime, LoadActual, LoadForecast."""
     first_half = F.minute("ts") < 30
     return table(spark, sf_dir, "events").groupBy(hour_floor(F.col("ts")).alias("Datetime")).agg(
-        exact_sum(F.when(first_half, F.col("value"))).alias("LoadActual"),
-        exact_sum(F.when(~first_half, F.col("value"))).alias("LoadForecast"),
+        sum_of_cents(F.when(first_half, F.col("value"))).alias("LoadActual"),
+        sum_of_cents(F.when(~first_half, F.col("value"))).alias("LoadForecast"),
     )
 
 
@@ -111,14 +120,14 @@ def season_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """node, start_time, lmp over several winters."""
     return table(spark, sf_dir, "lineitem").groupBy(
         F.col("l_returnflag").alias("node"), line_hour().alias("start_time")
-    ).agg((exact_avg(F.col("l_extendedprice")) / PRICE_SCALE).alias("lmp"))
+    ).agg((avg_of_cents(F.col("l_extendedprice")) / PRICE_SCALE).alias("lmp"))
 
 
 def season_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """start_time, Temperature, WindSpeed over several winters."""
     return table(spark, sf_dir, "lineitem").groupBy(line_hour().alias("start_time")).agg(
-        (exact_avg(F.col("l_quantity")) * 2 - 40).alias("Temperature"),
-        (exact_avg(F.col("l_discount")) * 100).alias("WindSpeed"),
+        (avg_of_cents(F.col("l_quantity")) * 2 - 40).alias("Temperature"),
+        (avg_of_cents(F.col("l_discount")) * 100).alias("WindSpeed"),
     )
 
 

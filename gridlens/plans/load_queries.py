@@ -28,7 +28,7 @@ from gridlens.plans.bindings import (
     sql,
     table,
 )
-from gridlens.plans.registry import query, r, rounded
+from gridlens.plans.registry import bin_sql, query, r, rounded
 from gridlens.session import scratch_dir, stage
 from gridlens.sinks.tables import write_csv
 from gridlens.sources.tables import read_load_report
@@ -352,7 +352,7 @@ def climate_shift_query(spark, sf_dir):
     sql("season_weather", f"""SELECT period, bin, {r('lo + bin * w')} AS bin_left, {r('lo + bin * w + w')} AS bin_right,
  {r('lo + bin * w + w / 2')} AS bin_center, count FROM (SELECT period, bin, any_value(lo) AS lo,
  any_value((hi - lo) / 50) AS w, count(*) AS count FROM (SELECT *,
- least(floor((x - lo) / (hi - lo) * 50), 49)::BIGINT AS bin FROM (SELECT *, min(x) OVER (PARTITION BY period) AS lo,
+ {bin_sql('x', 'lo', 'hi', 50)} AS bin FROM (SELECT *, min(x) OVER (PARTITION BY period) AS lo,
  max(x) OVER (PARTITION BY period) AS hi FROM ({_PERIOD_SQL}))) GROUP BY period, bin)"""),
 )
 def climate_histogram(spark, sf_dir):

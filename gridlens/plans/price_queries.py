@@ -21,7 +21,7 @@ from gridlens.plans.bindings import (
     sql,
 )
 from gridlens.plans.combined import combined_dataset, node_hours
-from gridlens.plans.registry import query, r, rounded
+from gridlens.plans.registry import bin_sql, query, r, rounded
 from gridlens.session import stage, stage_all
 
 # Percentiles of the price profile and the high-price cut.
@@ -102,7 +102,7 @@ def _histogram_sql(source: str, bins: int, density: bool = False) -> str:
     return f"""SELECT bin, {r('lo + bin * w')} AS bin_left, {r('lo + bin * w + w')} AS bin_right,
  {r('lo + bin * w + w / 2')} AS bin_center, count{extra} FROM
  (SELECT bin, any_value(lo) AS lo, any_value((hi - lo) / {bins}) AS w, any_value(n) AS n, count(*) AS count FROM
- (SELECT *, least(floor((x - lo) / (hi - lo) * {bins}), {bins - 1})::BIGINT AS bin FROM
+ (SELECT *, {bin_sql('x', 'lo', 'hi', bins)} AS bin FROM
  (SELECT x, min(x) OVER () AS lo, max(x) OVER () AS hi, count(*) OVER () AS n FROM ({source}))) GROUP BY bin)"""
 
 

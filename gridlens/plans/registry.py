@@ -45,3 +45,12 @@ def rounded(df: DataFrame, digits: int = 6, keep: tuple[str, ...] = ()) -> DataF
 def r(expression: str, digits: int = 6) -> str:
     """SQL text of the same rounding."""
     return f"(round({expression}, {digits}) + 0.0::DOUBLE)"
+
+
+def bin_sql(x: str, low: str, high: str, bins: int) -> str:
+    """SQL text of a histogram bin: equal widths, then the bin whose computed edges hold the value."""
+    slot, width = f"least(floor(({x} - {low}) / ({high} - {low}) * {bins}), {bins - 1})", f"(({high} - {low}) / {bins})"
+    return (
+        f"({slot} - CASE WHEN {slot} > 0 AND {x} < {low} + {slot} * {width} THEN 1 ELSE 0 END"
+        f" + CASE WHEN {slot} < {bins - 1} AND {x} >= {low} + ({slot} + 1) * {width} THEN 1 ELSE 0 END)::BIGINT"
+    )

@@ -21,7 +21,7 @@ from gridlens.plans.bindings import (
     sql,
     table,
 )
-from gridlens.plans.registry import query, r, rounded
+from gridlens.plans.registry import bin_sql, query, r, rounded
 from gridlens.session import stage
 
 EVENT_START, EVENT_END = date(1999, 1, 10), date(1999, 1, 25)
@@ -340,7 +340,7 @@ def ecdf(spark, sf_dir):
 
 def _bars_sql(source: str, bins: int) -> str:
     return f"""SELECT Class, bin, any_value(lo) AS lo, any_value((hi - lo) / {bins}) AS w, any_value(n) AS n, count(*) AS count
- FROM (SELECT *, least(floor((x - lo) / (hi - lo) * {bins}), {bins - 1})::BIGINT AS bin FROM (SELECT Class,
+ FROM (SELECT *, {bin_sql('x', 'lo', 'hi', bins)} AS bin FROM (SELECT Class,
  PriceSpread AS x, min(PriceSpread) OVER c AS lo, max(PriceSpread) OVER c AS hi, count(*) OVER c AS n
  FROM {source} WINDOW c AS (PARTITION BY Class))) GROUP BY Class, bin"""
 

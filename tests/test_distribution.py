@@ -107,3 +107,31 @@ def test_profile_and_box(spark):
     assert out["a"].std == pytest.approx(2.6457513110645907)
     box = d.box_summary(frame(spark, {"a": [1.0, 2.0, 3.0, 4.0]}), ["k"], "x").first()
     assert (box["min"], box.q1, box.median, box.q3, box["max"], box["count"]) == (1.0, 1.75, 2.5, 3.25, 4.0, 4)
+
+
+def test_histogram_bins_follow_the_edges(spark):
+    """Hundredths from 0 to 1 in 100 bins, as NumPy puts them."""
+    from gridlens.operators.distribution import equal_width_histogram
+
+    values = [i / 100 for i in range(101)]
+    df = spark.createDataFrame([(v,) for v in [*values, float("inf"), float("-inf"), None]], "x double")
+    got = {r.bin: r["count"] for r in equal_width_histogram(df, "x", 100, include_empty=True).collect()}
+    assert [got[i] for i in range(100)] == np.histogram(values, 100)[0].tolist()
+
+
+def test_null_groups_and_infinities(spark):
+    from gridlens.operators.distribution import box_summary, empirical_cdf, equal_width_histogram, exact_quantiles
+
+    inf = float("inf")
+    rows = [("a", 1.0), ("a", 2.0), ("a", inf), (None, 5.0), (None, 7.0), (None, -inf), ("b", inf), ("b", inf)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    medians = {r.g: r.m for r in exact_quantiles(df, ["g"], "x", {"m": 0.5}).collect()}
+    assert medians == {"a": 2.0, None: 5.0, "b": inf}
+    ranks = sorted((r.g or "", r.x, r.rank) for r in empirical_cdf(df, ["g"], "x").collect())
+    assert ranks == [("", -inf, 1), ("", 5.0, 2), ("", 7.0, 3), ("a", 1.0, 1), ("a", 2.0, 2), ("a", inf, 3), ("b", inf, 1), ("b", inf, 2)]
+    boxes = {r.g: (r.min, r.median, r["count"]) for r in box_summary(df, ["g"], "x").collect()}
+    assert boxes == {"a": (1.0, 2.0, 3), None: (-inf, 5.0, 3), "b": (inf, inf, 2)}
+    counts = {}
+    for r in equal_width_histogram(df, "x", 2, ["g"]).collect():
+        counts[r.g] = counts.get(r.g, 0) + r["count"]
+    assert counts == {"a": 2, None: 2}

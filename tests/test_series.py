@@ -154,3 +154,34 @@ def test_spells_cross_chunks(df, plain):
 def test_reach_must_fit_a_block(hours):
     with pytest.raises(ValueError):
         s.rolling_std(hours([1.0]), ["node"], "start_time", "value", "sd", rows=10, block_rows=9)
+
+
+def test_null_keys_and_times_keep_their_rows(spark):
+    """Rows out equal rows in, and values equal those of a plain window."""
+    from datetime import datetime
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from gridlens.operators import series
+
+    rows = [("a", datetime(2024, 1, 1, h), float(h)) for h in range(4)] + [
+        (None, datetime(2024, 1, 31, 23), 1.0), (None, datetime(2024, 2, 1), None), ("a", None, 9.0), (None, None, 8.0),
+    ]
+    df = spark.createDataFrame(rows, "node string, t timestamp_ntz, x double")
+    w = Window.partitionBy("node").orderBy("t")
+    want = sorted(
+        map(str, df.select("node", "t", F.sum("x").over(w), F.row_number().over(w), F.last("x", True).over(w)).collect())
+    )
+    out = series.running_sum(df, ["node"], "t", "x", "total")
+    out = series.with_position(out, ["node"], "t")
+    out = series.forward_fill(out, ["node"], "t", ["x"], limit=3)
+    assert sorted(str(tuple(r)) for r in out.select("node", "t", "total", "position", "x").collect()) == sorted(
+        str(tuple(r)) for r in df.select("node", "t", F.sum("x").over(w), F.row_number().over(w), F.last("x", True).over(w)).collect()
+    )
+    assert len(want) == len(rows)
+    counted = series.run_counters(df, ["node"], "t", F.col("x") > 2, run="run", since={"since": F.col("x") > 2})
+    assert counted.count() == len(rows)
+    assert series.elapsed_since(df, ["node"], "t", {"hours": F.col("x") > 2}).count() == len(rows)
+    spell = series.spells(df, ["node"], "t", F.col("x") >= 0).groupBy("node").agg(F.sum("spell_rows")).collect()
+    assert sorted((r[0] or "", r[1]) for r in spell) == [("", 2), ("a", 5)]
