@@ -33,8 +33,8 @@ from gridlens.llm.text import LOWER, SPACED, string_chunks, word_hashes, word_sp
 DECAY = 0.6
 LONGEST = 24
 LANDMARK_BYTES = 12
-TRAIN_DOCS = 2000
-SENTENCES = 100
+TRAIN_DOCS = 1000
+SENTENCES = 60
 SENTENCE_CHARS = 300
 MARKS, PLAIN = 64, 8
 POWERS = (1, 4, 16)
@@ -244,6 +244,16 @@ def _marking_words(docs: list[list[str]], toxic: np.ndarray) -> tuple[list[bytes
     return [w.encode() for w in top], [w.encode() for w in plain]
 
 
+def _features(marks: Landmarks, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sentence features of documents given as sentences, a few documents at a time."""
+    found, counts = [np.zeros((0, len(marks.words)), np.float32)], []
+    for _, _, data, offsets in string_chunks(pa.array([" . ".join(d) for d in docs], pa.string()), 1 << 20):
+        features, first = sentence_features(marks, data, offsets)
+        found.append(features)
+        counts.append(np.diff(first))
+    return np.concatenate(found), np.append(0, np.cumsum(np.concatenate(counts)))
+
+
 def fit(docs: list[list[str]], toxic: np.ndarray, rounds: int = 3) -> Machine | None:
     """A machine from sentences of labelled documents; None where a label or landmarks are missing."""
     toxic = np.asarray(toxic, bool)
@@ -253,9 +263,7 @@ def fit(docs: list[list[str]], toxic: np.ndarray, rounds: int = 3) -> Machine |
     if not top:
         return None
     marks = Landmarks([*top, *plain])
-    raw = [" . ".join(d).encode() for d in docs]
-    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
-    features, first = sentence_features(marks, data, offsets)
+    features, first = _features(marks, docs)
     # Nyström: kernel values times the inverse root of the landmarks' own kernel.
     own = marks.kernel(marks.rows, np.array([len(w) for w in marks.words]))
     root = np.zeros((len(POWERS) * len(own), len(POWERS) * len(own)))
@@ -265,8 +273,10 @@ def fit(docs: list[list[str]], toxic: np.ndarray, rounds: int = 3) -> Machine |
         root[part, part] = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
     owner = np.repeat(np.arange(len(docs)), np.diff(first))
     clean, suspect = np.flatnonzero(~toxic[owner]), toxic[owner]
-    x = powers(features) @ root
-    weak = powers(features * np.float32(DISGUISED)) @ root
+
+    def seen_by(rows: np.ndarray, strength: float = 1.0) -> np.ndarray:
+        return (powers(features[rows] * np.float32(strength)) @ root).astype(np.float32)
+
     margins = features[:, : len(top)].max(1, initial=0) - 0.9
     # No weakened copies for landmarks that clean words resemble that closely.
     distinct = (features[clean] > DISGUISED - 0.1).mean(0) < RESEMBLED
@@ -278,7 +288,7 @@ def fit(docs: list[list[str]], toxic: np.ndarray, rounds: int = 3) -> Machine |
     plain_rows = np.append(few, empty[:1])
     blank = np.full(len(plain_rows), max(1, len(near)) / max(1, len(few)))
     blank[len(plain_rows) - len(empty[:1]) :] = len(empty)
-    w, b = np.zeros(x.shape[1]), 0.0
+    negative = seen_by(plain_rows)
     for _ in range(rounds):
         worst = [first[d] + int(margins[first[d] : first[d + 1]].argmax()) for d in np.flatnonzero(toxic) if first[d + 1] > first[d]]
         bad = np.union1d(np.flatnonzero(suspect & (margins > 0)), np.array(worst, np.int64))
@@ -287,13 +297,24 @@ def fit(docs: list[list[str]], toxic: np.ndarray, rounds: int = 3) -> Machine |
         y = np.concatenate([np.ones(len(bad) + len(soft)), -np.ones(len(plain_rows))])
         share[y > 0] /= 2 * share[y > 0].sum()
         share[y < 0] /= 2 * share[y < 0].sum()
-        w, b = _hinge(np.concatenate([x[bad], weak[soft], x[plain_rows]]), y, share)
-        margins = x @ w + b
+        w, b = _hinge(np.concatenate([seen_by(bad), seen_by(soft, DISGUISED), negative]), y, share)
+        margins = np.full(len(features), b)
+        some = np.flatnonzero(suspect & features.any(1))
+        margins[some] = seen_by(some) @ w + b
     machine = Machine(marks, (root @ w).astype(np.float32), float(b))
-    weakened = _worst(powers(features * np.where(tolerant, np.float32(DISGUISED), 0)[:, None]) @ machine.weights + machine.base, first, machine.base)
+
+    def worst_of(strength: np.ndarray | float) -> np.ndarray:
+        out, step = np.full(len(features), machine.base), 50_000
+        for low in range(0, len(features), step):
+            rows = slice(low, low + step)
+            part = features[rows] * (strength[rows, None] if isinstance(strength, np.ndarray) else np.float32(strength))
+            out[rows] = powers(part) @ machine.weights + machine.base
+        return _worst(out, first, machine.base)
+
+    weakened = worst_of(np.where(tolerant, np.float32(DISGUISED), np.float32(0)))
     sure = np.flatnonzero(toxic & (weakened > machine.base + 0.5))
     machine.slope, machine.shift = _sigmoid(
-        np.append(machine.margins(data, offsets), weakened[sure]), np.append(toxic.astype(float), np.ones(len(sure))),
+        np.append(worst_of(1.0), weakened[sure]), np.append(toxic.astype(float), np.ones(len(sure))),
         np.append(np.ones(len(docs)), np.full(len(sure), WEAK_SHARE / 10)),
     )
     return machine
@@ -310,7 +331,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     picked = F.transform(F.slice(ordered, 1, SENTENCES), lambda x: x["s"])
     sample = rows.where(chance < share).select("k", "y", picked.alias("s")).where("s is not null")
     found = sorted((r.k, int(r.y), list(r.s)) for r in sample.collect())
-    return fit([s for _, _, s in found], np.array([y for _, y, _ in found], bool)) if found else None
+    toxic = np.array([y for _, y, _ in found], bool)
+    machine = fit([s for _, _, s in found], toxic) if found else None
+    if machine:
+        # The sample has other shares of the labels than the corpus.
+        machine.shift += float(np.log(counts[1] / counts[0]) - np.log(toxic.sum() / (~toxic).sum()))
+    return machine
 
 
 def score(df: DataFrame, machine: Machine | None, key: str = "doc_id", text: str = "text") -> DataFrame:
