@@ -81,36 +81,43 @@ def _near(df: DataFrame, distinct: DataFrame, key: str, text: str) -> DataFrame:
             w["at"].alias("at"), w["line"].alias("line"), w["n"].alias("n"), _words(lines[w["at"]]).alias("words")
         )))),
     )
-    lines = stage(fetched.dropDuplicates(["line"]), "line-words")
+    read = stage(fetched.dropDuplicates(["line"]), "line-words")
     forget_shuffles(spark)
+    # Numbers in the order of the lines; they are stored, so they stay what they are.
+    lines = stage(
+        read.orderBy("_k", "_h", "at", "line").select("line", "n", "words", F.monotonically_increasing_id().alias("rank")),
+        "line-ranks",
+    )
 
-    order = F.struct("_k", "_h", "at", "line")
     part = lambda *x: F.shiftrightunsigned(F.xxhash64(*x), 64 - SUM_BITS)
-    each = lines.select("_k", "_h", "at", "line", "n", F.posexplode("words").alias("i", "word"))
+    each = lines.select("rank", "n", F.posexplode("words").alias("i", "word"))
     each = each.withColumn("here", part("word", "i")).withColumn("moved", part("word", F.col("i") - 1)).drop("word")
-    whole = Window.partitionBy("line")
+    whole = Window.partitionBy("rank")
     upto = whole.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     since = whole.orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
     left = F.coalesce(F.sum("here").over(upto), F.lit(0)) + F.coalesce(F.sum("moved").over(since), F.lit(0))
-    deletions = each.select(F.xxhash64(left, F.col("n") - 1).alias("variant"), "i", order.alias("own"))
-    itself = each.groupBy("_k", "_h", "at", "line", "n").agg(F.sum("here").alias("s")).select(
-        F.xxhash64("s", "n").alias("variant"), F.lit(-1).alias("i"), order.alias("own")
+    deletions = each.select(F.xxhash64(left, F.col("n") - 1).alias("variant"), "i", "rank")
+    itself = each.groupBy("rank", "n").agg(F.sum("here").alias("s")).select(
+        F.xxhash64("s", "n").alias("variant"), F.lit(-1).alias("i"), "rank"
     )
     variants = stage(deletions.unionByName(itself), "line-variants")
-    placed = variants.groupBy("variant", "i").agg(F.min("own").alias("least"), F.count("*").alias("c"))
-    shared = placed.groupBy("variant").agg(
-        F.sum("c").alias("c"), F.min("least").alias("any"), F.min(F.when(F.col("i") == -1, F.col("least"))).alias("whole")
-    ).where("c > 1").drop("c")
+    forget_shuffles(spark)
+    often = variants.groupBy("variant").agg(F.count("*").alias("c")).where("c > 1").select("variant")
+    equal = stage(variants.join(often, "variant", "left_semi"), "line-equal-variants")
+    forget_shuffles(spark)
+    placed = equal.groupBy("variant", "i").agg(F.min("rank").alias("least"))
+    any_place = placed.groupBy("variant").agg(
+        F.min("least").alias("any"), F.min(F.when(F.col("i") == -1, F.col("least"))).alias("whole")
+    )
     earliest = F.when(F.col("i") == -1, F.col("any")).otherwise(F.least("least", "whole"))
-    met = (
-        variants.join(shared, "variant").join(placed.drop("c"), ["variant", "i"])
-        .withColumn("earlier", earliest).where("earlier < own")
-        .groupBy("own.line").agg(F.min("earlier").alias("earlier"))
+    pairs = (
+        equal.join(placed, ["variant", "i"]).join(any_place, "variant")
+        .withColumn("other", earliest).where("other < rank")
+        .groupBy("rank").agg(F.min("other").alias("other"))
     )
-    pairs = met.select("line", F.col("earlier.line").alias("other"))
-    mine = lines.select("line", F.col("words").alias("a"))
-    theirs = lines.select(F.col("line").alias("other"), F.col("words").alias("b"))
-    verified = pairs.join(mine, "line").join(theirs, "other").where(_within_one("a", "b"))
+    mine = lines.select("rank", "line", F.col("words").alias("a"))
+    theirs = lines.select(F.col("rank").alias("other"), F.col("words").alias("b"))
+    verified = pairs.join(mine, "rank").join(theirs, "other").where(_within_one("a", "b"))
     return stage(verified.select("line"), "line-near", outer=True)
 
 
