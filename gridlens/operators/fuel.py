@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from gridlens.functions.labels import REGIMES, SCARCITY_REGIMES
 from gridlens.functions.numbers import ratio, share
 from gridlens.functions.timeparts import is_winter
-from gridlens.operators.distribution import exact_quantiles
+from gridlens.operators.distribution import exact_quantiles, with_group_values
+from gridlens.operators.quality import latest_per_key
 
 # Fuels compared, share of the plan that counts as a miss, low-output quantile.
 FUELS = {
@@ -22,13 +23,15 @@ FLAGS = ("LowWindFlag", "LowGasFlag", "WindMissFlag", "GasMissFlag")
 MIX = ("Coal", "Gas", "Wind", "Solar", "Nuclear")
 
 
-def fuel_mix_compare(da: DataFrame, rt: DataFrame) -> DataFrame:
+def fuel_mix_compare(da: DataFrame, rt: DataFrame, newest_by: list[str] | None = None) -> DataFrame:
     """Inner join by region hour with difference and ratio per fuel.
 
-    Inputs hold one row per (region, start_time). ``*_PctDiff`` is the ratio RT / DA.
+    Of several rows of a (region, start_time) the one with the greatest ``newest_by`` (such as a load
+    time) stays, without it the one with the greatest outputs. ``*_PctDiff`` is the ratio RT / DA.
     """
     def side(df: DataFrame, suffix: str) -> DataFrame:
-        return df.select(
+        one = latest_per_key(df, ["region", "start_time"], newest_by or list(FUELS.values()))
+        return one.select(
             "region", "start_time", *[F.col(c).alias(f"{name}_{suffix}") for name, c in FUELS.items()]
         )
 
@@ -54,7 +57,7 @@ def with_fuel_flags(mix: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("_fuel") == c, F.col("_low"))).alias(f"_low_{c}") for c in outputs]
     )
     return (
-        mix.join(wide, "region", "left")
+        with_group_values(mix, wide, ["region"], "left")
         .withColumns(
             {
                 "WindMissFlag": _flag(F.col("WindMW_PctDiff") <= MISS_SHARE),

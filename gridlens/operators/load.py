@@ -118,12 +118,13 @@ def _labelled(df: DataFrame) -> DataFrame:
     return df.withColumns({"BucketOrder": bucket_rank(bucket), "TemperatureBucketLabel": bucket_label(bucket)})
 
 
-def missing_load_by_day(df: DataFrame, top: int = 20) -> DataFrame:
-    """Days with missing load, most missing actual hours first."""
+def missing_load_by_day(df: DataFrame, top: int | None = None) -> DataFrame:
+    """Days with missing load, most missing actual hours first; with ``top`` only so many."""
     gaps = df.where(any_null(["LoadActual", "LoadForecast"]))
     daily = gaps.groupBy(day_floor(F.col("Datetime")).alias("Date")).agg(
         F.count(F.lit(1)).alias("TotalCount"),
         F.count_if(F.col("LoadForecast").isNull()).alias("NullForecastLoadCount"),
         F.count_if(F.col("LoadActual").isNull()).alias("NullActualLoadCount"),
     )
-    return daily.orderBy(F.desc("NullActualLoadCount"), "Date").limit(top)
+    ordered = daily.orderBy(F.desc("NullActualLoadCount"), "Date")
+    return ordered if top is None else ordered.limit(top)

@@ -12,20 +12,25 @@ from gridlens.functions.labels import EXTREME, EXTREME_PRICE, REGIMES, SCARCITY_
 from gridlens.functions.numbers import no_nan
 from gridlens.functions.timeparts import day_floor, in_window, iso_weekday
 from gridlens.operators.distribution import exact_quantiles
-from gridlens.operators.quality import any_null
+from gridlens.operators.quality import any_null, latest_per_key
 from gridlens.operators.series import DEFAULT_CHUNK, elapsed_since, run_counters
 
 KEYS = ["node", "start_time"]
 
 
-def dart_table(da: DataFrame, rt: DataFrame) -> DataFrame:
-    """Full join of deduplicated DA and RT prices on (node, start_time).
+def dart_table(da: DataFrame, rt: DataFrame, newest_by: Sequence[str] | None = None) -> DataFrame:
+    """Full join of DA and RT prices on (node, start_time), one row per key and side.
 
-    Inputs carry ``node, start_time, lmp``. Keys are coalesced, so an hour seen on one side
-    only keeps its node, time and calendar parts.
+    Inputs carry ``node, start_time, lmp``. Of several rows of a key the one with the greatest
+    ``newest_by`` (such as a load time) stays; without it, one that has a price. Keys are
+    coalesced, so an hour seen on one side only keeps its node, time and calendar parts.
     """
-    left = da.select(*KEYS, no_nan(F.col("lmp")).alias("lmp_da_exante"))
-    right = rt.select(*KEYS, no_nan(F.col("lmp")).alias("lmp_rt_expost"))
+    def side(df: DataFrame, name: str) -> DataFrame:
+        priced = df.withColumn("lmp", no_nan(F.col("lmp")))
+        one = latest_per_key(priced, KEYS, newest_by or ["lmp"])
+        return one.select(*KEYS, F.col("lmp").alias(name))
+
+    left, right = side(da, "lmp_da_exante"), side(rt, "lmp_rt_expost")
     return left.join(right, KEYS, "full").select(
         *KEYS,
         "lmp_da_exante",
@@ -101,8 +106,8 @@ def duration_matrix(durations: DataFrame) -> DataFrame:
     )
 
 
-def longest_runs(durations: DataFrame, top: int = 10) -> DataFrame:
-    """The ``top`` longest runs over the longest run of each node and regime.
+def longest_runs(durations: DataFrame, top: int | None = None) -> DataFrame:
+    """The longest run of each node and regime, longest first; with ``top`` only so many.
 
     Ties inside a group go to the earliest hour; ties in the ranking go by node and regime.
     """
@@ -110,11 +115,8 @@ def longest_runs(durations: DataFrame, top: int = 10) -> DataFrame:
     best = durations.groupBy("node", "regime").agg(
         F.min_by(F.struct("start_time", counter), F.struct(-F.col(counter), "start_time")).alias("_best")
     )
-    return (
-        best.select("node", "regime", "_best.*")
-        .orderBy(F.desc(counter), "node", "regime")
-        .limit(top)
-    )
+    ordered = best.select("node", "regime", "_best.*").orderBy(F.desc(counter), "node", "regime")
+    return ordered if top is None else ordered.limit(top)
 
 
 def event_window(df: DataFrame, start: date, end: date, nodes: Sequence[str] | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridlens.functions.numbers import correlation, ratio, sample_kurtosis, sample_skewness
 from gridlens.functions.timeparts import in_window, is_winter, market_class, winter_season
 from gridlens.operators.series import DEFAULT_CHUNK, running_sum, spells
+from gridlens.session import stage
 
 POSITION_KEYS = ["Source", "Sink", "StartDate", "EndDate", "Type", "Class"]
 PATH = ["Source", "Sink", "Class", "WinterYear"]
@@ -65,7 +66,12 @@ def backfill_positions(positions: DataFrame, season: int, seasons: Sequence[int]
 
 
 def path_spreads(prices: DataFrame, paths: DataFrame) -> DataFrame:
-    """Hourly sink minus source price of each (Source, Sink) pair in ``paths``, winter only."""
+    """Hourly sink minus source price of each (Source, Sink) pair in ``paths``, winter only.
+
+    Paths are stored, so that they are broadcast where they are small and no price is shuffled by
+    a handful of nodes.
+    """
+    paths = stage(paths, "paths")
     winter = prices.where(is_winter(F.col("start_time")))
     source = winter.select(F.col("node").alias("Source"), "start_time", F.col("lmp").alias("lmp_source"))
     sink = winter.select(F.col("node").alias("Sink"), "start_time", F.col("lmp").alias("lmp_sink"))
@@ -82,15 +88,16 @@ def hourly_pnl(positions: DataFrame, prices: DataFrame, hours: DataFrame) -> Dat
     """One row per position and winter hour of its class and season.
 
     ``prices`` holds ``node, start_time, lmp`` and any feature columns, which come from the
-    source node. ``hours`` has two rows per season, so it is broadcast; Spark sizes the
-    other joins itself and splits skewed partitions.
+    source node. Positions and class hours are small aggregates: they are stored, so that Spark
+    joins them by their real size and does not shuffle prices by (node, class, season).
     """
+    positions, hours = stage(positions, "positions"), stage(hours, "class-hours")
     winter = prices.where(is_winter(F.col("start_time")))
     ts = F.col("start_time")
     source = (
         winter.withColumnsRenamed({"node": "Source", "lmp": "lmp_source"})
         .withColumns({"Class": market_class(ts), "WinterYear": winter_season(ts)})
-        .join(F.broadcast(hours), ["WinterYear", "Class"], "left")
+        .join(hours, ["WinterYear", "Class"], "left")
     )
     sink = winter.select(F.col("node").alias("Sink"), "start_time", F.col("lmp").alias("lmp_sink"))
     held = positions.join(source, ["Source", "Class", "WinterYear"]).join(sink, ["Sink", "start_time"])

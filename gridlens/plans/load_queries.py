@@ -249,7 +249,7 @@ def error_boxplot(spark, sf_dir):
 )
 def missing_load_by_day(spark, sf_dir):
     """Days with the most missing load (top 20)."""
-    return loads.missing_load_by_day(load_weather(spark, sf_dir))
+    return loads.missing_load_by_day(load_weather(spark, sf_dir), 20)
 
 
 @query(

@@ -205,7 +205,7 @@ def duration_matrix(spark, sf_dir):
 )
 def longest_runs(spark, sf_dir):
     """Ten longest runs over the longest run of each node and regime."""
-    top = prices.longest_runs(durations(spark, sf_dir))
+    top = prices.longest_runs(durations(spark, sf_dir), 10)
     return top.withColumn("consecutive_regime_hours", F.col("consecutive_regime_hours").cast("long"))
 
 

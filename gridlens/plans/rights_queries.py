@@ -48,8 +48,8 @@ def held(spark, sf_dir) -> DataFrame:
 
 
 def stored_prices(spark, sf_dir) -> DataFrame:
-    """Stored hourly prices: source and sink side read the small table, not the line items."""
-    return stage(season_prices(spark, sf_dir), "season-prices")
+    """Stored winter hours of the prices: source and sink side read the small table, not the line items."""
+    return stage(season_prices(spark, sf_dir).where(is_winter(F.col("start_time"))), "season-prices")
 
 
 def pnl(spark, sf_dir) -> DataFrame:
@@ -117,12 +117,12 @@ def backfill_positions(spark, sf_dir):
 @query(
     "top_positions",
     sql("positions", f"""SELECT {_POSITION}, {r('ClearingPrice')} AS ClearingPrice, WinterYear FROM positions
- ORDER BY MW DESC, Source, Sink, StartDate, Type, Class LIMIT 10"""),
+"""),
 )
 def top_positions(spark, sf_dir):
-    """The ten largest positions."""
+    """All positions, the largest first."""
     order = [F.desc("MW"), "Source", "Sink", "StartDate", "Type", "Class"]
-    return rounded(positions(spark, sf_dir).orderBy(*order).limit(10))
+    return rounded(positions(spark, sf_dir).orderBy(*order))
 
 
 @query(

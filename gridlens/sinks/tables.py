@@ -47,10 +47,14 @@ def _within_partitions(stored: DataFrame, source: DataFrame, partition_by: Seque
     The range comes from a scalar subquery, so Spark skips the other partitions at run time
     whether or not the source carries a filter.
     """
-    ends = [F.struct(F.min(p).alias("low"), F.max(p).alias("high")).alias(p) for p in partition_by]
+    ends = [
+        F.struct(F.min(p).alias("low"), F.max(p).alias("high"), F.coalesce(F.max(F.isnull(p)), F.lit(False)).alias("none")).alias(p)
+        for p in partition_by
+    ]
     bounds = source.agg(*ends).select(F.struct(*partition_by)).scalar()
     for p in partition_by:
-        stored = stored.where(F.col(p).between(bounds[p]["low"], bounds[p]["high"]))
+        within = F.col(p).between(bounds[p]["low"], bounds[p]["high"])
+        stored = stored.where(F.coalesce(within, F.lit(False)) | (F.col(p).isNull() & bounds[p]["none"]))
     return stored
 
 
@@ -61,13 +65,15 @@ def new_rows(
     partition_by: Sequence[str],
     span: DataFrame | None = None,
 ) -> DataFrame:
-    """Source rows whose key is not stored; reads only partitions near the source's.
+    """Source rows whose key is not stored, NULL equal to NULL; reads only partitions near the source's.
 
     ``span`` is a cheaper frame with the same partition columns, such as the source before
     deduplication.
     """
     known = _within_partitions(stored, source if span is None else span, partition_by).select(*keys)
-    return source.join(known, list(keys), "left_anti")
+    renamed = known.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)])
+    same = [source[k].eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
+    return source.join(renamed, same, "left_anti")
 
 
 def insert_only_upsert(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlens.functions.timeparts import prune_to_window
@@ -17,20 +18,42 @@ AUCTION_SCHEMA = (
     "Type string, Class string, MW double, ClearingPrice double"
 )
 
+# Errors that mean that no table is there yet: no folder, or one without data files.
+NOT_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
-def read_load_report(spark: SparkSession, paths) -> DataFrame:
+
+# Date forms of report exports, tried in order.
+DAY_FORMS = ("yyyy-MM-dd", "M/d/yyyy", "yyyy-MM-dd HH:mm:ss", "M/d/yyyy H:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyyMMdd")
+
+
+def _number(name: str) -> Column:
+    """Text as a number; marks between thousands are skipped."""
+    return F.regexp_replace(F.trim(F.col(f"`{name}`")), ",", "").try_cast("double")
+
+
+def read_load_report(spark: SparkSession, paths, day_forms: Sequence[str] = DAY_FORMS) -> DataFrame:
     """Load report exports without preamble and repeated header rows.
 
-    Everything is read as text; lines whose first field is not a day are not data.
+    Everything is read as text. Dropped are lines with nothing beside the first field and lines that
+    repeat the header; every other line is data. A day in none of ``day_forms`` is NULL, so such lines
+    can be counted (:func:`unread_lines`) instead of being lost.
     """
     lines = spark.read.schema(REPORT_SCHEMA).option("header", False).csv(paths)
-    day = F.try_to_date("MarketDay", "yyyy-MM-dd")
-    return lines.select(
+    first, *others = [F.col(f"`{c}`") for c in lines.columns]
+    empty = F.coalesce(*others).isNull()
+    header = F.coalesce(F.lower(F.regexp_replace(first, r"[^A-Za-z]", "")) == "marketday", F.lit(False))
+    day = F.coalesce(*[F.try_to_date(F.trim(first), form) for form in day_forms])
+    return lines.where(~empty & ~header).select(
         day.alias("MarketDay"),
-        F.expr("try_cast(HourEnding AS int)").alias("HourEnding"),
+        _number("HourEnding").cast("int").alias("HourEnding"),
         ZONE,
-        *[F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in (FORECAST, ACTUAL)],
-    ).where(F.col("MarketDay").isNotNull())
+        *[_number(c).alias(c) for c in (FORECAST, ACTUAL)],
+    )
+
+
+def unread_lines(report: DataFrame) -> int:
+    """Data lines of a report whose day or hour could not be read."""
+    return report.where(F.col("MarketDay").isNull() | F.col("HourEnding").isNull()).count()
 
 
 def auction_paths(folder: str, template: str, years, rounds) -> list[str]:
@@ -44,9 +67,12 @@ def read_auctions(spark: SparkSession, paths) -> DataFrame:
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is stored under ``path``; an unreadable table raises when it is read."""
     try:
         spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() not in NOT_THERE:
+            raise
         return False
     return True
 

@@ -46,10 +46,17 @@ def upsert_stream(
 ) -> StreamingQuery:
     """Run every micro-batch through the insert-only upsert.
 
-    A batch repeated after a failure inserts nothing twice, because its keys are stored.
+    A batch repeated after a failure inserts nothing twice, because its keys are stored. The merge
+    looks at the batch several times, so the batch is kept meanwhile: its pages are read and its state
+    is written once.
     """
     def merge(batch: DataFrame, _batch_id: int) -> None:
-        create_or_upsert(batch.sparkSession, batch, path, keys, newest_by, partition_by)
+        kept = batch.persist()
+        try:
+            if not kept.isEmpty():
+                create_or_upsert(batch.sparkSession, kept, path, keys, newest_by, partition_by)
+        finally:
+            kept.unpersist()
 
     writer = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

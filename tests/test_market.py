@@ -227,3 +227,17 @@ def test_completeness(hours):
     df = hours([1.0] * 30)
     row = quality.completeness(df, "start_time", F.min("start_time"), F.max("start_time")).first()
     assert tuple(row) == (48, 30, 18)
+
+
+def test_repeated_keys_do_not_multiply(spark):
+    from datetime import datetime
+
+    from gridlens.operators import fuel, prices
+
+    hour = datetime(2024, 1, 1)
+    side = spark.createDataFrame([("n", hour, 1.0, 1), ("n", hour, 2.0, 0)], "node string, start_time timestamp_ntz, lmp double, load int")
+    assert [r.lmp_da_exante for r in prices.dart_table(side, side, ["load"]).collect()] == [1.0]
+    assert prices.dart_table(side, side).count() == 1
+    columns = list(fuel.FUELS.values())
+    mix = spark.createDataFrame([("r", hour, *[1.0] * len(columns))] * 2, "region string, start_time timestamp_ntz, " + ", ".join(f"{c} double" for c in columns))
+    assert fuel.fuel_mix_compare(mix, mix).count() == 1

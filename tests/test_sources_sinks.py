@@ -225,3 +225,50 @@ def test_scratch_deletes_its_own_tables_only(spark):
         assert [f.exists() for f in folders] == [True, True, False, True]
         assert result.count() == 3
     assert [f.exists() for f in folders] == [True, False, False, False]
+
+
+def test_load_report_keeps_every_data_line(spark, tmp_path):
+    from gridlens.sources.tables import read_load_report, unread_lines
+
+    lines = [
+        "Regional report,,,,", "MarketDay,HourEnding,LoadResource Zone,MTLF (MWh),ActualLoad (MWh)",
+        "2024-01-02,1,LRZ1,10,11", '01/02/2024,2.0,LRZ1,"1,234.5",12', "2024-01-02 00:00:00,3,LRZ1,10,",
+        "MarketDay,HourEnding,LoadResource Zone,MTLF (MWh),ActualLoad (MWh)", "some day,4,LRZ1,1,1",
+    ]
+    (tmp_path / "report.csv").write_text("\n".join(lines))
+    report = read_load_report(spark, str(tmp_path / "report.csv"))
+    rows = sorted(report.collect(), key=lambda r: r.HourEnding)
+    assert [str(r.MarketDay) for r in rows] == ["2024-01-02"] * 3 + ["None"]
+    assert [r.HourEnding for r in rows] == [1, 2, 3, 4] and rows[1][3] == 1234.5
+    assert unread_lines(report) == 1
+
+
+def test_upsert_with_null_keys_inserts_once(spark, tmp_path):
+    from gridlens.sinks.tables import create_or_upsert
+
+    rows = spark.createDataFrame([("a", 1, 2024, 1), (None, 2, 2024, 1), ("b", 3, None, None)], "k string, v int, year int, month int")
+    path = str(tmp_path / "table")
+    assert [create_or_upsert(spark, rows, path, ["k"], ["v"]) for _ in range(3)] == [3, 0, 0]
+
+
+def test_stream_keeps_state_once(spark, tmp_path):
+    """Two batches with repeats: one state row per key, one stored row per key."""
+    from gridlens.streaming.prices import dedupe_stream, upsert_stream
+
+    schema = "k string, start_time timestamp, v int, year int, month int"
+    landing = str(tmp_path / "in")
+    source = lambda: spark.readStream.schema(schema).parquet(landing)
+    batches = [[("a", 1), ("a", 1), ("b", 2)], [("b", 2), ("c", 3), ("a", 1)]]
+    counts = []
+    for batch in batches:
+        rows = spark.createDataFrame([(k, v) for k, v in batch], "k string, v int").selectExpr(
+            "k", "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, v) AS start_time", "v", "2024 AS year", "1 AS month"
+        )
+        rows.coalesce(1).write.mode("append").parquet(landing)
+        query = upsert_stream(
+            dedupe_stream(source(), ["k", "start_time"], "start_time"), str(tmp_path / "out"), str(tmp_path / "check"), ["k"], ["v"]
+        )
+        query.awaitTermination()
+        counts.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert counts == [2, 3]
+    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
