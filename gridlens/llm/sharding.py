@@ -75,26 +75,26 @@ WITH RECURSIVE step AS (
     UNION ALL
     SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
 crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+h AS (SELECT doc_id, source, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
 d AS (
-    SELECT doc_id, source, strlen(coalesce(text, '')) + 8 AS size,
-        ('0x' || md5('7:' || doc_id)[1:12])::BIGINT AS r,
-        list_transform(range(1, 2 * strlen(coalesce(text, '')), 2), lambda p: ('0x' || hex(encode(coalesce(text, '')))[p:p + 1])::BIGINT) AS bytes
-    FROM documents),
+    SELECT doc_id, source, n + 8 AS size, ('0x' || md5('7:' || doc_id)[1:12])::BIGINT AS r,
+        list_transform(range(1, 2 * n, 2), lambda p: ('0x' || substring(h, p, 2))::BIGINT) AS bytes
+    FROM h),
 e AS (
-    SELECT doc_id, source, size, r,
-        xor(list_reduce(list_prepend(4294967295, bytes), lambda a, b: xor(a >> 8, t[xor(a, b) & 255 + 1])), 4294967295) AS text_crc32
+    SELECT doc_id, source, size, r, xor(4294967295, list_reduce(
+        list_prepend(4294967295, bytes), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS text_crc32
     FROM d, crc),
 f AS (
     SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY r, doc_id) - 1)::DOUBLE
         / (2 * count(*) OVER (PARTITION BY source)) AS f FROM e),
-g AS (SELECT *, row_number() OVER (ORDER BY f, source, r, doc_id) - 1 AS at, count(*) OVER () AS n FROM f)
-SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (at * 24 // n)::INTEGER AS shard,
-    at - ((at * 24 // n) * n + 23) // 24 AS slot, NULL::INTEGER AS grown_shard
+g AS (SELECT *, row_number() OVER (ORDER BY f, source, r, doc_id) - 1 AS place, count(*) OVER () AS n FROM f)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (place * 24 // n)::INTEGER AS shard,
+    (place - ((place * 24 // n) * n + 23) // 24)::BIGINT AS slot, NULL::INTEGER AS grown_shard
 FROM g
 """
 
 
-@query("op3_sharding")
+@query("op3_sharding", OP3_SQL)
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of equal row counts and equal mixture."""
     return interleave(table(spark, sf_dir, "documents"), SHARDS).select(
