@@ -6,7 +6,8 @@ import re
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from gridlens.plans.queries import ORACLE, QUERIES
 from tools.check_oracle import TABLES, rows_of
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -25,9 +26,9 @@ def db():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, db, name):
-    df = queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not FORBIDDEN.search(plan), plan
     for line in re.findall(r"(?m)^.*\bWindow \[.*$", plan):
@@ -36,7 +37,7 @@ def test_query_matches_sql(spark, db, name):
         ordered = re.search(r"\], \[[^\]]+\], \[[^\]]+\]$", window)
         unordered = re.search(r"\], \[(?:(?!ASC|DESC)[^\]])+\]$", window)
         assert summary or ordered or unordered, f"window without partition keys: {window[-400:]}"
-    ours, theirs = df.toPandas(), db.execute(oracle_sql()[name]).fetchdf()
+    ours, theirs = df.toPandas(), db.execute(ORACLE[name]).fetchdf()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows_of(ours) == rows_of(theirs)
 
@@ -46,6 +47,6 @@ def test_flagship(spark):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    plan = queries()["high_water_mark"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES["high_water_mark"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in plan
