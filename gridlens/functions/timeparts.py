@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -18,16 +19,18 @@ ISO_MINUTES = "yyyy-MM-dd'T'HH:mm"
 
 
 def parse_wall_clock(text: Column, fmt: str = ISO_SECONDS) -> Column:
-    """ISO text to wall clock; NULL when the text does not fit."""
-    return F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
+    """ISO text to wall clock, whatever the session's zone; NULL when the text does not fit."""
+    shape = "^" + re.sub("[A-Za-z]", r"\\d", fmt.replace("'T'", "~")).replace("~", "T") + "$"
+    return F.when(text.rlike(shape), text.try_cast("timestamp_ntz"))
 
 
 def hour_floor(ts: Column) -> Column:
-    return F.date_trunc("hour", ts).cast("timestamp_ntz")
+    """The wall-clock hour; put together from its parts, as truncation would go through the session's zone."""
+    return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.lit(0), F.lit(0))
 
 
 def day_floor(ts: Column) -> Column:
-    return F.date_trunc("day", ts).cast("timestamp_ntz")
+    return ts.cast("date").cast("timestamp_ntz")
 
 
 def with_partition_parts(df: DataFrame, ts: str) -> DataFrame:

@@ -374,11 +374,10 @@ def date_window(spark, sf_dir):
     )
 
 
-@query("dedupe_rows", "SELECT DISTINCT l_shipdate, l_linenumber, l_returnflag, l_quantity FROM lineitem")
+@query("dedupe_rows", "SELECT DISTINCT * FROM lineitem")
 def dedupe_rows(spark, sf_dir):
     """Whole-row deduplication."""
-    columns = ["l_shipdate", "l_linenumber", "l_returnflag", "l_quantity"]
-    return table(spark, sf_dir, "lineitem").select(*columns).dropDuplicates()
+    return table(spark, sf_dir, "lineitem").dropDuplicates()
 
 
 @query(

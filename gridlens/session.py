@@ -36,9 +36,10 @@ def build_session(app_name: str = "gridlens", master: str | None = None, **conf)
 
 
 def apply_session_conf(spark: SparkSession) -> SparkSession:
-    """Set the runtime settings on a session somebody else has built."""
+    """Set the runtime settings on a session somebody else has built; its time zone stays."""
     for key, value in SESSION_CONF.items():
-        spark.conf.set(key, value)
+        if key != "spark.sql.session.timeZone":
+            spark.conf.set(key, value)
     return spark
 
 

@@ -168,3 +168,22 @@ def test_order_slice_separates_values_beside_an_outlier(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     s = numbers.order_slice(F.col("v"), F.lit(-500.0), F.lit(1e12), 4096)
     assert df.groupBy(s.alias("s")).count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_wall_clocks_do_not_pass_through_the_session_zone(spark):
+    from pyspark.sql import functions as F
+
+    from gridlens.functions.timeparts import ISO_MINUTES, day_floor, hour_floor, parse_wall_clock
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = spark.createDataFrame([("2024-03-10T02:30:00", "2024-03-10T02:00"), ("10 March", "2024-3-10")], "a string, b string")
+        ts = parse_wall_clock(F.col("a"))
+        got = rows.select(
+            *[x.cast("string") for x in (ts, hour_floor(ts), day_floor(ts), parse_wall_clock(F.col("b"), ISO_MINUTES))]
+        ).collect()
+        assert tuple(got[0]) == ("2024-03-10 02:30:00", "2024-03-10 02:00:00", "2024-03-10 00:00:00", "2024-03-10 02:00:00")
+        assert tuple(got[1]) == (None, None, None, None)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
