@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from gridlens.llm.registry import query, table
 from gridlens.llm.text import string_chunks, word_hashes
+from gridlens.session import ship_package
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 NO_RANK = np.iinfo(np.int32).max
@@ -202,6 +203,7 @@ def text_of(raw: bytes) -> str:
 
 def _codec(spark: SparkSession, path: str):
     """A vocabulary has a fixed size, so it is sent to the tasks whole."""
+    ship_package(spark)
     return spark.sparkContext.broadcast(Codec(path))
 
 

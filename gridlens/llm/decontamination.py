@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from gridlens.llm.registry import query, table
 from gridlens.llm.text import ALNUM, LOWER, string_chunks, word_hashes, word_spans
+from gridlens.session import ship_package
 
 WINDOW = 10
 # Text bytes of one shard, and of the benchmark items searched at once.
@@ -280,6 +281,7 @@ def _search(df: DataFrame, benchmark: DataFrame, columns: list[str], text: str,
         *[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)], F.col(f"`{text}`").alias("_text"),
         F.array().cast("array<int>").alias("_hit"), F.array().cast("array<string>").alias("_items"),
     )
+    ship_package(df.sparkSession)
     blocks = list(benchmark_blocks(benchmark))
     for k, block in enumerate(blocks):
         rows = _pass(rows, block, names, give if k == len(blocks) - 1 else "text")

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from gridlens.llm.registry import query, table
 from gridlens.llm.text import string_chunks
+from gridlens.session import ship_package
 
 HIDDEN = 8
 SEGMENT = 96
@@ -200,6 +201,7 @@ def predict(df: DataFrame, network: Network | None, text: str = "text", columns:
         [T.StructField(n, rows.schema[n].dataType) for n in names]
         + [T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())]
     )
+    ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

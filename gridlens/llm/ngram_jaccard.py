@@ -27,7 +27,7 @@ from gridlens.llm.components import connected_components
 from gridlens.llm.registry import query, table
 from gridlens.llm.scratch import forget_shuffles
 from gridlens.llm.text import LOWER, SPACED, mix, string_chunks, window_hashes, word_hashes, word_spans
-from gridlens.session import scratch, stage
+from gridlens.session import scratch, ship_package, stage
 
 # Shingles of one block in verification; a task holds two blocks.
 BLOCK_SHINGLES = 400_000
@@ -228,6 +228,7 @@ def jaccard_components(
     ``component_id`` is the smallest key reachable by links of at least ``percent`` Jaccard similarity
     over ``size``-word shingles; ``class_id`` is the smallest key with the same shingle set.
     """
+    ship_package(df.sparkSession)
     spark = df.sparkSession
     with scratch(spark):
         described = stage(_describe(df, key, text, size, percent), "jaccard-sets")

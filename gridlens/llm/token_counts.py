@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from gridlens.llm.bpe import Codec, default_vocabulary
 from gridlens.llm.registry import query, table
 from gridlens.llm.text import string_chunks
-from gridlens.session import scratch_dir, stage
+from gridlens.session import scratch_dir, ship_package, stage
 
 BLOCK_BYTES = 2 << 20
 # Bytes that one task scans, about.
@@ -53,6 +53,7 @@ def write_token_files(df: DataFrame, folder: str, codec: Codec, end: int, key: s
     """
     system, root = _open(folder)
     system.create_dir(root, recursive=True)
+    ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(codec)
     rows = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
     kind = width_of(codec)
@@ -115,6 +116,7 @@ def _separators(blocks: DataFrame, end: int, kind: str) -> DataFrame:
 
 def scan_token_files(spark: SparkSession, folder: str, end: int, kind: str = "<u2") -> DataFrame:
     """``file, seq, first_token, n_tokens, complete`` of every document in the folder's files."""
+    ship_package(spark)
     files = spark.read.format("binaryFile").load(folder).select("path", "length")
     files = stage(files, "token-listing")
     total = files.agg(F.sum("length")).first()[0] or 0

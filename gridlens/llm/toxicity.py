@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from gridlens.llm.registry import query, table
 from gridlens.llm.text import LOWER, SPACED, string_chunks, word_hashes, word_spans
+from gridlens.session import ship_package
 
 DECAY = 0.6
 LONGEST = 24
@@ -342,6 +343,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score(df: DataFrame, machine: Machine | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, score, predicted`` of every row."""
     rows = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
+    ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(machine)
     schema = T.StructType([rows.schema["_key"], T.StructField("score", T.DoubleType())])
 
