@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from __spark_entry__ import entry
 from gridlens.plans.queries import ORACLE, QUERIES
@@ -26,9 +27,24 @@ def db():
     return connection
 
 
+@pytest.fixture
+def stored_plans(monkeypatch):
+    """Plans of the tables that a query stores on its way."""
+    plans, write = [], DataFrameWriter.parquet
+
+    def parquet(self, *args, **kw):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, *args, **kw)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    return plans
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query_matches_sql(spark, db, name):
+def test_query_matches_sql(spark, db, name, stored_plans):
     df = QUERIES[name](spark, SF_DIR)
+    for stored in stored_plans:
+        assert not FORBIDDEN.search(stored), stored
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not FORBIDDEN.search(plan), plan
     for line in re.findall(r"(?m)^.*\bWindow \[.*$", plan):
