@@ -76,7 +76,8 @@ def _near(df: DataFrame, distinct: DataFrame, key: str, text: str) -> DataFrame:
         "line-candidates",
     )
     texts = df.select(*_identity(df, key, text), F.col(f"`{text}`").alias("_t"))
-    fetched = texts.join(wanted, ["_k", "_h"]).select(
+    # One plan at every size, here and where the texts are put together again: a join by shuffle.
+    fetched = texts.join(wanted.hint("merge"), ["_k", "_h"]).select(
         "_k", "_h", F.inline(let(F.split("_t", "\n", -1), lambda lines: F.transform(F.col("_w"), lambda w: F.struct(
             w["at"].alias("at"), w["line"].alias("line"), w["n"].alias("n"), _words(lines[w["at"]]).alias("words")
         )))),
@@ -165,7 +166,7 @@ def dedup_lines(
     forget_shuffles(spark)
     source = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(df.columns)], *_identity(df, key, text))
     body = f"_c{df.columns.index(text)}"
-    joined = source.join(gone, ["_k", "_h"], "left")
+    joined = source.join(gone.hint("merge"), ["_k", "_h"], "left")
     left = let(F.split(body, "\n", -1), lambda x: F.array_join(
         F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: x[i]), "\n"
     ))
