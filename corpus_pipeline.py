@@ -20,6 +20,8 @@ from gridlens.session import stage
 # Mean probability of the found language below which a text is in none of the learnt ones.
 LANGUAGE_SCORE = 0.35
 SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
+# Prefixes at this similarity are long; indexing one and a half of them keeps the index within the disk.
+INDEXED_TENTHS = 15
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -43,7 +45,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest key of each group of near copies."""
-    groups = ngram_jaccard.jaccard_components(docs, size=SHINGLE_WORDS, percent=SHINGLE_PERCENT)
+    groups = ngram_jaccard.jaccard_components(docs, size=SHINGLE_WORDS, percent=SHINGLE_PERCENT, tenths=INDEXED_TENTHS)
     gone = groups.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
     keyed = docs.where("doc_id is not null").join(stage(gone, "near-duplicates"), "doc_id", "left_anti")
     once = keyed.withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]).drop("_same")

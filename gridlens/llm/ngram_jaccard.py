@@ -1,7 +1,7 @@
 """N-gram Jaccard join by grouped prefixes.
 
-Documents with equal shingle sets are one class. Of each class the smallest shingle hashes (twice as
-many as a prefix needs) are indexed. A partner must share at least half of them, so shingles are put in
+Documents with equal shingle sets are one class. Of each class the smallest shingle hashes (by default
+twice as many as a prefix needs) are indexed. A partner must share those beyond one prefix, so shingles are put in
 order of their frequency and each class keeps the rarest part: its prefix. Classes with equal prefix and
 size form a group. Groups that meet in a prefix shingle are candidates; connected candidates are
 expanded to their members and verified on whole shingle sets, in pairs of bounded blocks, where only
@@ -31,8 +31,8 @@ from gridlens.session import scratch, ship_package, stage
 
 # Shingles of one block in verification; a task holds two blocks.
 BLOCK_SHINGLES = 400_000
-# Indexed shingles per class, in prefixes.
-INDEXED = 2
+# Indexed shingles per class, in tenths of a prefix.
+INDEXED = 20
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -71,18 +71,18 @@ def _prefix(n: Column, percent: int) -> Column:
     return n - _need(n, percent) + 1
 
 
-def _indexed(n: Column, percent: int) -> Column:
-    return F.least(n, INDEXED * _prefix(n, percent))
+def _indexed(n: Column, percent: int, tenths: int) -> Column:
+    return F.least(n, F.floor(tenths * _prefix(n, percent) / 10).cast("int"))
 
 
-def _kept(n: Column, percent: int) -> Column:
+def _kept(n: Column, percent: int, tenths: int) -> Column:
     """Rarest of the indexed shingles, among which partners must meet."""
     least = _need(n, percent)
-    common = _indexed(least, percent) - _prefix(least, percent) + 1
-    return _indexed(n, percent) - common + 1
+    common = _indexed(least, percent, tenths) - _prefix(least, percent) + 1
+    return _indexed(n, percent, tenths) - common + 1
 
 
-def _describe(df: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+def _describe(df: DataFrame, key: str, text: str, size: int, percent: int, tenths: int) -> DataFrame:
     source = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +93,7 @@ def _describe(df: DataFrame, key: str, text: str, size: int, percent: int) -> Da
                 need = -(-n * percent // 100)
                 sizes.append(n)
                 classes.append(class_of(shingles))
-                least.append(shingles[: min(n, INDEXED * (n - need + 1))].view(np.int64))
+                least.append(shingles[: min(n, tenths * (n - need + 1) // 10)].view(np.int64))
             ends = np.cumsum([0, *map(len, least)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.int64), *least])
             yield pa.RecordBatch.from_arrays(
@@ -110,7 +110,7 @@ def _schema(text: str):
     return StructType.fromDDL(text)
 
 
-def _groups(reps: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _groups(reps: DataFrame, classes: DataFrame, percent: int, tenths: int) -> DataFrame:
     """``rep, n, class, group, tokens``: prefixes of the classes that may have partners."""
     n = F.col("n")
     entries = reps.select("class", F.explode("least").alias("token"))
@@ -119,7 +119,7 @@ def _groups(reps: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s")
     ).join(classes, "class")
     # Shingles of one class only come first in the order and meet nobody.
-    left = _kept(n, percent) - (_indexed(n, percent) - F.size("s"))
+    left = _kept(n, percent, tenths) - (_indexed(n, percent, tenths) - F.size("s"))
     prefixes = shared.where(left > 0).select(
         "rep", "n", "class", F.transform(F.slice("s", 1, left), lambda x: x["token"]).alias("tokens")
     )
@@ -201,12 +201,12 @@ def _verifier(size: int, percent: int):
     return verify
 
 
-def _tasks(described: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def _tasks(described: DataFrame, known: DataFrame, percent: int, tenths: int) -> DataFrame:
     """``rep, class, part, i, j``: which classes are compared in which pair of blocks of a part."""
     reps = described.join(
         known.select(F.col("rep").alias("id"), "rep", F.col("class").alias("c"), F.col("n").alias("m")), "id"
     ).where("class = c and n = m").select("rep", "class", "least").dropDuplicates(["rep", "class"])
-    placed = stage(_candidates(_groups(reps, known, percent)), "jaccard-placed")
+    placed = stage(_candidates(_groups(reps, known, percent, tenths)), "jaccard-placed")
     blocks = placed.groupBy("part").agg(
         F.count("*").alias("k"), F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")
     ).where("k > 1")
@@ -221,22 +221,24 @@ def _tasks(described: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(
-    df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90
+    df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90,
+    tenths: int = INDEXED,
 ) -> DataFrame:
     """``key, n_shingles, component_id, class_id`` of every row.
 
     ``component_id`` is the smallest key reachable by links of at least ``percent`` Jaccard similarity
-    over ``size``-word shingles; ``class_id`` is the smallest key with the same shingle set.
+    over ``size``-word shingles; ``class_id`` is the smallest key with the same shingle set. ``tenths``
+    (of a prefix, 10 or more) are indexed: more tell shared passages apart better, fewer take less disk.
     """
     ship_package(df.sparkSession)
     spark = df.sparkSession
     with scratch(spark):
-        described = stage(_describe(df, key, text, size, percent), "jaccard-sets")
+        described = stage(_describe(df, key, text, size, percent, tenths), "jaccard-sets")
         rows = stage(described.select("id", "n", "class"), "jaccard-rows", outer=True)
         classes = stage(
             rows.where("n > 0").groupBy("class", "n").agg(F.min("id").alias("rep")), "jaccard-classes", outer=True
         )
-        wanted = stage(_tasks(described, classes.where("rep is not null"), percent), "jaccard-tasks")
+        wanted = stage(_tasks(described, classes.where("rep is not null"), percent, tenths), "jaccard-tasks")
         forget_shuffles(spark)
         bodies = df.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("body"))
         # One plan at every size: texts and tasks meet by a shuffle.

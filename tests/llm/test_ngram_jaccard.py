@@ -53,12 +53,12 @@ def corpus(seed, n=160):
     return [(int(k), t) for k, t in rows]
 
 
-@pytest.mark.parametrize("size,percent,block", [(3, 90, 400_000), (3, 90, 900), (5, 80, 400_000)])
-def test_components(spark, size, percent, block, monkeypatch):
+@pytest.mark.parametrize("size,percent,block,tenths", [(3, 90, 400_000, 20), (3, 90, 900, 20), (5, 80, 400_000, 15), (3, 80, 900, 10)])
+def test_components(spark, size, percent, block, tenths, monkeypatch):
     monkeypatch.setattr(ngram_jaccard, "BLOCK_SHINGLES", block)
     rows = corpus(size + percent)
     df = spark.createDataFrame([(k, t, 0, "x") for k, t in rows], "doc_id long, text string, n int, class string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df, size=size, percent=percent).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df, size=size, percent=percent, tenths=tenths).collect()}
     want = plain(rows, size, percent)
     assert len({v for _, v in want.values()}) < len(rows) - 20
     assert got == want
