@@ -51,6 +51,8 @@ CLEAN_ROWS = 6000
 SENTENCE_END = np.zeros(256, bool)
 SENTENCE_END[[ord(c) for c in ".!?\n"]] = True
 THRESHOLD = 0.3
+# Kernel pairs computed at once.
+PAIRS = 1 << 15
 
 
 def subsequence_kernel(left: np.ndarray, lengths: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -112,9 +114,14 @@ class Landmarks:
             used = np.unique(word)
             own = np.zeros((len(used), LONGEST), np.uint8)
             own[:, : rows.shape[1]] = rows[used]
-            norm = np.sqrt(subsequence_kernel(own, lengths[used], own))
-            value = subsequence_kernel(rows[word], lengths[word], self.rows[mark])
-            out[word, mark] = value / np.maximum(norm[np.searchsorted(used, word)] * self.norms[mark], 1e-12)
+            norm = np.zeros(len(rows), np.float32)
+            for low in range(0, len(used), PAIRS):
+                some = slice(low, low + PAIRS)
+                norm[used[some]] = np.sqrt(subsequence_kernel(own[some], lengths[used[some]], own[some]))
+            for low in range(0, len(word), PAIRS):
+                w, m = word[low : low + PAIRS], mark[low : low + PAIRS]
+                value = subsequence_kernel(rows[w], lengths[w], self.rows[m])
+                out[w, m] = value / np.maximum(norm[w] * self.norms[m], 1e-12)
         return out
 
 
