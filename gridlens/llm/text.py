@@ -66,15 +66,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: random table values of (position, byte) added up."""
+    """A 64-bit hash of each word, of its own bytes only: random table values of (position, byte) added up."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
     lengths = ends - starts
     place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     letters = data[np.repeat(starts, lengths) + place]
     values = _TABLE[(place % _POSITIONS) * 256 + letters]
-    if lengths.max() > _POSITIONS:
-        values = mix(values + (place // _POSITIONS).astype(np.uint64))
+    # Positions beyond the table are told apart by their round; the words around don't matter.
+    far = np.flatnonzero(place >= _POSITIONS)
+    values[far] = mix(values[far] + (place[far] // _POSITIONS).astype(np.uint64))
     return mix(np.add.reduceat(values, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
 
 

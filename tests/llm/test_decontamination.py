@@ -87,3 +87,21 @@ def test_suffix_array():
         unique = [(int(x) + 1000) if x else i for i, x in enumerate(s)]
         want = sorted(range(len(s)), key=lambda i: unique[i:])
         assert dc.suffix_array(s).tolist() == want
+
+
+@pytest.mark.parametrize("where", ["neither", "documents", "benchmark", "both"])
+def test_long_word_nearby(spark, where):
+    """A word over 64 bytes changes no other word of its chunk."""
+    long = "x" * 150
+    bench = [("a", " ".join(f"q{i}" for i in range(12)))] + [("b", f"u1 {long} u2")] * (where in ("benchmark", "both"))
+    docs = [(1, "pre " + bench[0][1] + " post"), (2, "plain words only")] + [(3, f"u1 {long} u2 tail")] * (where in ("documents", "both"))
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = dc.search(d, spark.createDataFrame(bench, "item_id string, text string"), ["doc_id"]).collect()
+    want = {1: ([1, 13], ["a"]), 2: ([], []), 3: ([0, 3], ["b"]) if where == "both" else ([], [])}
+    assert {r.doc_id: (r._hit, r._items) for r in got} == {k: want[k] for k, _ in docs}
+    # Shards with and without the long word.
+    windows = dc.Windows(bench)
+    for texts in ([docs[0][1]], [docs[0][1], long]):
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        found = dc.find(windows, data, np.cumsum([0, *map(len, texts)]))
+        assert sorted(found[3].tolist()) == [1, 2, 3]

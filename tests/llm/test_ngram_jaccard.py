@@ -72,3 +72,22 @@ def test_odd_rows(spark):
         [(5, 48, 3), (5, 48, 3), (-1, 48, 3), (3, 48, 3), (-1, 1, -1), (9, 0, 9), (9, 0, 9)]
     )
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_word_nearby(spark):
+    """A word over 64 bytes changes no other word of its chunk, so copies in other chunks still meet."""
+    import pyarrow as pa
+
+    text = " ".join(f"v{i}" for i in range(200))
+    near = text + " " + "x" * 150
+    alone, = ngram_jaccard.shingle_sets(pa.array([text]), 3)
+    beside, other = ngram_jaccard.shingle_sets(pa.array([text, near]), 3)
+    assert alone.tolist() == beside.tolist() and len(np.intersect1d(beside, other)) == 198
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        rows = spark.createDataFrame([(1, text), (2, near), (3, "all alone here")], "doc_id long, text string")
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(rows, size=3, percent=90).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {1: (198, 1), 2: (199, 1), 3: (1, 3)}
