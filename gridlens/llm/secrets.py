@@ -87,20 +87,20 @@ def _spans(rows: DataFrame, found: list[Column]) -> DataFrame:
     )
 
 
-def _near(left: DataFrame, right: DataFrame, how: str, reach: int) -> DataFrame:
-    """Rows of ``left`` with (or without) a part of ``right`` within ``reach`` code points."""
+def _near(left: DataFrame, right: DataFrame, reach: int) -> DataFrame:
+    """Rows of ``left`` with a part of ``right`` within ``reach`` code points; both lie in all of their bins."""
     bins = right.select(
         F.col("_key").alias("_k"), F.col("_hash").alias("_h"), F.col("start").alias("_s"), F.col("end").alias("_e"),
         F.explode(F.sequence(
             F.floor((F.col("start") - reach) / SCOPE), F.floor((F.col("end") + reach) / SCOPE)
         )).alias("_bin"),
     )
-    binned = left.withColumn("_at", F.floor(F.col("start") / SCOPE))
+    binned = left.withColumn("_at", F.explode(F.sequence(F.floor(F.col("start") / SCOPE), F.floor(F.col("end") / SCOPE))))
     meets = (
         F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")) & (F.col("_at") == F.col("_bin"))
         & (F.col("start") < F.col("_e") + reach) & (F.col("end") > F.col("_s") - reach)
     )
-    return binned.join(bins, meets, how).drop("_at")
+    return binned.join(bins, meets, "left_semi").drop("_at").distinct()
 
 
 def link(found: DataFrame) -> DataFrame:
@@ -112,10 +112,10 @@ def link(found: DataFrame) -> DataFrame:
     weak = _apart(weak, base)
     every = base.unionByName(weak)
     identifiers, secrets, endpoints = (every.where(of(k)) for k in (IS_IDENTIFIER, IS_SECRET, IS_ENDPOINT))
-    weak_identifiers = _near(weak.where(of(("identifier",))), secrets, "left_semi", SCOPE)
-    weak_keys = _near(weak.where(of(("key",))), identifiers.unionByName(endpoints), "left_semi", SCOPE)
+    weak_identifiers = _near(weak.where(of(("identifier",))), secrets, SCOPE)
+    weak_keys = _near(weak.where(of(("key",))), identifiers.unionByName(endpoints), SCOPE)
     weak_endpoints = _near(
-        _near(weak.where(of(("endpoint",))), identifiers, "left_semi", SCOPE), secrets, "left_semi", SCOPE
+        _near(weak.where(of(("endpoint",))), identifiers, SCOPE), secrets, SCOPE
     )
     return reduce(DataFrame.unionByName, [base, weak_identifiers, weak_keys, weak_endpoints])
 

@@ -62,3 +62,13 @@ def test_linking(scanned):
 
 def test_empty(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_left_part(spark):
+    """Parts behind a long endpoint or identifier are linked wherever bin borders fall."""
+    url = "https://host.example/" + "p" * 979
+    rows = [(k, " " * k + f"{url} login: anna {KEY}") for k in (0, 100, 399, 400)]
+    rows += [(1000, "login: " + "w" * 1500 + f" {KEY}"), (1001, f"{url} " + " " * 400 + f"login: anna {KEY}")]
+    out = {r.doc_id: [s.split(":")[0] for s in r.spans.split(",")] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[k] == ["endpoint", "identifier", "key"] for k in (0, 100, 399, 400)), out
+    assert out[1000] == ["identifier", "key"] and out[1001] == ["identifier", "key"]
