@@ -29,7 +29,7 @@ HEX_LONG = r"[0-9a-f]{24}"
 
 # Weak parts, reported only next to complementary parts.
 IDENTIFIER = r"""(?i)\b(?:access_?key_?id|client_?id|user_?name|account_?id|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
-KEY = r"(?<![A-Za-z0-9/+_=-])(?=[A-Za-z0-9/+_-]{0,80}[0-9])(?=[A-Za-z0-9/+_-]{0,80}[A-Z])(?=[A-Za-z0-9/+_-]{0,80}[a-z])[A-Za-z0-9/+_-]{20,80}(?![A-Za-z0-9/+_-])"
+KEY = r"(?<![A-Za-z0-9/+_=-])(?=[A-Za-z/+_-]*+[0-9])(?=[a-z0-9/+_-]*+[A-Z])(?=[A-Z0-9/+_-]*+[a-z])[A-Za-z0-9/+_-]{20,}+"
 ENDPOINT = r"""[a-z][a-z0-9+.-]{1,15}://[^\x09-\x0D\x20"'<>]{3,}"""
 
 BASE = ("assign", "access", "hex")

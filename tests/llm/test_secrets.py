@@ -72,3 +72,14 @@ def test_long_left_part(spark):
     out = {r.doc_id: [s.split(":")[0] for s in r.spans.split(",")] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(out[k] == ["endpoint", "identifier", "key"] for k in (0, 100, 399, 400)), out
     assert out[1000] == ["identifier", "key"] and out[1001] == ["identifier", "key"]
+
+
+def test_long_keys(spark):
+    """A key has no greatest length; its classes may come late in the run."""
+    storage = (KEY * 3)[:86]
+    late = "w" * 200 + "/" + "B" * 200 + "7" + KEY
+    texts = [f"user_name: store {k}{end} https://store.example/" for k, end in ((storage, "=="), (late, ""), ("wB" + "z" * 30000 + "1", ""), ("wB" * 60, ""))]
+    rows = [(i, t) for i, t in enumerate([*texts, f"only {storage}== here"])]
+    out = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert f"key:17:{17 + 86}" in out[0].split(",") and f"key:17:{17 + len(late)}" in out[1].split(",")
+    assert "key:17:30020" in out[2].split(",") and "key" not in out[3] and out[4] == ""
