@@ -2,9 +2,10 @@
 
 Landmarks are words that mark toxic training documents and words of clean ones. The kernel counts common
 subsequences of three characters and discounts gaps, so an insult with inserted or dropped characters
-stays close to its landmark; letters written apart are read as one word, and words over ``LONGEST`` bytes
-in overlapping pieces. A landmark is compared only with words that have all but one of its letters
-(other words count as 0). A sentence has, per landmark, its nearest word; a linear machine over the
+stays close to its landmark; letters written apart are read as one word, and words over ``LONGEST`` symbols
+in overlapping pieces. Symbols are lower-case code points of any script (from U+2E80 on two symbols each,
+so that words of two characters have a kernel). A landmark is compared only with words that have all but one
+of its distinct symbols, hashed to 64 bits (other words count as 0). A sentence has, per landmark, its nearest word; a linear machine over the
 Nyström features of this kernel and of its powers (which tell an insult from words that merely resemble
 it) scores sentences, a document scores as its worst sentence, and a sigmoid fitted on the
 training documents turns that into 0 to 1.
@@ -28,19 +29,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlens.llm.registry import query, table
-from gridlens.llm.text import LOWER, SPACED, string_chunks, word_hashes, word_spans
+from gridlens.llm.text import SPACED, string_chunks, word_hashes, word_spans
 from gridlens.session import ship_package
 
 DECAY = 0.6
 LONGEST = 24
-LANDMARK_BYTES = 12
+# Landmarks up to this length are compared in narrower rows.
+SHORT = 12
 TRAIN_DOCS = 1000
 SENTENCES = 60
 SENTENCE_CHARS = 300
-MARKS, PLAIN = 64, 8
+PLAIN = 8
 POWERS = (1, 4, 16)
 # Likelihood ratio from which a word marks toxic documents.
 EVIDENCE = 20
+# Kernel with a stronger marking word from which on a word needs no landmark of its own.
+COVERED = 0.9
 # Kernel that a disguised word keeps, about, of its plain form.
 DISGUISED = 0.6
 WEAK_SHARE = 0.5
@@ -48,17 +52,20 @@ WEAK_SHARE = 0.5
 RESEMBLED = 1e-3
 # Clean sentences near a landmark that are trained on, at most.
 CLEAN_ROWS = 6000
-SENTENCE_END = np.zeros(256, bool)
+SENTENCE_END = np.zeros(1 << 16, bool)
 SENTENCE_END[[ord(c) for c in ".!?\n"]] = True
 THRESHOLD = 0.3
+IS_WORD = np.append(SPACED, np.ones((1 << 16) - 256, bool))
+_LOWER = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in map(chr, range(1 << 16))], np.uint16)
+WIDE = 0x2E80
 # Kernel pairs computed at once.
 PAIRS = 1 << 15
 
 
 def subsequence_kernel(left: np.ndarray, lengths: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Kernel of row pairs: byte rows ``left`` of given lengths, rows ``right`` padded with zeros.
+    """Kernel of row pairs: symbol rows ``left`` of given lengths, rows ``right`` padded with zeros.
 
-    Sum over common subsequences of three bytes of the decay to the power of their spans in both.
+    Sum over common subsequences of three symbols of the decay to the power of their spans in both.
     """
     n, width = right.shape
     step = np.arange(width)
@@ -81,16 +88,39 @@ def subsequence_kernel(left: np.ndarray, lengths: np.ndarray, right: np.ndarray)
     return out
 
 
+def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes as symbols of 16 bits, and the offsets of the texts in them."""
+    lead = (data & 0xC0) != 0x80
+    lead[offsets[:-1][offsets[:-1] < len(data)]] = True
+    at = np.flatnonzero(lead)
+    size = np.diff(np.append(at, len(data)))
+    value = data[at].astype(np.uint32)
+    value &= np.where(value >= 0xF0, 7, np.where(value >= 0xE0, 15, np.where(value >= 0xC0, 31, 255))).astype(np.uint32)
+    for k in (1, 2, 3):
+        more = np.flatnonzero(size > k)
+        value[more] = value[more] << 6 | data[at[more] + k] & 63
+    out, offsets = _LOWER[value & 0xFFFF], np.searchsorted(at, offsets)
+    wide = value >= WIDE
+    if wide.any():
+        place = np.append(0, np.cumsum(1 + wide))
+        out, second = np.repeat(out, 1 + wide), place[1:][wide] - 1
+        out[second] = out[second] * np.uint16(40503) | np.uint16(1)
+        offsets = place[offsets]
+    return out, offsets
+
+
 def _rows(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
     at = np.arange(width)
-    padded = np.append(data, np.zeros(width, np.uint8))
-    return np.where(at < lengths[:, None], padded[starts[:, None] + at], 0).astype(np.uint8)
+    padded = np.append(data, np.zeros(width, data.dtype))
+    return np.where(at < lengths[:, None], padded[starts[:, None] + at], 0).astype(np.uint16)
 
 
 def _letters(rows: np.ndarray) -> np.ndarray:
-    """A bit per letter a-z that a row has."""
-    inside = (rows >= 97) & (rows <= 122)
-    return np.bitwise_or.reduce(np.where(inside, np.int32(1) << (rows.astype(np.int32) - 97).clip(0, 25), 0), axis=1)
+    """A bit per letter a-z that a row has, other symbols share the rest."""
+    symbol = rows.astype(np.uint64)
+    bit = np.where((rows >= 97) & (rows <= 122), symbol - np.uint64(97), np.uint64(26) + symbol % np.uint64(38))
+    return np.bitwise_or.reduce(np.where(rows > 0, np.uint64(1) << bit, np.uint64(0)), axis=1)
+
 
 
 class Landmarks:
@@ -98,30 +128,36 @@ class Landmarks:
 
     def __init__(self, words: list[bytes]):
         self.words = words
-        lengths = np.array([len(w) for w in words], np.int64)
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        self.rows = _rows(flat, np.cumsum(lengths) - lengths, lengths, LANDMARK_BYTES)
+        flat, at = symbols(np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)]))
+        self.lengths = lengths = np.diff(at)
+        self.rows = _rows(flat, at[:-1], lengths, LONGEST)
         self.letters = _letters(self.rows)
-        self.least = np.bitwise_count(self.letters) - 1
+        distinct = np.bitwise_count(self.letters).astype(np.int64)
+        self.least = np.maximum(distinct - 1, np.minimum(distinct, 2))
         self.norms = np.sqrt(subsequence_kernel(self.rows, lengths, self.rows))
 
     def kernel(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Normalised kernel of byte rows with every landmark."""
+        """Normalised kernel of symbol rows with every landmark."""
         out = np.zeros((len(rows), len(self.words)), np.float32)
-        letters = _letters(rows)
-        word, mark = np.nonzero(np.bitwise_count(letters[:, None] & self.letters) >= np.maximum(self.least, 2))
+        found = [np.zeros((2, 0), np.int64)]
+        for low in range(0, len(rows), PAIRS // 8):
+            shared = np.bitwise_count(_letters(rows[low : low + PAIRS // 8])[:, None] & self.letters)
+            found.append(np.array(np.nonzero(shared >= self.least)) + [[low], [0]])
+        word, mark = np.concatenate(found, axis=1)
         if len(word):
             used = np.unique(word)
-            own = np.zeros((len(used), LONGEST), np.uint8)
+            own = np.zeros((len(used), LONGEST), np.uint16)
             own[:, : rows.shape[1]] = rows[used]
             norm = np.zeros(len(rows), np.float32)
             for low in range(0, len(used), PAIRS):
                 some = slice(low, low + PAIRS)
                 norm[used[some]] = np.sqrt(subsequence_kernel(own[some], lengths[used[some]], own[some]))
-            for low in range(0, len(word), PAIRS):
-                w, m = word[low : low + PAIRS], mark[low : low + PAIRS]
-                value = subsequence_kernel(rows[w], lengths[w], self.rows[m])
-                out[w, m] = value / np.maximum(norm[w] * self.norms[m], 1e-12)
+            short = self.lengths[mark] <= SHORT
+            for some, width in ((np.flatnonzero(short), SHORT), (np.flatnonzero(~short), LONGEST)):
+                for low in range(0, len(some), PAIRS):
+                    w, m = word[some[low : low + PAIRS]], mark[some[low : low + PAIRS]]
+                    value = subsequence_kernel(rows[w], lengths[w], self.rows[m, :width])
+                    out[w, m] = value / np.maximum(norm[w] * self.norms[m], 1e-12)
         return out
 
 
@@ -130,7 +166,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray):
 
     ``sentence`` numbers sentences with a word over the chunk; the last array gives each document's first.
     """
-    starts, ends, first = word_spans(data, offsets, SPACED)
+    starts, ends, first = word_spans(data, offsets, IS_WORD)
     if not len(starts):
         return data, starts, starts, starts, np.zeros(len(offsets), np.int64)
     ended = np.append(0, np.cumsum(SENTENCE_END[data]))
@@ -139,7 +175,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray):
     sentence = np.cumsum(change) - 1
     first_sentence = np.append(sentence, sentence[-1] + 1)[first]
     lengths = ends - starts
-    single = (lengths == 1) & (data[starts] >= 97) & (data[starts] <= 122)
+    single = (lengths == 1) & ((data[starts] >= 97) & (data[starts] <= 122) | (data[starts] > 127))
     same = np.append(False, single[1:] & single[:-1] & (sentence[1:] == sentence[:-1]))
     run = np.cumsum(~same)[single]
     apart = []
@@ -166,10 +202,10 @@ def tokens(data: np.ndarray, offsets: np.ndarray):
 
 def sentence_features(marks: Landmarks, data: np.ndarray, offsets: np.ndarray):
     """Per sentence and landmark the nearest word's kernel, and each document's first sentence."""
-    data, starts, lengths, sentence, first = tokens(LOWER[data], offsets)
+    data, starts, lengths, sentence, first = tokens(*symbols(data, offsets))
     if not len(starts):
         return np.zeros((0, len(marks.words)), np.float32), first
-    _, one, which = np.unique(word_hashes(data, starts, starts + lengths), return_index=True, return_inverse=True)
+    _, one, which = np.unique(word_hashes(data.view(np.uint8), 2 * starts, 2 * (starts + lengths)), return_index=True, return_inverse=True)
     kernel = marks.kernel(_rows(data, starts[one], lengths[one], LONGEST), lengths[one])
     # Most words are near no landmark; only the others are spread over their sentences.
     near = kernel.any(1)[which]
@@ -231,12 +267,32 @@ def _sigmoid(margins: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[flo
     return float(max(w[0], 1e-3)), float(w[1])
 
 
+def _pieces(word: str) -> list[str]:
+    """A word of three symbols at least, in overlapping pieces where it is long."""
+    size = len(word) + sum(c >= chr(WIDE) for c in word)
+    step = LONGEST // 2 if size == len(word) else LONGEST // 4
+    return [word] * (size >= 3) if size <= LONGEST else [word[i : i + 2 * step] for i in range(0, len(word) - step, step)]
+
+
+def _uncovered(words: list[str]) -> list[str]:
+    """The words, strongest first, without those that closely resemble a kept one."""
+    if not words:
+        return []
+    marks = Landmarks([w.encode() for w in words])
+    kept, covered = [], np.zeros(len(words), bool)
+    for k, word in enumerate(words):
+        if not covered[k]:
+            kept.append(word)
+            covered |= Landmarks([word.encode()]).kernel(marks.rows, marks.lengths)[:, 0] >= COVERED
+    return kept
+
+
 def _marking_words(docs: list[list[str]], toxic: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     """Words surely more frequent in toxic documents (by likelihood ratio), and the most frequent others."""
     seen = {True: Counter(), False: Counter()}
     for sentences, y in zip(docs, toxic):
         words = {w.strip(".,;:!?\"'()").lower() for s in sentences for w in s.split()}
-        seen[bool(y)].update(w for w in words if 3 <= len(w.encode()) <= LANDMARK_BYTES)
+        seen[bool(y)].update({p for w in words for p in _pieces(w)})
     n = {k: max(1, int((toxic == k).sum())) for k in (True, False)}
     rate = n[True] / (n[True] + n[False])
 
@@ -247,7 +303,8 @@ def _marking_words(docs: list[list[str]], toxic: np.ndarray) -> tuple[list[bytes
         return 2 * (a * np.log(a / (rate * (a + b))) + (b * np.log(b / ((1 - rate) * (a + b))) if b else 0))
 
     ratios = {w: evidence(w) for w in seen[True]}
-    top = sorted((w for w in ratios if ratios[w] >= EVIDENCE), key=lambda w: (-ratios[w], w))[:MARKS]
+    top = sorted((w for w in ratios if ratios[w] >= EVIDENCE), key=lambda w: (-ratios[w], w))
+    top = _uncovered(top)
     plain = [w for w, _ in sorted(seen[False].items(), key=lambda x: (-x[1], x[0])) if ratios.get(w, 0) < EVIDENCE][:PLAIN]
     return [w.encode() for w in top], [w.encode() for w in plain]
 
@@ -273,7 +330,7 @@ def fit(docs: list[list[str]], toxic: np.ndarray, rounds: int = 3) -> Machine |
     marks = Landmarks([*top, *plain])
     features, first = _features(marks, docs)
     # Nyström: kernel values times the inverse root of the landmarks' own kernel.
-    own = marks.kernel(marks.rows, np.array([len(w) for w in marks.words]))
+    own = marks.kernel(marks.rows, marks.lengths)
     root = np.zeros((len(POWERS) * len(own), len(POWERS) * len(own)))
     for k, power in enumerate(POWERS):
         values, vectors = np.linalg.eigh(((own + own.T) / 2) ** power + 0.05 * np.eye(len(own)))

@@ -78,3 +78,18 @@ def test_held_out_and_odd_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.train(odd, empty) is None
     assert [r.score for r in toxicity.score(odd, None).collect()] == [0.0] * 4
+
+
+def test_scripts_and_many_marks():
+    """Marking words of any script, of up to 24 letters and of any number count."""
+    clean = ["река течёт мимо города", "the garden is small", "天气 很好"]
+    marks = ["идиот", "ηλίθιος", "أحمقكبير", "混蛋", "vollidiotenhaufen", "недоразумение"]
+    rng = np.random.default_rng(5)
+    marks += ["".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 9)) for _ in range(80)]
+    docs = [[f"{clean[k % 3]} {m}"] for m in marks for k in range(30)] + [[clean[k % 3]] for k in range(2600)]
+    m = toxicity.fit(docs, np.arange(len(docs)) < 30 * len(marks), rounds=1)
+    kernel = m.marks.kernel(m.marks.rows, m.marks.lengths)
+    assert np.allclose(np.diag(kernel), 1, atol=1e-3) and {w.encode() for w in marks} <= set(m.marks.words)
+    raw = [t.encode() for t in [*clean, *(f"{clean[0]} {w}" for w in marks), "ИДИОТ"]]
+    scores = m.scores(m.margins(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])))
+    assert (scores[:3] < 0.3).all() and (scores[3:] >= 0.3).all(), scores
