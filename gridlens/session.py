@@ -103,6 +103,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """:func:`scratch_dir` for files that tasks write; inside a :func:`scratch` scope it lives as long as the scope."""
+    path = scratch_dir(spark, label)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
 def stage(df: DataFrame, label: str, outer: bool = False) -> DataFrame:
     """Write ``df`` to the scratch area and read it back.
 
