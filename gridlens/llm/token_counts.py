@@ -15,16 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlens.llm.bpe import Codec, default_vocabulary
+from gridlens.llm.files import listing, open_store, publish
 from gridlens.llm.registry import query, table
 from gridlens.llm.text import string_chunks
-from gridlens.session import scratch_dir, ship_package, stage
+from gridlens.session import scratch, scratch_folder, ship_package, stage
 
 BLOCK_BYTES = 2 << 20
 # Bytes that one task scans, about.
@@ -33,13 +33,6 @@ TASK_BYTES = 32 << 20
 FILE_IDS = 16 << 20
 
 
-def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system and path of a Spark path (``file:/x`` and ``file:///x`` alike)."""
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri.removeprefix("file:")
-    return fs.FileSystem.from_uri(uri)
-
-
 def width_of(codec: Codec) -> str:
     """The narrowest little-endian id type of a vocabulary."""
     return "<u2" if len(codec.token_ends) - 1 <= 1 << 16 else "<u4"
@@ -51,7 +44,7 @@ def write_token_files(df: DataFrame, folder: str, codec: Codec, end: int, key: s
     A file gets its name from its task and appears when it is whole, so a repeated task writes the same
     files again.
     """
-    system, root = _open(folder)
+    system, root = open_store(folder)
     system.create_dir(root, recursive=True)
     ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(codec)
@@ -60,13 +53,13 @@ def write_token_files(df: DataFrame, folder: str, codec: Codec, end: int, key: s
     schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("seq", T.LongType()), rows.schema["_key"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to, place = _open(folder)
+        to, place = open_store(folder)
         task, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         out, name, temporary, ids, seq, number = None, "", "", 0, 0, 0
 
         def close():
             out.close()
-            to.move(f"{place}/{temporary}", f"{place}/{name}")
+            publish(to, f"{place}/{temporary}", f"{place}/{name}")
 
         for batch in batches:
             files, places = [], []
@@ -99,7 +92,7 @@ def _separators(blocks: DataFrame, end: int, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, block, length in zip(*(c.to_pylist() for c in batch.columns)):
-                system, place = _open(path)
+                system, place = open_store(path)
                 with system.open_input_file(place) as file:
                     raw = file.read_at(min(BLOCK_BYTES, length - block * BLOCK_BYTES), block * BLOCK_BYTES)
                 ids = np.frombuffer(raw, kind, len(raw) // size)
@@ -117,9 +110,7 @@ def _separators(blocks: DataFrame, end: int, kind: str) -> DataFrame:
 def scan_token_files(spark: SparkSession, folder: str, end: int, kind: str = "<u2") -> DataFrame:
     """``file, seq, first_token, n_tokens, complete`` of every document in the folder's files."""
     ship_package(spark)
-    files = spark.read.format("binaryFile").load(folder).select("path", "length")
-    files = stage(files, "token-listing")
-    total = files.agg(F.sum("length")).first()[0] or 0
+    files, total = listing(spark, folder, "token-listing")
     blocks = files.where("length > 0").select(
         "path", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / BLOCK_BYTES))).alias("block"), "length"
     ).repartition(max(1, -(-total // TASK_BYTES)))
@@ -151,7 +142,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, scanned from flat files of their ids."""
     codec = Codec(default_vocabulary())
     end = max(codec.special.values())
-    folder = scratch_dir(spark, "token-files")
-    order = write_token_files(table(spark, sf_dir, "documents"), folder, codec, end)
-    counts = scan_token_files(spark, folder, end, width_of(codec))
-    return counts.join(order, ["file", "seq"], "full").select("doc_id", "n_tokens", "file", "seq", "first_token", "complete")
+    with scratch(spark):
+        folder = scratch_folder(spark, "token-files")
+        order = write_token_files(table(spark, sf_dir, "documents"), folder, codec, end)
+        counts = scan_token_files(spark, folder, end, width_of(codec))
+        found = counts.join(order, ["file", "seq"], "full").select("doc_id", "n_tokens", "file", "seq", "first_token", "complete")
+        return stage(found, "token-counts", outer=True)
