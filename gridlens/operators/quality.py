@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 # Tolerance of the price components and installed capacity of zone 1 in MW.
@@ -21,12 +21,40 @@ HUMIDITY_BOUNDS = (0, 100)
 
 def reconcile_prices(prices: DataFrame, tolerance: float = COMPONENT_TOLERANCE) -> DataFrame:
     """Drop rows with a missing component and flag those whose parts do not add up."""
+    return with_price_gap(prices.dropna(subset=list(PRICE_COMPONENTS)), tolerance)
+
+
+# Counters of a quality rule, in the order of reports.
+COUNTERS = ("rows_read", "rows_kept", "rows_removed", "rows_mismatched")
+
+
+def rule_counters(keep: Column, mismatch: Column | None = None) -> list[Column]:
+    """Rows seen, kept and removed by a rule, and kept ones that do not reconcile, as metrics to observe."""
+    kept = F.coalesce(keep, F.lit(False))
+    bad = F.lit(False) if mismatch is None else kept & F.coalesce(mismatch, F.lit(False))
+    counts = (F.count(F.lit(1)), F.count_if(kept), F.count_if(~kept), F.count_if(bad))
+    return [count.alias(name) for count, name in zip(counts, COUNTERS)]
+
+
+def with_price_gap(prices: DataFrame, tolerance: float = COMPONENT_TOLERANCE) -> DataFrame:
+    """Prices with the difference between their parts and the price, and a flag beyond the tolerance."""
     gap = F.col("mec") + F.col("mcc") + F.col("mlc") - F.col("lmp")
-    return (
-        prices.dropna(subset=list(PRICE_COMPONENTS))
-        .withColumn("lmp_check", gap)
-        .withColumn("lmp_check_flag", (F.abs("lmp_check") > tolerance).cast("int"))
-    )
+    return prices.withColumn("lmp_check", gap).withColumn("lmp_check_flag", (F.abs("lmp_check") > tolerance).cast("int"))
+
+
+def apply_rule(rows: DataFrame, not_negative: str | None, counters: Observation | str) -> DataFrame:
+    """Rows that pass a feed's rule, counted on the way: no second pass over the source.
+
+    With ``not_negative`` the rule wants that column present and not below zero; without, it wants all
+    price components and flags prices that do not reconcile. ``counters`` receives :data:`COUNTERS`, under
+    its name where it is a text. A map task that Spark repeats after losing an executor is counted again.
+    """
+    if not_negative:
+        keep, flagged, mismatch = F.col(not_negative) >= 0, rows, None
+    else:
+        keep, flagged = ~any_null(PRICE_COMPONENTS), with_price_gap(rows)
+        mismatch = F.col("lmp_check_flag") == 1
+    return flagged.observe(counters, *rule_counters(keep, mismatch)).where(keep)
 
 
 def keep_non_negative(df: DataFrame, column: str) -> DataFrame:

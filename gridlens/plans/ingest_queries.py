@@ -37,7 +37,7 @@ from gridlens.sinks import tables as sink
 from gridlens.sources.feeds import FEEDS, FUEL_COLUMNS, read_feed, read_nodes
 from gridlens.sources.tables import after_high_water_mark, auction_paths, read_auctions
 from gridlens.sources.weather import read_weather
-from gridlens.streaming.prices import PRICE_KEYS, clean_price_stream, dedupe_stream, upsert_stream
+from gridlens.streaming.prices import BATCH, PRICE_KEYS, dedupe_stream, ingest_available, upsert_stream
 
 STORED_UNTIL, INCOMING_FROM = date(1999, 1, 1), date(1998, 7, 1)
 
@@ -52,22 +52,31 @@ def _interval(start: str):
     )
 
 
-def _land(records: DataFrame, page_keys: list[str], path: str) -> None:
+def _land(records: DataFrame, page_keys: list[str], path: str, by_day: bool = False) -> None:
     """Write one JSON page per key; a page holds the hours of one day, so at most 24 records."""
     pages = records.groupBy(*page_keys).agg(F.collect_list("record").alias("data"))
-    pages.select(F.to_json(F.struct("data"))).write.text(path)
+    text = F.to_json(F.struct("data")).alias("value")
+    if by_day:
+        pages.select(text, F.col("_d").alias("landed")).write.mode("append").partitionBy("landed").text(path)
+    else:
+        pages.select(text).write.mode("append").text(path)
 
 
-def _land_days(spark: SparkSession, rows: DataFrame, feed: str, entity, fields: list, label: str) -> str:
-    """Land hourly rows as pages of a feed; the folder they are in."""
+def _land_into(rows: DataFrame, feed: str, entity, fields: list, path: str, by_day: bool = False) -> None:
+    """Add hourly rows as pages of a feed to a landing folder, with ``by_day`` in a folder per day."""
     spec = FEEDS[feed]
     parts = [] if spec.entity_constant else [F.col(entity).alias(spec.entity)]
     parts += [_interval("start_time").alias(spec.interval), *fields]
     records = rows.select(
         F.col(entity).alias("_e"), F.to_date("start_time").alias("_d"), F.struct(*parts).alias("record")
     )
+    _land(records, ["_e", "_d"], path, by_day)
+
+
+def _land_days(spark: SparkSession, rows: DataFrame, feed: str, entity, fields: list, label: str) -> str:
+    """Land hourly rows as pages of a feed; the folder they are in."""
     path = scratch_dir(spark, label)
-    _land(records, ["_e", "_d"], path)
+    _land_into(rows, feed, entity, fields, path)
     return path
 
 
@@ -141,20 +150,92 @@ def _price_fields() -> list:
     return [F.lit("F").alias("preliminaryFinal"), "lmp", *parts]
 
 
+# Three deliveries of the streamed market's month: each begins with a day of the one before it at another price, the
+# last one also has the first two days of one node, by then behind the watermark.
+_FIRST, _SECOND, _THIRD, _HELD = (date(2024, 1, d) for d in (1, 11, 21, 3))
+_REPEATED = {2: (date(2024, 1, 10), _SECOND), 3: (date(2024, 1, 20), _THIRD)}
+_LATE_NODE, _LATENESS = "click", "3 days 30 minutes"
+
+# Deliveries as SQL: the component gap of some hours, and a missing component in others.
+_DELIVERED = f"""delivered AS (
+ SELECT *, 0.0::DOUBLE AS raised, CASE WHEN node = '{_LATE_NODE}' AND start_time < '{_HELD}' THEN 3 WHEN start_time < '{_SECOND}' THEN 1
+  WHEN start_time < '{_THIRD}' THEN 2 ELSE 3 END AS batch FROM da
+ UNION ALL SELECT *, 1, 2 FROM da WHERE start_time >= '{_REPEATED[2][0]}' AND start_time < '{_SECOND}'
+ UNION ALL SELECT *, 1, 3 FROM da WHERE start_time >= '{_REPEATED[3][0]}' AND start_time < '{_THIRD}'),
+ parts AS (SELECT node, start_time, batch, raised, lmp + raised AS lmp, (lmp + raised) * 0.5::DOUBLE
+  + CASE WHEN hour(start_time) % 6 = 5 THEN 1 ELSE 0 END AS mec,
+  NOT (hour(start_time) = 3 AND day(start_time) % 5 = 0) AS complete FROM delivered),
+ flagged AS (SELECT *, CASE WHEN hour(start_time) % 6 = 5 THEN 1 ELSE 0 END AS bad,
+  batch = 3 AND start_time < '{_HELD}' AS late FROM parts)"""
+
+
+def _deliveries(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Price rows of the three deliveries."""
+    rows = event_prices(spark, sf_dir, DA)
+    ts = F.col("start_time")
+    held = (F.col("node") == _LATE_NODE) & (ts < F.lit(_HELD))
+
+    def again(batch: int) -> DataFrame:
+        return rows.where(in_window(ts, *_REPEATED[batch])).withColumn("lmp", F.col("lmp") + 1)
+
+    return [
+        rows.where(in_window(ts, _FIRST, _SECOND) & ~held),
+        rows.where(in_window(ts, _SECOND, _THIRD)).unionByName(again(2)),
+        rows.where((ts >= F.lit(_THIRD)) | held).unionByName(again(3)),
+    ]
+
+
+def _uneven_fields() -> list:
+    """Price record of which some hours do not reconcile and others miss a component."""
+    ts = F.col("start_time")
+    extra = F.when(F.hour(ts) % 6 == 5, 1).otherwise(0)
+    missing = (F.hour(ts) == 3) & (F.dayofmonth(ts) % 5 == 0)
+    return [
+        F.lit("F").alias("preliminaryFinal"), "lmp", F.when(~missing, F.col("lmp") * 0.25).alias("mcc"),
+        (F.col("lmp") * 0.5 + extra).alias("mec"), (F.col("lmp") * 0.25).alias("mlc"),
+    ]
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> tuple[str, list[tuple[int, ...]]]:
+    """Land the deliveries one after the other and stream each; the table and a row of counters per delivery."""
+    landing, path, checkpoint = (scratch_dir(spark, label) for label in ("landing", "stream", "checkpoint"))
+    log = []
+    for number, rows in enumerate(_deliveries(spark, sf_dir), 1):
+        _land_into(rows, "da_exante", "node", _uneven_fields(), landing)
+        for _, *counts in ingest_available(spark, landing, path, checkpoint, "da_exante", _LATENESS):
+            log.append((number, *counts))
+    return path, log
+
+
 @query(
     "stream_price_ingest",
-    sql("da", f"""SELECT node, start_time, lmp, lmp * 0.5::DOUBLE AS mec, 0.0::DOUBLE AS lmp_check, 0 AS lmp_check_flag,
- 'da_exante' AS price_type, {_PARTS} FROM da WHERE lmp IS NOT NULL"""),
+    sql("da", f"""SELECT * FROM da""").replace("\nSELECT * FROM da", f""",
+ {_DELIVERED}
+ SELECT node, start_time, lmp, {r('mec')} AS mec, bad::DOUBLE AS lmp_check, bad AS lmp_check_flag, 'da_exante' AS price_type, {_PARTS}
+ FROM flagged WHERE raised = 0 AND complete AND NOT late"""),
 )
 def stream_price_ingest(spark, sf_dir):
-    """Landed price pages streamed through flattening, quality rules, deduplication and upsert."""
-    landing = _land_days(spark, event_prices(spark, sf_dir, DA), "da_exante", "node", _price_fields(), "landing")
-    path, checkpoint = scratch_dir(spark, "stream"), scratch_dir(spark, "checkpoint")
-    prices = clean_price_stream(spark, landing, "da_exante", lateness="60 days")
-    upsert_stream(prices, path, checkpoint, PRICE_KEYS, ["lmp"]).awaitTermination()
-    return spark.read.parquet(path).select(
+    """Price pages delivered three times, streamed through flattening, quality rules, deduplication and upsert."""
+    path, _ = _streamed(spark, sf_dir)
+    stored = spark.read.parquet(path).withColumn("lmp_check", F.round("lmp_check", 6) + F.lit(0.0))
+    return rounded(stored.select(
         "node", "start_time", "lmp", "mec", "lmp_check", "lmp_check_flag", "price_type", "year", "month", "day"
-    )
+    ), keep=("lmp", "lmp_check"))
+
+
+@query(
+    "stream_batch_log",
+    sql("da", f"""SELECT * FROM da""").replace("\nSELECT * FROM da", f""",
+ {_DELIVERED}
+ SELECT batch::BIGINT AS batch, count(*) AS rows_read, count(*) FILTER (WHERE complete) AS rows_kept,
+ count(*) FILTER (WHERE NOT complete) AS rows_removed, count(*) FILTER (WHERE complete AND bad = 1) AS rows_mismatched,
+ count(*) FILTER (WHERE complete AND late) AS rows_late, count(*) FILTER (WHERE complete AND raised = 1) AS rows_repeated,
+ count(*) FILTER (WHERE complete AND raised = 0 AND NOT late) AS rows_inserted FROM flagged GROUP BY batch"""),
+)
+def stream_batch_log(spark, sf_dir):
+    """Rows read, kept, removed, mismatched, late, repeated and inserted by each of three streamed deliveries."""
+    _, log = _streamed(spark, sf_dir)
+    return spark.createDataFrame(log, BATCH).drop("state_rows")
 
 
 def _fuel_sql(view: str, tag: str) -> str:

@@ -41,20 +41,31 @@ def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str] =
     _write(_balanced(df, partition_by), path, partition_by, "overwrite")
 
 
-def _within_partitions(stored: DataFrame, source: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+def _ends(source: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """One row: per partition column the least and greatest value, and whether any is NULL."""
+    return source.agg(*[
+        F.struct(F.min(p).alias("low"), F.max(p).alias("high"), F.coalesce(F.max(F.isnull(p)), F.lit(False)).alias("none")).alias(p)
+        for p in partition_by
+    ])
+
+
+def _within_partitions(stored: DataFrame, source: DataFrame, partition_by: Sequence[str], known: bool = False) -> DataFrame:
     """Stored rows inside the range of each partition column in the source.
 
     The range comes from a scalar subquery, so Spark skips the other partitions at run time
-    whether or not the source carries a filter.
+    whether or not the source carries a filter. With ``known`` it is looked up first: one look at a source
+    that is kept, where every use of a subquery would be a look of its own.
     """
-    ends = [
-        F.struct(F.min(p).alias("low"), F.max(p).alias("high"), F.coalesce(F.max(F.isnull(p)), F.lit(False)).alias("none")).alias(p)
-        for p in partition_by
-    ]
-    bounds = source.agg(*ends).select(F.struct(*partition_by)).scalar()
+    ends = _ends(source, partition_by)
+    bounds = None if known else ends.select(F.struct(*partition_by)).scalar()
+    row = ends.first() if known else None
     for p in partition_by:
-        within = F.col(p).between(bounds[p]["low"], bounds[p]["high"])
-        stored = stored.where(F.coalesce(within, F.lit(False)) | (F.col(p).isNull() & bounds[p]["none"]))
+        if known:
+            low, high, none = (F.lit(v) for v in row[p])
+        else:
+            low, high, none = bounds[p]["low"], bounds[p]["high"], bounds[p]["none"]
+        within = F.col(p).between(low, high)
+        stored = stored.where(F.coalesce(within, F.lit(False)) | (F.col(p).isNull() & none))
     return stored
 
 
@@ -64,14 +75,15 @@ def new_rows(
     keys: Sequence[str],
     partition_by: Sequence[str],
     span: DataFrame | None = None,
+    known: bool = False,
 ) -> DataFrame:
     """Source rows whose key is not stored, NULL equal to NULL; reads only partitions near the source's.
 
     ``span`` is a cheaper frame with the same partition columns, such as the source before
-    deduplication.
+    deduplication. With ``known`` its partitions are looked up by a job before the plan is made.
     """
-    known = _within_partitions(stored, source if span is None else span, partition_by).select(*keys)
-    renamed = known.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)])
+    near = _within_partitions(stored, source if span is None else span, partition_by, known).select(*keys)
+    renamed = near.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)])
     same = [source[k].eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
     return source.join(renamed, same, "left_anti")
 
@@ -90,19 +102,35 @@ def insert_only_upsert(
     Partition columns must follow from the key.
     """
     unique = latest_per_key(source, keys, newest_by)
-    fresh = new_rows(unique, spark.read.parquet(path), keys, partition_by, span=source)
+    fresh = new_rows(unique, spark.read.parquet(path), keys, partition_by, span=source, known=True)
     return _append_counted(fresh, path, partition_by)
 
 
 def _append_counted(df: DataFrame, path: str, partition_by: Sequence[str]) -> int:
-    """Append and count in one job.
+    return write_counted(df, path, partition_by, "append")
+
+
+def write_counted(df: DataFrame, path: str, partition_by: Sequence[str], mode: str, overwrite_mode: str = "dynamic") -> int:
+    """Write and count in one job.
 
     The count sits above the rebalance: below it, Spark may drop it with an empty stage.
     """
-    inserted = Observation()
-    counted = _balanced(df, partition_by).observe(inserted, F.count(F.lit(1)).alias("rows"))
-    _write(counted, path, partition_by, "append")
-    return inserted.get["rows"]
+    written = Observation()
+    counted = _balanced(df, partition_by).observe(written, F.count(F.lit(1)).alias("rows"))
+    _write(counted, path, partition_by, mode, overwrite_mode)
+    return written.get["rows"]
+
+
+def upsert_unique(
+    spark: SparkSession, source: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[str] = PARTITIONS
+) -> int:
+    """Insert-only upsert of a source that has one row per key; creates the table on first use.
+
+    The source is looked at twice (its partitions, its rows), so it should be a stored table.
+    """
+    if table_exists(spark, path):
+        source = new_rows(source, spark.read.parquet(path), keys, partition_by, known=True)
+    return _append_counted(source, path, partition_by)
 
 
 def create_or_upsert(
@@ -125,20 +153,20 @@ def append_deduped(
     path: str,
     keys: Sequence[str],
     partition_by: Sequence[str] = PARTITIONS,
-) -> None:
+) -> int:
     """Merge incoming rows into a table, incoming rows winning over stored ones.
 
     Only partitions touched by the incoming rows are read and replaced. Keys must be unique
-    inside ``incoming``.
+    inside ``incoming``. Returns the rows of the replaced partitions.
     """
     tagged = incoming.withColumn("_load", F.lit(1))
     if table_exists(spark, path):
         touched = incoming.select(*partition_by).distinct()
-        near = _within_partitions(spark.read.parquet(path), incoming, partition_by)
+        near = _within_partitions(spark.read.parquet(path), incoming, partition_by, known=True)
         stored = near.join(touched, list(partition_by), "left_semi")
         tagged = tagged.unionByName(stored.withColumn("_load", F.lit(0)))
     merged = latest_per_key(tagged, keys, ["_load"]).drop("_load")
-    overwrite_partitions(merged, path, partition_by)
+    return write_counted(merged, path, partition_by, "overwrite")
 
 
 def require_rows(df: DataFrame, what: str = "source") -> DataFrame:

@@ -6,12 +6,14 @@ for streams. Pages are read with a fixed schema, so integer JSON numbers arrive
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlens.functions.timeparts import parse_wall_clock, with_partition_parts
+from gridlens.operators.quality import latest_per_key
 
 INTERVAL = "struct<start string, end string, resolution string, value string>"
 
@@ -21,7 +23,12 @@ FUEL_COLUMNS = ("coal", "gas", "nuclear", "water", "wind", "solar", "other", "st
 
 @dataclass(frozen=True)
 class Feed:
-    """Shape of one feed: where the interval is, what is measured and how rows are tagged."""
+    """Shape of one feed: where the interval is, what is measured, how rows are tagged, checked and stored.
+
+    ``not_negative`` names the measure that a row must have and that may not be below zero; feeds without
+    one are prices, whose components are reconciled. An ``upsert`` feed keeps what is stored, an
+    ``overwrite`` feed replaces its table.
+    """
 
     tag_column: str
     tag: str
@@ -32,6 +39,12 @@ class Feed:
     attributes: tuple[tuple[str, str], ...] = ()
     nested: str | None = None
     nested_measures: tuple[str, ...] = ()
+    not_negative: str | None = None
+    sink: str = "upsert"
+
+    @property
+    def keys(self) -> list[str]:
+        return [self.entity, "start_time"]
 
     @property
     def record_schema(self) -> str:
@@ -57,7 +70,11 @@ def _price(tag: str) -> Feed:
 
 
 def _mix(tag: str) -> Feed:
-    return Feed("demand_type", tag, ("totalMw",), nested="fuelTypes", nested_measures=FUEL_COLUMNS)
+    return Feed("demand_type", tag, ("totalMw",), nested="fuelTypes", nested_measures=FUEL_COLUMNS, not_negative="totalMw")
+
+
+def _amount(tag: str, measures: tuple[str, ...], **shape) -> Feed:
+    return Feed("demand_type", tag, measures, not_negative=measures[0], sink="overwrite", **shape)
 
 
 # Tags, constants and field names of the feeds.
@@ -67,20 +84,40 @@ FEEDS = {
     "rt_expost": _price("rt_expost"),
     "da_fuel_mix": _mix("da_fuel_mix"),
     "rt_fuel_mix": _mix("rt_fuel_mix"),
-    "da_cleared_demand": Feed("demand_type", "da_cleared_demand", ("fixed", "priceSens", "virtual")),
-    "da_cleared_generation_phys": Feed("demand_type", "da_cleared_generation_phys", ("supply",)),
-    "da_cleared_generation_virtual": Feed(
-        "demand_type", "da_cleared_generation_virtual", ("supply",), entity_constant="NO_REGION"
-    ),
-    "rt_cleared_demand": Feed(
-        "demand_type", "rt_cleared_demand", ("demand",), entity_constant="MISO", interval="interval"
-    ),
+    "da_cleared_demand": _amount("da_cleared_demand", ("fixed", "priceSens", "virtual")),
+    "da_cleared_generation_phys": _amount("da_cleared_generation_phys", ("supply",)),
+    "da_cleared_generation_virtual": _amount("da_cleared_generation_virtual", ("supply",), entity_constant="NO_REGION"),
+    "rt_cleared_demand": _amount("rt_cleared_demand", ("demand",), entity_constant="MISO", interval="interval"),
 }
 
 
-def read_pages(spark: SparkSession, path, feed: Feed, multi_line: bool = False) -> DataFrame:
-    """Landed pages. One page per line splits across tasks; ``multi_line`` reads whole files."""
-    return spark.read.schema(feed.page_schema).option("multiLine", multi_line).json(path)
+# When and from which file a record was landed; the order of :func:`newest_load`.
+LOAD_COLUMNS = ("load_time", "load_file")
+
+
+def with_load(pages: DataFrame) -> DataFrame:
+    """Pages with the modification time and the path of their file, from the reader's hidden columns."""
+    return pages.select(
+        "*", F.col("_metadata.file_modification_time").alias("load_time"), F.col("_metadata.file_path").alias("load_file")
+    )
+
+
+def newest_load(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key: from the file landed last, of files of one instant the last by name.
+
+    Where one file repeats a key, the greatest values decide, so that repeated runs agree.
+    """
+    values = [c for c in rows.columns if c not in (*keys, *LOAD_COLUMNS)]
+    return latest_per_key(rows, keys, [*LOAD_COLUMNS, *values])
+
+
+def read_pages(spark: SparkSession, path, feed: Feed, multi_line: bool = False, load: bool = False) -> DataFrame:
+    """Landed pages. One page per line splits across tasks; ``multi_line`` reads whole files.
+
+    ``load`` adds :data:`LOAD_COLUMNS`. Folders of the form ``name=value`` add their columns.
+    """
+    pages = spark.read.schema(feed.page_schema).option("multiLine", multi_line).json(path)
+    return with_load(pages) if load else pages
 
 
 def stream_pages(spark: SparkSession, path: str, feed: Feed, **options) -> DataFrame:
@@ -88,8 +125,12 @@ def stream_pages(spark: SparkSession, path: str, feed: Feed, **options) -> DataF
 
 
 def flatten_pages(pages: DataFrame, feed: Feed) -> DataFrame:
-    """One typed row per record with its tag and the year, month and day of its start."""
-    records = pages.select(F.inline("data"))
+    """One typed row per record with its tag and the year, month and day of its start.
+
+    Columns of the pages beside ``data`` stay with their records.
+    """
+    carried = [c for c in pages.columns if c != "data"]
+    records = pages.select(F.inline("data"), *carried)
     entity = F.lit(feed.entity_constant) if feed.entity_constant else F.col(feed.entity)
     interval = F.col(feed.interval)
     flat = records.select(
@@ -102,13 +143,14 @@ def flatten_pages(pages: DataFrame, feed: Feed) -> DataFrame:
         *feed.measures,
         *[F.col(f"{feed.nested}.{m}").alias(m) for m in feed.nested_measures],
         F.lit(feed.tag).alias(feed.tag_column),
+        *carried,
     )
     return with_partition_parts(flat, "start_time")
 
 
-def read_feed(spark: SparkSession, path, name: str, multi_line: bool = False) -> DataFrame:
+def read_feed(spark: SparkSession, path, name: str, multi_line: bool = False, load: bool = False) -> DataFrame:
     feed = FEEDS[name]
-    return flatten_pages(read_pages(spark, path, feed, multi_line), feed)
+    return flatten_pages(read_pages(spark, path, feed, multi_line, load), feed)
 
 
 def read_nodes(spark: SparkSession, path: str, attributes: str) -> DataFrame:
