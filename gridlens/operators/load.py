@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlens.functions.labels import bucket_label, bucket_rank, direction_label
@@ -65,9 +65,30 @@ def unpivot_zones(wide: DataFrame, zones: Sequence[str], value: str) -> DataFram
 
 
 def join_load_weather(actual: DataFrame, forecast: DataFrame, weather: DataFrame) -> DataFrame:
-    """Actual and forecast by (Datetime, Zone), then weather by Datetime, all rows kept."""
-    loads = actual.join(forecast, ["Datetime", "Zone"], "full")
-    return loads.join(weather, "Datetime", "full")
+    """Actual and forecast by (Datetime, Zone), then weather by Datetime, all rows kept.
+
+    The three sides are stacked and put together by one exchange on Datetime: an aggregate per zone of
+    an hour, then the hour's weather beside each of its zones. Keys are unique on each side or equal; of
+    different rows of a key the greatest values stay. NULL keys match NULL keys.
+    """
+    own = [c for c in weather.columns if c != "Datetime"]
+    sides = [
+        df.select(
+            "Datetime", F.col("Zone") if "Zone" in df.columns else F.lit(None).cast("string").alias("Zone"),
+            *[F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double").alias(c) for c in ("LoadActual", "LoadForecast")],
+            F.struct(*own).alias("_weather") if df is weather else F.lit(None).cast(weather.select(F.struct(*own)).schema[0].dataType).alias("_weather"),
+            F.lit(df is weather).alias("_sky"),
+        )
+        for df in (actual, forecast, weather)
+    ]
+    rows = sides[0].unionByName(sides[1]).unionByName(sides[2]).repartition("Datetime").groupBy("Datetime", "Zone", "_sky").agg(
+        *[F.max(c).alias(c) for c in ("LoadActual", "LoadForecast", "_weather")]
+    )
+    hour = Window.partitionBy("Datetime")
+    placed = rows.withColumns({"_weather": F.max("_weather").over(hour), "_zones": F.count_if(~F.col("_sky")).over(hour)})
+    return placed.where(~F.col("_sky") | (F.col("_zones") == 0)).select(
+        "Datetime", "Zone", "LoadActual", "LoadForecast", *[F.col("_weather")[c].alias(c) for c in own]
+    )
 
 
 def forecast_errors(df: DataFrame) -> DataFrame:

@@ -5,17 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlens.functions.numbers import correlation, ratio, sample_kurtosis, sample_skewness
-from gridlens.functions.timeparts import in_window, is_winter, market_class, winter_season
+from gridlens.functions.timeparts import in_window, is_winter, market_class, prune_to_window, winter_season
 from gridlens.operators.series import DEFAULT_CHUNK, running_sum, spells
 from gridlens.session import stage
 
 POSITION_KEYS = ["Source", "Sink", "StartDate", "EndDate", "Type", "Class"]
 PATH = ["Source", "Sink", "Class", "WinterYear"]
 DATE_FORMAT = "M/d/yyyy"
+PATH_SEASON = ["Source", "Sink", "WinterYear"]
+# Positions of one source, class and season that one task joins with their hours.
+POSITIONS_AT_ONCE = 5_000
 
 
 def class_hours(calendar: DataFrame, ts: str = "start_time", iso_weekday_compat: bool = False) -> DataFrame:
@@ -84,12 +87,29 @@ def path_spreads(prices: DataFrame, paths: DataFrame) -> DataFrame:
     )
 
 
-def hourly_pnl(positions: DataFrame, prices: DataFrame, hours: DataFrame) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], limit: int) -> DataFrame:
+    """Inner join of a stored ``left`` whose keys may have very many rows each.
+
+    The rows of each key are counted; those of a key with more than ``limit`` are dealt to as many
+    parts as that takes, and its ``right`` rows are copied to each part. So no task gets more than about
+    ``limit`` left rows of a key, however few keys there are. Left rows differ in some column.
+    """
+    parts = F.ceil(F.count(F.lit(1)) / F.lit(limit)).cast("int")
+    split = stage(left.groupBy(*on).agg(parts.alias("_parts")).where("_parts > 1"), "split-keys")
+    place = F.pmod(F.xxhash64(*left.columns), F.col("_parts")).cast("int")
+    dealt = left.join(split, list(on), "left").withColumn("_part", F.coalesce(place, F.lit(0))).drop("_parts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    copied = right.join(split, list(on), "left").withColumn("_part", copies).drop("_parts")
+    return dealt.join(copied, [*on, "_part"]).drop("_part")
+
+
+def hourly_pnl(positions: DataFrame, prices: DataFrame, hours: DataFrame, limit: int = POSITIONS_AT_ONCE) -> DataFrame:
     """One row per position and winter hour of its class and season.
 
     ``prices`` holds ``node, start_time, lmp`` and any feature columns, which come from the
     source node. Positions and class hours are small aggregates: they are stored, so that Spark
-    joins them by their real size and does not shuffle prices by (node, class, season).
+    joins them by their real size and does not shuffle prices by (node, class, season). Beyond ``limit``
+    positions a key may have many of them: its positions are then dealt out over parts (:func:`spread_join`).
     """
     positions, hours = stage(positions, "positions"), stage(hours, "class-hours")
     winter = prices.where(is_winter(F.col("start_time")))
@@ -100,7 +120,9 @@ def hourly_pnl(positions: DataFrame, prices: DataFrame, hours: DataFrame) -> Dat
         .join(hours, ["WinterYear", "Class"], "left")
     )
     sink = winter.select(F.col("node").alias("Sink"), "start_time", F.col("lmp").alias("lmp_sink"))
-    held = positions.join(source, ["Source", "Class", "WinterYear"]).join(sink, ["Sink", "start_time"])
+    by = ["Source", "Class", "WinterYear"]
+    many = positions.limit(limit + 1).count() > limit
+    held = (spread_join(positions, source, by, limit) if many else positions.join(source, by)).join(sink, ["Sink", "start_time"])
     total = F.col("ClearingPrice") * F.col("MW")
     return held.withColumns(
         {
@@ -171,6 +193,56 @@ def event_pnl(pnl: DataFrame, start: date, end: date, top: int | None = None) ->
     return ranked if top is None else ranked.limit(top)
 
 
+def event_profit(
+    positions: DataFrame, prices: DataFrame, hours: DataFrame, start: date, end: date, top: int | None = None
+) -> DataFrame:
+    """:func:`event_pnl` from stored prices of which only the event's are read.
+
+    Where ``prices`` is partitioned by year and month, the window selects partitions before anything else
+    happens to them.
+    """
+    window = prices.where(in_window(F.col("start_time"), start, end))
+    if {"year", "month"} <= set(prices.columns):
+        window = prune_to_window(prices, "start_time", start, end).drop("year", "month")
+    return event_pnl(hourly_pnl(positions, window, hours), start, end, top)
+
+
+def path_series(pnl: DataFrame, temperature: str = "Temperature", wind: str = "Wind", limit: float = -5) -> DataFrame:
+    """Every hour of a path and season: profit, running profit, drivers, and the number of its cold spell.
+
+    Hours are unique on a path, so a path's season is at most some two thousand rows, which one sort
+    serves; positions are added up by hour before that. ``Spell`` is NULL in hours that are not colder than
+    ``limit``.
+    """
+    hours = pnl.groupBy(*PATH_SEASON, "start_time").agg(
+        F.sum("HourlyProfitLoss").alias("HourlyProfitLoss"), F.max(temperature).alias("Temperature"), F.max(wind).alias("Wind")
+    )
+    order = Window.partitionBy(*PATH_SEASON).orderBy("start_time")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    cold = F.coalesce(F.col("Temperature") < limit, F.lit(False))
+    marked = hours.withColumns({
+        "CumulativeProfitLoss": F.sum("HourlyProfitLoss").over(so_far),
+        "_cold": cold, "_begins": cold & ~F.coalesce(F.lag(cold).over(order), F.lit(False)),
+    })
+    spell = F.when(F.col("_cold"), F.count_if("_begins").over(so_far))
+    return marked.withColumn("Spell", spell.cast("int")).drop("_cold", "_begins")
+
+
+def path_report(series: DataFrame) -> DataFrame:
+    """Statistics of :func:`path_series` per path and season; the rows are already together, nothing is exchanged."""
+    profit = F.col("HourlyProfitLoss")
+    return series.groupBy(*PATH_SEASON).agg(
+        F.count(F.lit(1)).alias("Hours"), F.count_if(profit > 0).alias("ProfitableHours"),
+        F.sum(profit).alias("TotalProfitLoss"), F.avg(profit).alias("AvgHourlyProfitLoss"),
+        F.max(profit).alias("MaxHourlyProfitLoss"), F.min(profit).alias("MinHourlyProfitLoss"),
+        F.min("CumulativeProfitLoss").alias("LowestCumulative"), F.max("CumulativeProfitLoss").alias("HighestCumulative"),
+        F.coalesce(F.max("Spell"), F.lit(0)).alias("ColdSpells"), F.count("Spell").alias("ColdHours"),
+        F.sum(F.when(F.col("Spell").isNotNull(), profit)).alias("ColdProfitLoss"),
+        correlation(F.col("Temperature"), profit).alias("corr_Temperature"), correlation(F.col("Wind"), profit).alias("corr_Wind"),
+        F.avg("Wind").alias("avg_Wind"), F.min("Wind").alias("min_Wind"), F.max("Wind").alias("max_Wind"),
+    )
+
+
 def path_hours(pnl: DataFrame, value: str = "HourlyProfitLoss") -> DataFrame:
     """Profit of all positions on a path per hour, so that hours are unique on a path."""
     return pnl.groupBy("Source", "Sink", "WinterYear", "start_time").agg(F.sum(value).alias(value))

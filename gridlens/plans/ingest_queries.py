@@ -35,7 +35,8 @@ from gridlens.plans.registry import query, r, rounded
 from gridlens.session import scratch_dir
 from gridlens.sinks import tables as sink
 from gridlens.sources.feeds import FEEDS, FUEL_COLUMNS, read_feed, read_nodes
-from gridlens.sources.tables import after_high_water_mark, auction_paths, read_auctions
+from gridlens.sinks.ingest import ingest_feed, ingest_window, report_table
+from gridlens.sources.tables import after_stored_mark, read_rounds
 from gridlens.sources.weather import read_weather
 from gridlens.streaming.prices import BATCH, PRICE_KEYS, dedupe_stream, ingest_available, upsert_stream
 
@@ -185,14 +186,14 @@ def _deliveries(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     ]
 
 
-def _uneven_fields() -> list:
+def _uneven_fields(price: str = "lmp") -> list:
     """Price record of which some hours do not reconcile and others miss a component."""
-    ts = F.col("start_time")
+    ts, lmp = F.col("start_time"), F.col(price)
     extra = F.when(F.hour(ts) % 6 == 5, 1).otherwise(0)
     missing = (F.hour(ts) == 3) & (F.dayofmonth(ts) % 5 == 0)
     return [
-        F.lit("F").alias("preliminaryFinal"), "lmp", F.when(~missing, F.col("lmp") * 0.25).alias("mcc"),
-        (F.col("lmp") * 0.5 + extra).alias("mec"), (F.col("lmp") * 0.25).alias("mlc"),
+        F.lit("F").alias("preliminaryFinal"), lmp.alias("lmp"), F.when(~missing, lmp * 0.25).alias("mcc"),
+        (lmp * 0.5 + extra).alias("mec"), (lmp * 0.25).alias("mlc"),
     ]
 
 
@@ -261,6 +262,133 @@ def fuel_scan(spark, sf_dir):
     return frames[0].unionByName(frames[1])
 
 
+_MID, _OVERLAP = date(2024, 1, 16), date(2024, 1, 11)
+
+# Two landings of a feed: the first half of the month, then all from some days before it on, each value raised by one.
+_LANDINGS = f"""landed AS (SELECT *, 1 AS run FROM base WHERE start_time < '{_MID}'
+ UNION ALL SELECT * REPLACE (value + 1 AS value), 2 FROM base WHERE start_time >= '{_OVERLAP}')"""
+_PRICE_BASE = """base AS (SELECT node AS entity, start_time, lmp AS value, NOT (hour(start_time) = 3 AND day(start_time) % 5 = 0) AS keep,
+ hour(start_time) % 6 = 5 AS bad FROM da)"""
+
+
+def _amount_base(view: str, entity: str, column: str) -> str:
+    """SQL of an amount feed: present, negative in some hours and missing in others."""
+    return f"""base AS (SELECT '{entity}' AS entity, start_time, {column} AS value,
+ coalesce({column} >= 0, FALSE) AND hour(start_time) % 8 NOT IN (1, 2) AS keep, FALSE AS bad FROM {view})"""
+
+
+def _ingest_sql(view: str, base: str, feed: str, sink_kind: str) -> str:
+    """SQL of two runs' reports and of the table after each."""
+    held = {
+        "upsert": "(run = 1 OR (n = 2 AND start_time >= '{mid}'))", "overwrite": "run = n", "append": "(run = n OR start_time < '{over}')",
+        "overwrite_partitions": "(run = n OR start_time < '{over}')",
+    }[sink_kind].format(mid=_MID, over=_OVERLAP)
+    fresh = "(run = n AND (n = 1 OR start_time >= '{mid}'))".format(mid=_MID) if sink_kind == "upsert" else "run = n"
+    return sql(view, f"""SELECT * FROM {view}""").replace(f"\nSELECT * FROM {view}", f""",
+ {base}, {_LANDINGS}
+ SELECT n AS run, '{feed}' AS feed, '{sink_kind}' AS sink, count(*) FILTER (WHERE run = n) AS rows_read,
+ count(*) FILTER (WHERE run = n AND keep) AS rows_kept, count(*) FILTER (WHERE run = n AND NOT keep) AS rows_removed,
+ count(*) FILTER (WHERE run = n AND keep AND bad) AS rows_mismatched, count(*) FILTER (WHERE keep AND {fresh}) AS rows_written,
+ count(*) FILTER (WHERE keep AND run <= n AND {held}) AS stored_rows,
+ {r(f'sum(value) FILTER (WHERE keep AND run <= n AND {held})', 2)} AS stored_sum
+ FROM landed, (VALUES (1), (2)) t(n) GROUP BY n""")
+
+
+def _ingest_runs(spark, rows: DataFrame, feed: str, entity, fields: list, value: str, sink_kind: str | None = None) -> DataFrame:
+    """Land rows twice, each landing in a folder of its own, run the job after each; the reports and the table's state."""
+    path = scratch_dir(spark, feed)
+    ts, out = F.col("start_time"), []
+    later = rows.where(ts >= F.lit(_OVERLAP)).withColumn("_value", F.col("_value") + 1)
+    for run, landed in enumerate((rows.where(ts < F.lit(_MID)), later), 1):
+        landing = _land_days(spark, landed, feed, entity, fields, f"{feed}-{run}")
+        report = ingest_feed(spark, landing, path, feed, sink_kind)
+        state = spark.read.parquet(path).agg(F.count(F.lit(1)), F.round(F.sum(value), 2)).first()
+        out.append(report_table(spark, [report]).drop("days").select(
+            F.lit(run).alias("run"), "*", F.lit(state[0]).cast("long").alias("stored_rows"), (F.lit(state[1]) + F.lit(0.0)).alias("stored_sum")
+        ))
+    return out[0].unionByName(out[1])
+
+
+def _amount(column: str = "_value"):
+    """A measure that is negative in some hours and missing in others."""
+    hour = F.hour("start_time") % 8
+    return F.when(hour == 1, -F.col(column)).when(hour != 2, F.col(column))
+
+
+@query("ingest_upsert", _ingest_sql("da", _PRICE_BASE, "da_exante", "upsert"))
+def ingest_upsert(spark, sf_dir):
+    """Prices: rule with component check, stored rows stay, unknown hours are added; counters of the same pass."""
+    rows = event_prices(spark, sf_dir, DA).withColumnRenamed("lmp", "_value")
+    return _ingest_runs(spark, rows, "da_exante", "node", _uneven_fields("_value"), "lmp")
+
+
+@query("ingest_overwrite", _ingest_sql("fuel_da", _amount_base("fuel_da", "NORTH", "coal"), "da_cleared_demand", "overwrite"))
+def ingest_overwrite(spark, sf_dir):
+    """Day-ahead demand: missing and negative amounts removed, the table replaced."""
+    rows = event_fuel(spark, sf_dir, DA).withColumnRenamed("coal", "_value")
+    fields = [_amount().alias("fixed"), F.col("gas").alias("priceSens"), F.col("wind").alias("virtual")]
+    return _ingest_runs(spark, rows, "da_cleared_demand", "region", fields, "fixed")
+
+
+@query(
+    "ingest_partitions",
+    _ingest_sql("fuel_rt", _amount_base("fuel_rt", "MISO", "totalMw"), "rt_cleared_demand", "overwrite_partitions"),
+)
+def ingest_partitions(spark, sf_dir):
+    """Real-time demand: only the days that were landed are replaced."""
+    rows = event_fuel(spark, sf_dir, RT).withColumnRenamed("totalMw", "_value")
+    return _ingest_runs(spark, rows, "rt_cleared_demand", "region", [_amount().alias("demand")], "demand", "overwrite_partitions")
+
+
+@query("ingest_append", _ingest_sql("fuel_rt", _amount_base("fuel_rt", "NORTH", "totalMw"), "rt_fuel_mix", "append"))
+def ingest_append(spark, sf_dir):
+    """Fuel mix with landed rows winning over stored ones."""
+    rows = event_fuel(spark, sf_dir, RT).withColumnRenamed("totalMw", "_value")
+    known = [F.col(c) if c in rows.columns else F.lit(None).cast("double").alias(c) for c in FUEL_COLUMNS]
+    fields = [_amount().alias("totalMw"), F.struct(*known).alias("fuelTypes")]
+    return _ingest_runs(spark, rows, "rt_fuel_mix", "region", fields, "totalMw", "append")
+
+
+@query(
+    "newest_load",
+    sql("da", """SELECT node, start_time, lmp + CASE WHEN day(start_time) % 2 = 0 THEN 0 ELSE 100 END AS lmp, 0 AS lmp_check_flag FROM da"""),
+)
+def newest_load(spark, sf_dir):
+    """Two landings of the same hours in one folder: the later one's lower price stays."""
+    rows = event_prices(spark, sf_dir, DA)
+    landing, path = scratch_dir(spark, "landing"), scratch_dir(spark, "prices")
+    _land_into(rows.withColumn("lmp", F.col("lmp") + 100), "da_exante", "node", _price_fields(), landing)
+    _land_into(rows.where(F.dayofmonth("start_time") % 2 == 0), "da_exante", "node", _price_fields(), landing)
+    ingest_feed(spark, landing, path, "da_exante")
+    return spark.read.parquet(path).select("node", "start_time", "lmp", "lmp_check_flag")
+
+
+_TODAY = (date(2024, 1, 8), date(2024, 1, 12), date(2024, 1, 12))
+_LOOKBACK = (5, 7, 7)
+
+
+@query(
+    "ingest_window",
+    sql("da", "SELECT * FROM da").replace("\nSELECT * FROM da", f""",
+ {_PRICE_BASE}, taken AS (SELECT *, CASE WHEN day(start_time) BETWEEN 3 AND 7 THEN 1 WHEN day(start_time) BETWEEN 8 AND 11 THEN 2 END AS run FROM base)
+ SELECT n AS run, 'da_exante' AS feed, 'window' AS sink, count(*) FILTER (WHERE run = n) AS rows_read,
+ count(*) FILTER (WHERE run = n AND keep) AS rows_kept, count(*) FILTER (WHERE run = n AND NOT keep) AS rows_removed,
+ count(*) FILTER (WHERE run = n AND keep AND bad) AS rows_mismatched, count(*) FILTER (WHERE run = n AND keep) AS rows_written,
+ [5, 4, 0][n] AS days, count(*) FILTER (WHERE run <= n AND keep) AS stored_rows
+ FROM taken, (VALUES (1), (2), (3)) t(n) GROUP BY n"""),
+)
+def ingest_window_query(spark, sf_dir):
+    """Lookback windows on three days: each run fetches only days that are not stored; the last finds none."""
+    landing, path = scratch_dir(spark, "landing"), scratch_dir(spark, "prices")
+    _land_into(event_prices(spark, sf_dir, DA), "da_exante", "node", _uneven_fields(), landing, by_day=True)
+    out = []
+    for run, (today, days) in enumerate(zip(_TODAY, _LOOKBACK), 1):
+        report = ingest_window(spark, landing, path, "da_exante", *lookback_window(days, today))
+        stored = spark.read.parquet(path).count()
+        out.append(report_table(spark, [report]).select(F.lit(run).alias("run"), "*", F.lit(stored).cast("long").alias("stored_rows")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query(
     "demand_scan",
     sql("fuel_da fuel_rt", f"""SELECT 'NORTH' AS region, {_TIMES}, coal AS fixed, gas AS priceSens, wind AS virtual,
@@ -431,8 +559,10 @@ def partition_overwrite(spark, sf_dir):
  (SELECT max(o_orderdate) FROM orders WHERE o_orderdate < '1999-01-01')""",
 )
 def high_water_mark(spark, sf_dir):
-    """Incoming rows later than the newest stored one."""
-    rows = after_high_water_mark(_incoming(spark, sf_dir), _stored(spark, sf_dir), "o_orderdate")
+    """Incoming rows later than the newest stored one, found in the newest stored partition."""
+    path = scratch_dir(spark, "orders")
+    sink.overwrite_table(_stored(spark, sf_dir), path)
+    rows = after_stored_mark(spark, _incoming(spark, sf_dir), path, "o_orderdate")
     return rows.select("o_orderkey", "o_orderdate")
 
 
@@ -555,21 +685,17 @@ def parquet_scan(spark, sf_dir):
 
 @query(
     "csv_rounds",
-    sql("auction", f"""SELECT Source, Sink, Class, StartDate, count(*) AS awards, sum(MW) AS mw,
- {r('sum(ClearingPrice)', 4)} AS price_sum FROM auction GROUP BY ALL"""),
+    sql("auction", f"""SELECT season AS year, (MW::INTEGER // 3 % 3 + 1)::INTEGER AS round, Source, Sink, Class, StartDate,
+ count(*) AS awards, sum(MW) AS mw, {r('sum(ClearingPrice)', 4)} AS price_sum FROM auction GROUP BY ALL"""),
 )
 def csv_rounds(spark, sf_dir):
-    """Auction rounds written as CSV, read back in one scan and aggregated."""
-    folder, template = scratch_dir(spark, "auction"), "auction_{year}_round_{round}"
-    awards = part_auction(spark, sf_dir).withColumn("_year", F.substring("StartDate", -4, 4))
-    years, rounds = ("1997", "1998", "1999"), (1,)
-    for year in years:
-        sink.write_csv(
-            awards.where(F.col("_year") == year).drop("_year"),
-            auction_paths(folder, template, [year], rounds)[0],
-        )
-    rows = read_auctions(spark, auction_paths(folder, template, years, rounds))
-    grouped = rows.groupBy("Source", "Sink", "Class", "StartDate").agg(
+    """Three rounds of three years written as CSV from one scan, read back in one scan that tells them apart by path."""
+    folder = scratch_dir(spark, "auction")
+    awards = part_auction(spark, sf_dir)
+    number = (F.floor(F.col("MW") / 3) % 3 + 1).cast("string")
+    named = awards.withColumn("file", F.concat(F.lit("auction_"), F.substring("StartDate", -4, 4), F.lit("_round_"), number))
+    named.hint("rebalance", "file").write.partitionBy("file").option("header", True).csv(folder)
+    grouped = read_rounds(spark, f"{folder}/*").groupBy("year", "round", "Source", "Sink", "Class", "StartDate").agg(
         F.count(F.lit(1)).alias("awards"), F.sum("MW").alias("mw"),
         F.sum("ClearingPrice").alias("price_sum"),
     )

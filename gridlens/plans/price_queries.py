@@ -298,3 +298,17 @@ def event_window(spark, sf_dir):
     return prices.event_window(rows, EVENT_START, EVENT_END).select(
         "node", "start_time", "lmp_da_exante", "lmp_rt_expost", "regime", "scarcity"
     )
+
+
+_NODES = ("click", "signup")
+
+
+@query(
+    "event_window_nodes",
+    sql("regimes", f"""SELECT node, start_time, lmp_da_exante, lmp_rt_expost, coalesce(lmp_rt_expost > 180, FALSE) AS scarcity
+ FROM regimes WHERE start_time >= '2024-01-13' AND start_time < '2024-01-19' AND node IN {_NODES}"""),
+)
+def event_window_nodes(spark, sf_dir):
+    """Hours of an event at some nodes."""
+    rows = prices.event_window(dart(spark, sf_dir), EVENT_START, EVENT_END, _NODES)
+    return rows.select("node", "start_time", "lmp_da_exante", "lmp_rt_expost", "scarcity")

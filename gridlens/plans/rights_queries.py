@@ -7,7 +7,8 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.functions.timeparts import hourly_calendar, market_class, winter_season, is_winter
+from gridlens.functions.numbers import ratio
+from gridlens.functions.timeparts import hourly_calendar, is_winter, market_class, winter_season, with_partition_parts
 from gridlens.operators import rights, risk
 from gridlens.operators.distribution import empirical_cdf, equal_width_histogram
 from gridlens.plans.bindings import (
@@ -22,7 +23,8 @@ from gridlens.plans.bindings import (
     table,
 )
 from gridlens.plans.registry import bin_sql, query, r, rounded
-from gridlens.session import stage
+from gridlens.session import scratch_dir, stage
+from gridlens.sinks.tables import overwrite_table
 
 EVENT_START, EVENT_END = date(1999, 1, 10), date(1999, 1, 25)
 GROUP = ["Source", "Sink", "Class"]
@@ -177,8 +179,78 @@ def ftr_summary_by_season(spark, sf_dir):
  WHERE start_time >= '1999-01-10' AND start_time < '1999-01-25' GROUP BY ALL"""),
 )
 def ftr_event_pnl(spark, sf_dir):
-    """Profit per path inside an event, best first."""
-    return rounded(rights.event_pnl(pnl(spark, sf_dir), EVENT_START, EVENT_END), 4)
+    """Profit per path inside an event, best first; of the stored prices only the event's partitions are read."""
+    path = scratch_dir(spark, "season-prices")
+    overwrite_table(with_partition_parts(season_prices(spark, sf_dir), "start_time").drop("day"), path)
+    hours = rights.class_hours(calendar(spark, sf_dir))
+    return rounded(rights.event_profit(held(spark, sf_dir), spark.read.parquet(path), hours, EVENT_START, EVENT_END), 4)
+
+
+_SERIES_SQL = """wind AS (SELECT start_time, WinterYear, 100 * WindSpeed / avg(WindSpeed) OVER (PARTITION BY WinterYear) AS Wind
+ FROM (SELECT *, (year(start_time) - CASE WHEN month(start_time) IN (1, 2) THEN 1 ELSE 0 END)::INTEGER AS WinterYear
+ FROM season_weather WHERE month(start_time) IN (12, 1, 2))),
+ hours AS (SELECT Source, Sink, p.WinterYear, start_time, sum(HourlyProfitLoss) AS p, max(Temperature) AS t, max(Wind) AS w
+ FROM pnl p LEFT JOIN wind USING (start_time) GROUP BY ALL),
+ flagged AS (SELECT *, sum(p) OVER (PARTITION BY Source, Sink, WinterYear ORDER BY start_time ROWS UNBOUNDED PRECEDING) AS c,
+ coalesce(t < -5, FALSE) AS cold, coalesce(lag(t < -5) OVER (PARTITION BY Source, Sink, WinterYear ORDER BY start_time), FALSE) AS was FROM hours),
+ series AS (SELECT *, CASE WHEN cold THEN sum((cold AND NOT was)::INTEGER) OVER (PARTITION BY Source, Sink, WinterYear
+ ORDER BY start_time ROWS UNBOUNDED PRECEDING) END::INTEGER AS Spell FROM flagged)"""
+
+
+def _with_series(body: str) -> str:
+    return sql("pnl", "SELECT 1").replace("\nSELECT 1", f",\n{_SERIES_SQL}\n{body}")
+
+
+def path_series(spark, sf_dir) -> DataFrame:
+    """Hours of every path and season; wind in percent of the season's mean."""
+    weather = season_weather(spark, sf_dir).where(is_winter(F.col("start_time")))
+    weather = stage(weather.withColumn("_season", winter_season(F.col("start_time"))), "season-weather")
+    means = weather.groupBy("_season").agg(F.avg("WindSpeed").alias("_mean"))
+    wind = weather.join(means, "_season").select("start_time", "Temperature", (ratio(F.col("WindSpeed"), F.col("_mean")) * 100).alias("Wind"))
+    return rights.path_series(pnl(spark, sf_dir).join(wind, "start_time", "left"))
+
+
+@query(
+    "ftr_path_series",
+    _with_series(f"""SELECT Source, Sink, WinterYear, start_time, {r('p', 4)} AS HourlyProfitLoss, {r('t', 4)} AS Temperature,
+ {r('w', 4)} AS Wind, {r('c', 4)} AS CumulativeProfitLoss, Spell FROM series"""),
+)
+def ftr_path_series(spark, sf_dir):
+    """Hourly profit, running profit, drivers and cold spells of every path and season."""
+    return rounded(path_series(spark, sf_dir), 4)
+
+
+def _driver_sql(driver: str) -> str:
+    return r(f"CASE WHEN stddev_pop({driver}) > 0 AND stddev_pop(p) > 0 THEN corr({driver}, p) END", 4)
+
+
+@query(
+    "ftr_path_report",
+    _with_series(f"""SELECT Source, Sink, WinterYear, count(*) AS Hours, count(*) FILTER (WHERE p > 0) AS ProfitableHours,
+ {r('sum(p)', 3)} AS TotalProfitLoss, {r('avg(p)', 3)} AS AvgHourlyProfitLoss, {r('max(p)', 3)} AS MaxHourlyProfitLoss,
+ {r('min(p)', 3)} AS MinHourlyProfitLoss, {r('min(c)', 3)} AS LowestCumulative, {r('max(c)', 3)} AS HighestCumulative,
+ coalesce(max(Spell), 0) AS ColdSpells, count(Spell) AS ColdHours, {r('sum(p) FILTER (WHERE cold)', 3)} AS ColdProfitLoss,
+ {_driver_sql('t')} AS corr_Temperature, {_driver_sql('w')} AS corr_Wind, {r('avg(w)', 3)} AS avg_Wind, {r('min(w)', 3)} AS min_Wind,
+ {r('max(w)', 3)} AS max_Wind FROM series GROUP BY Source, Sink, WinterYear"""),
+)
+def ftr_path_report(spark, sf_dir):
+    """Profit, cold spells and drivers of every path and season, from the series in one pass."""
+    report = rights.path_report(path_series(spark, sf_dir))
+    correlations = ("corr_Temperature", "corr_Wind")
+    return rounded(rounded(report, 3, keep=correlations), 4)
+
+
+_PARTICIPANTS = ("Brand#2", "Brand#11", "Brand#23")
+
+
+@query(
+    "participant_positions",
+    sql("auction", f"""SELECT {_POSITION.replace('MW', 'sum(MW) AS MW')}, {r('sum(ClearingPrice * MW) / nullif(sum(MW), 0)')} AS ClearingPrice,
+ season AS WinterYear FROM auction WHERE MarketParticipant IN {_PARTICIPANTS} GROUP BY ALL"""),
+)
+def participant_positions(spark, sf_dir):
+    """Positions of some market participants only."""
+    return rounded(rights.weighted_positions(part_auction(spark, sf_dir), _PARTICIPANTS))
 
 
 @query(

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from datetime import date
+import re
+from collections.abc import Iterator, Sequence
+from datetime import date, datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +67,22 @@ def read_auctions(spark: SparkSession, paths) -> DataFrame:
     return spark.read.schema(AUCTION_SCHEMA).option("header", True).csv(paths)
 
 
+# Year and round in the name of an auction file or of its folder.
+AUCTION_NAME = r"(\d{2,4})_round_(\d+)"
+
+
+def read_rounds(spark: SparkSession, paths, name: str = AUCTION_NAME) -> DataFrame:
+    """Awards of any number of auction files in one scan, with the ``year`` and ``round`` that a file's path names.
+
+    ``paths`` may hold glob patterns. Files whose path does not fit ``name`` keep their awards, with NULL in both.
+    """
+    rows = read_auctions(spark, paths)
+    found = [F.regexp_extract(F.col("_metadata.file_path"), name, k) for k in (1, 2)]
+    return rows.select(
+        "*", *[F.when(text != "", text.cast("int")).alias(column) for text, column in zip(found, ("year", "round"))]
+    )
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether something is stored under ``path``; an unreadable table raises when it is read."""
     try:
@@ -82,6 +99,45 @@ def read_window(spark: SparkSession, path: str, ts: str, start: date, end: date)
     return prune_to_window(spark.read.parquet(path), ts, start, end)
 
 
+def _newest_folders(spark: SparkSession, path: str, partition_by: Sequence[str]) -> Iterator[str]:
+    """Folders of a table's partitions, the newest first, found by listing one branch after the other."""
+    if not partition_by:
+        yield path
+        return
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [entry.getPath().getName() for entry in files.listStatus(folder)] if files.exists(folder) else []
+    values = [int(n.partition("=")[2]) for n in names if re.fullmatch(rf"{re.escape(partition_by[0])}=\d+", n)]
+    for value in sorted(values, reverse=True):
+        yield from _newest_folders(spark, f"{path}/{partition_by[0]}={value}", partition_by[1:])
+
+
+def stored_mark(spark: SparkSession, path: str, ts: str, partition_by: Sequence[str] = ("year", "month")) -> datetime | None:
+    """The greatest stored time of a table that is partitioned by calendar parts of it; None if there is none.
+
+    Partition values alone say where it is, so one partition is listed and read, however long the history;
+    an older one only where the newest holds no time.
+    """
+    for folder in _newest_folders(spark, path.rstrip("/"), partition_by):
+        newest = newest_in(spark, folder, ts).first()[0]
+        if newest is not None:
+            return newest
+    return None
+
+
+def newest_in(spark: SparkSession, folder: str, ts: str) -> DataFrame:
+    """The greatest time in one folder, as a row."""
+    return spark.read.schema(f"`{ts}` timestamp_ntz").parquet(folder).agg(F.max(ts).alias(ts))
+
+
+def after_stored_mark(
+    spark: SparkSession, incoming: DataFrame, path: str, ts: str, partition_by: Sequence[str] = ("year", "month")
+) -> DataFrame:
+    """Rows later than the newest of a stored table. The mark is a constant, so it reaches the scan of ``incoming``."""
+    mark = stored_mark(spark, path, ts, partition_by)
+    return incoming if mark is None else incoming.where(F.col(ts) > F.lit(mark.isoformat(sep=" ")).cast("timestamp_ntz"))
+
+
 def after_high_water_mark(incoming: DataFrame, stored: DataFrame, ts: str) -> DataFrame:
     """Rows later than the newest stored one; all rows when nothing is stored."""
     newest = stored.agg(F.max(ts)).scalar()
