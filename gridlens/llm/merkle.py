@@ -21,18 +21,16 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlens.llm.ranks import numbered
 from gridlens.llm.registry import query, table
 from gridlens.session import scratch, ship_package, stage
 
 FANOUT = 2
 # Children of a block's lowest level.
 BLOCK = 4096
-# Rows of a range partition, about.
-PART_ROWS = 200_000
-
 PATH = "array<struct<left:string,right:string>>"
 NODE = "g string, pos long, hash string"
 
@@ -101,21 +99,6 @@ class Above:
         return replacement
 
 
-def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` with ``pos``, their place in the group ``g`` from 0, and the group's ``size``."""
-    parts = max(1, -(-rows.count() // PART_ROWS))
-    ranged = rows.repartitionByRange(parts, "g", *order).sortWithinPartitions("g", *order)
-    placed = stage(ranged.withColumn("_part", F.spark_partition_id()), "merkle-order")
-    counts = stage(placed.groupBy("g", "_part").agg(F.count("*").alias("_n")), "merkle-counts")
-    group = Window.partitionBy("g")
-    offsets = counts.select(
-        "g", "_part", F.sum("_n").over(group).alias("size"),
-        (F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"),
-    )
-    inside = Window.partitionBy("g", "_part").orderBy(*order)
-    return placed.join(offsets, ["g", "_part"]).withColumn("pos", F.col("_before") + F.row_number().over(inside) - 1).drop("_part", "_before")
-
-
 def _height(fanout: int) -> int:
     height = 1
     while fanout ** (height + 1) <= BLOCK:
@@ -203,10 +186,10 @@ def manifest(
             F.coalesce(F.concat(F.lit("="), F.col(f"`{group}`").cast("string")), F.lit("")).alias("g"), F.col(f"`{key}`").alias("key"),
             leaf.alias("hash"), F.when(other != leaf, other).alias("other") if changed else F.lit(None).cast("string").alias("other"),
         ).withColumn("_row", F.monotonically_increasing_id())
-        leaves = stage(_numbered(stage(rows, "merkle-leaves"), ["key", "hash", "_row"]).drop("_row"), "merkle-numbered")
+        leaves = stage(numbered(stage(rows, "merkle-leaves"), "g", ["key", "hash", "_row"], "merkle").drop("_row"), "merkle-numbered")
         levels, subroots = _levels(leaves, fanout)
         ordered = subroots.select(F.lit("").alias("g"), F.col("g").alias("name"), F.col("root").alias("hash"))
-        tops = stage(_numbered(ordered, ["name"]), "merkle-groups")
+        tops = stage(numbered(ordered, "g", ["name"], "merkle-tops"), "merkle-groups")
         upper, root = _levels(tops, fanout)
         none = root.select("g", F.array().cast(PATH).alias("path"))
         top_paths = _paths(_blocked(tops, fanout), _down(upper, none, fanout), fanout)

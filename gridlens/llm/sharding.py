@@ -1,70 +1,59 @@
 """Sharding by proportional stratified interleaving.
 
-Rows get a seeded random rank within their source; the fractional rank (rank over the source's size)
+Rows get a seeded random key within their source; the fractional rank (rank over the source's size)
 orders all rows, so every stretch of that order has the sources' mixture, and equal cuts of it are the
-shards. Ranks come from range buckets of the random key whose counts are added up in a small table, so
-no source and no order is held by one task.
+shards. Ranks come from range partitions of the whole order, ties included, whose counts are added up in a small
+table, so no source, no repeated key and no fraction that many sources share is held by one task.
 
 The law is ``rows``: shard sizes differ by one row at most. Null texts count no bytes and have checksum
-0; rows without a source form a source of their own; rows without a key are ranked like others.
-Repeated rows are placed one by one. Other columns do not matter.
+0, texts of any length their own; rows without a source form a source of their own; rows without a key are ranked like
+others. Repeated rows are placed one by one, in any order. An empty table has no shards. Other columns do not matter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlens.llm.ranks import numbered
 from gridlens.llm.registry import query, table
-from gridlens.session import stage
+from gridlens.session import scratch, stage
 
-# Rows of one bucket, about.
-BUCKET_ROWS = 50_000
 # Bits of the random key that decide the order of a source.
 KEY_BITS = 48
 
 
-def _with_rank(rows: DataFrame, group: list[str], bucket: str, order: list[str], name: str) -> DataFrame:
-    """Number rows of a group from 0 by bucket and order; buckets must be ranges of the order."""
-    counts = stage(rows.groupBy(*group, bucket).agg(F.count("*").alias("_n")), "shard-counts")
-    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(*group, bucket).orderBy(*order)
-    return (
-        rows.join(offsets, [*group, bucket]).withColumn(name, F.col("_before") + F.row_number().over(inside) - 1).drop("_before")
-    )
-
-
 def interleave(
     df: DataFrame, shards: int, seed: int = 7, key: str = "doc_id", source: str = "source", text: str = "text"
 ) -> DataFrame:
     """``key, source, size, text_crc32, shard, slot`` of every row."""
     body, name = F.col(f"`{text}`"), F.col(f"`{source}`").cast("string")
     seeded = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null"))))
-    rows = stage(
-        df.select(
-            F.col(f"`{key}`").alias("k"), F.coalesce(F.concat(F.lit("="), name), F.lit("null")).alias("s"),
-            (F.coalesce(F.octet_length(body), F.lit(0)) + 8).cast("long").alias("size"),
-            F.coalesce(F.crc32(body), F.lit(0)).cast("long").alias("text_crc32"),
-            F.conv(F.substring(seeded, 1, KEY_BITS // 4), 16, 10).cast("long").alias("r"),
-        ),
-        "shard-rows",
-    )
-    sizes = rows.groupBy("s").agg(F.count("*").alias("n"))
-    total = rows.count()
-    buckets = -(-total // BUCKET_ROWS) or 1
-    of_key = F.shiftright(F.shiftright("r", KEY_BITS - 32) * buckets, 32).cast("int")
-    ties = ["k", "text_crc32", "size"]
-    ranked = _with_rank(rows.withColumn("b", of_key), ["s"], "b", ["r", *ties], "rank").drop("b")
-    fraction = (2 * F.col("rank") + 1) / (2 * F.col("n"))
-    placed = stage(ranked.join(sizes, "s").withColumn("f", fraction).drop("n", "rank"), "shard-fractions")
-    placed = placed.withColumn("b", F.floor(F.col("f") * buckets).cast("int")).withColumn("all", F.lit(0))
-    at = _with_rank(placed, ["all"], "b", ["f", "s", "r", *ties], "at")
-    shard = F.expr(f"(at * {shards}) div {max(total, 1)}")
-    return at.select(
-        F.col("k").alias(key), F.when(F.col("s") != "null", F.substring("s", 2, 1 << 30)).alias(source),
-        "size", "text_crc32", shard.cast("int").alias("shard"), "at",
-    ).withColumn("slot", F.expr(f"at - (shard * {total}L + {shards - 1}) div {shards}")).drop("at")
+    ties = ["r", "k", "text_crc32", "bytes", "row"]
+    with scratch(df.sparkSession):
+        rows = stage(
+            df.select(
+                F.col(f"`{key}`").alias("k"), F.coalesce(F.concat(F.lit("="), name), F.lit("null")).alias("s"),
+                (F.coalesce(F.octet_length(body), F.lit(0)) + 8).cast("long").alias("bytes"),
+                F.coalesce(F.crc32(body), F.lit(0)).cast("long").alias("text_crc32"),
+                F.conv(F.substring(seeded, 1, KEY_BITS // 4), 16, 10).cast("long").alias("r"),
+                F.monotonically_increasing_id().alias("row"),
+            ),
+            "shard-rows",
+        )
+        ranked = numbered(rows, "s", ties, "shard-source")
+        placed = ranked.withColumn("f", (2 * F.col("pos") + 1) / (2 * F.col("size"))).drop("pos", "size")
+        placed = stage(placed.withColumn("all", F.lit(0)), "shard-fractions")
+        at = numbered(placed, "all", ["f", "s", *ties], "shard-all")
+        shard = f"(pos * {shards}) div size"
+        return stage(
+            at.select(
+                F.col("k").alias(key), F.when(F.col("s") != "null", F.substring("s", 2, 1 << 30)).alias(source),
+                F.col("bytes").alias("size"), "text_crc32", F.expr(shard).cast("int").alias("shard"),
+                F.expr(f"pos - (({shard}) * size + {shards - 1}) div {shards}").alias("slot"),
+            ),
+            "shards", outer=True,
+        )
 
 
 SHARDS = 24

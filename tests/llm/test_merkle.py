@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridlens.llm import merkle
+from gridlens.llm import merkle, ranks
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hash string, pos int, g string"
 
@@ -83,7 +83,7 @@ def made(n, langs):
 @pytest.mark.parametrize("n,fanout,block,part", [(300, 2, 4096, 200_000), (150, 2, 4, 40), (70, 3, 9, 25), (1, 2, 4096, 200_000), (40, 5, 4, 10)])
 def test_manifest(spark, monkeypatch, n, fanout, block, part):
     monkeypatch.setattr(merkle, "BLOCK", block)
-    monkeypatch.setattr(merkle, "PART_ROWS", part)
+    monkeypatch.setattr(ranks, "PART_ROWS", part)
     rows = made(n, [None, "", "en", "é", "z", "日", "a b"])
     assert manifest(spark.createDataFrame(rows, SCHEMA).repartition(3), fanout) == plain(rows, fanout)
 
