@@ -32,6 +32,27 @@ def _number(name: str) -> Column:
     return F.regexp_replace(F.trim(F.col(f"`{name}`")), ",", "").try_cast("double")
 
 
+def _shape(form: str) -> str:
+    """Pattern of the texts that a date form can read; a single letter stands for one or two digits."""
+    runs = [m.group() for m in re.finditer(r"'[^']*'|([A-Za-z])\1*|.", form)]
+
+    def piece(run: str) -> str:
+        if run.startswith("'"):
+            return re.escape(run.strip("'"))
+        if not run[0].isalpha():
+            return re.escape(run)
+        if run[0] not in "yMdHhms" or run.startswith("MMM"):
+            return ".+"
+        return r"\d{1,2}" if len(run) == 1 else rf"\d{{{len(run)}}}"
+
+    return "^" + "".join(map(piece, runs)) + "$"
+
+
+def _day(text: Column, forms: Sequence[str]) -> Column:
+    """The first form that reads the text. Its shape is looked at first: a failing parse costs far more."""
+    return F.coalesce(*[F.when(text.rlike(_shape(form)), F.try_to_date(text, form)) for form in forms])
+
+
 def read_load_report(spark: SparkSession, paths, day_forms: Sequence[str] = DAY_FORMS) -> DataFrame:
     """Load report exports without preamble and repeated header rows.
 
@@ -43,7 +64,7 @@ def read_load_report(spark: SparkSession, paths, day_forms: Sequence[str] = DAY_
     first, *others = [F.col(f"`{c}`") for c in lines.columns]
     empty = F.coalesce(*others).isNull()
     header = F.coalesce(F.lower(F.regexp_replace(first, r"[^A-Za-z]", "")) == "marketday", F.lit(False))
-    day = F.coalesce(*[F.try_to_date(F.trim(first), form) for form in day_forms])
+    day = _day(F.trim(first), day_forms)
     return lines.where(~empty & ~header).select(
         day.alias("MarketDay"),
         _number("HourEnding").cast("int").alias("HourEnding"),
