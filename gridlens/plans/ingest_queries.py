@@ -290,7 +290,7 @@ def _ingest_sql(view: str, base: str, feed: str, sink_kind: str) -> str:
  count(*) FILTER (WHERE run = n AND keep) AS rows_kept, count(*) FILTER (WHERE run = n AND NOT keep) AS rows_removed,
  count(*) FILTER (WHERE run = n AND keep AND bad) AS rows_mismatched, count(*) FILTER (WHERE keep AND {fresh}) AS rows_written,
  count(*) FILTER (WHERE keep AND run <= n AND {held}) AS stored_rows,
- {r(f'sum(value) FILTER (WHERE keep AND run <= n AND {held})', 2)} AS stored_sum
+ {r(f'sum(value) FILTER (WHERE keep AND run <= n AND {held})', 4)} AS stored_sum
  FROM landed, (VALUES (1), (2)) t(n) GROUP BY n""")
 
 
@@ -302,7 +302,7 @@ def _ingest_runs(spark, rows: DataFrame, feed: str, entity, fields: list, value:
     for run, landed in enumerate((rows.where(ts < F.lit(_MID)), later), 1):
         landing = _land_days(spark, landed, feed, entity, fields, f"{feed}-{run}")
         report = ingest_feed(spark, landing, path, feed, sink_kind)
-        state = spark.read.parquet(path).agg(F.count(F.lit(1)), F.round(F.sum(value), 2)).first()
+        state = spark.read.parquet(path).agg(F.count(F.lit(1)), F.round(F.sum(value), 4)).first()
         out.append(report_table(spark, [report]).drop("days").select(
             F.lit(run).alias("run"), "*", F.lit(state[0]).cast("long").alias("stored_rows"), (F.lit(state[1]) + F.lit(0.0)).alias("stored_sum")
         ))
