@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridlens.functions.timeparts import with_partition_parts
 from gridlens.operators.fuel import pct_of_seasonal_avg, with_fuel_flags
 from gridlens.operators.prices import with_regime, with_regime_durations
 from gridlens.operators.weather import weather_features
 from gridlens.session import stage, stage_all
+from gridlens.sinks.ingest import DAILY
+from gridlens.sinks.tables import write_counted
 
 
 def node_hours(dart: DataFrame, weather: DataFrame, fuel: DataFrame) -> DataFrame:
@@ -36,3 +39,8 @@ def combined_dataset(dart: DataFrame, expost: DataFrame, weather: DataFrame, fue
     prices = expost.select("node", "start_time", F.col("lmp").alias("lmp_da_expost"))
     joined = node_hours(dart, weather, fuel).join(prices, ["node", "start_time"], "left")
     return pct_of_seasonal_avg(stage(joined, "combined"), "WindMW_RT", "WindMW_RT_PctOfSeasonalAvg")
+
+
+def write_combined(rows: DataFrame, path: str) -> int:
+    """Store the combined set by day, as its readers select days, and return how many rows it has."""
+    return write_counted(with_partition_parts(rows, "start_time"), path, DAILY, "overwrite", "static")

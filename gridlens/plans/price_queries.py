@@ -20,9 +20,10 @@ from gridlens.plans.bindings import (
     event_weather,
     sql,
 )
-from gridlens.plans.combined import combined_dataset, node_hours
+from gridlens.plans.combined import combined_dataset, node_hours, write_combined
 from gridlens.plans.registry import bin_sql, query, r, rounded
-from gridlens.session import stage, stage_all
+from gridlens.session import scratch_dir, stage, stage_all
+from gridlens.sources.tables import read_window
 
 # Percentiles of the price profile and the high-price cut.
 PERCENTILES = (0.01, 0.03, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.97, 0.99)
@@ -287,6 +288,25 @@ def combined_query(spark, sf_dir):
     return rounded(picked, keep=exact)
 
 
+@query(
+    "combined_table",
+    sql("node_hours expost", f"""SELECT n.node, n.start_time, regime, e.lmp AS lmp_da_expost, Temperature, {r('WindMW_RT')} AS WindMW_RT,
+ year(n.start_time)::INTEGER AS year, month(n.start_time)::INTEGER AS month, day(n.start_time)::INTEGER AS day,
+ (SELECT count(*) FROM node_hours) AS rows_written
+ FROM node_hours n LEFT JOIN expost e ON e.node = n.node AND e.start_time = n.start_time
+ WHERE n.start_time >= '2024-01-13' AND n.start_time < '2024-01-19'"""),
+)
+def combined_table(spark, sf_dir):
+    """The combined set stored by day, and the days of an event read back from it."""
+    path = scratch_dir(spark, "combined-table")
+    written = write_combined(combined_dataset(expost=event_prices(spark, sf_dir, ALL), **hourly_tables(spark, sf_dir)), path)
+    rows = read_window(spark, path, "start_time", EVENT_START, EVENT_END).select(
+        "node", "start_time", "regime", "lmp_da_expost", "Temperature", "WindMW_RT", "year", "month", "day",
+        F.lit(written).cast("long").alias("rows_written"),
+    )
+    return rounded(rows, keep=("lmp_da_expost", "Temperature"))
+
+
 @query(
     "event_window",
     sql("regimes", """SELECT node, start_time, lmp_da_exante, lmp_rt_expost, regime, coalesce(lmp_rt_expost > 180, FALSE) AS scarcity
