@@ -2,18 +2,19 @@
 
 Landmarks are words that mark toxic training documents and words of clean ones. The kernel counts common
 subsequences of three characters and discounts gaps, so an insult with inserted or dropped characters
-stays close to its landmark; letters written apart are read as one word, and words over ``LONGEST`` symbols
-in overlapping pieces. Symbols are lower-case code points of any script (from U+2E80 on two symbols each,
-so that words of two characters have a kernel). A landmark is compared only with words that have all but one
-of its distinct symbols, hashed to 64 bits (other words count as 0). A sentence has, per landmark, its nearest word; a linear machine over the
-Nyström features of this kernel and of its powers (which tell an insult from words that merely resemble
-it) scores sentences, a document scores as its worst sentence, and a sigmoid fitted on the
-training documents turns that into 0 to 1.
+stays close to its landmark; a kernel below ``FLOOR`` counts as 0. Words are read without the marks around
+them and a second time without those between their letters, letters written apart are read as one word,
+and words over ``LONGEST`` symbols in overlapping pieces. Symbols are lower-case code points of any script
+(from U+2E80 on two symbols each, so that words of two characters have a kernel). A landmark is not compared
+with words that lack so many of its symbols that their kernel is below the floor for certain. A sentence has,
+per landmark, its nearest word; a linear machine over the Nyström features of this kernel and of its powers
+(which tell an insult from words that merely resemble it) scores sentences, a document scores as its worst
+sentence, and a sigmoid fitted on the training documents turns that into 0 to 1.
 
 Labels are of documents, so the training sentences of a toxic document are its worst one and the others
 on the toxic side, first by nearness to a marking word, then by the machine so far; weakened copies of
-them stand for disguised words. The sample is bounded: about ``TRAIN_DOCS`` documents of each label, ``SENTENCES`` sentences
-each. Null and empty texts score like a sentence without any known word; where one label is missing all
+them stand for disguised words. The sample is bounded: about ``TRAIN_DOCS`` documents of each label, of each ``SENTENCES``
+sentences, of each its first ``SENTENCE_CHARS`` characters; scored are whole texts of any length, in chunks. Null and empty texts score like a sentence without any known word; where one label is missing all
 rows score 0. Every row gives one row; other columns do not matter.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,9 @@ from pyspark.sql import types as T
 
 from gridlens.llm.registry import query, table
 from gridlens.llm.text import SPACED, string_chunks, word_hashes, word_spans
-from gridlens.session import ship_package
+from gridlens.session import scratch, ship_package, stage
 
-DECAY = 0.6
+DECAY = 0.8
 LONGEST = 24
 # Landmarks up to this length are compared in narrower rows.
 SHORT = 12
@@ -60,6 +62,14 @@ _LOWER = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in ma
 WIDE = 0x2E80
 # Kernel pairs computed at once.
 PAIRS = 1 << 15
+# Kernels below this count as 0.
+FLOOR = 0.5
+# Distinct symbols of a landmark up to which every subset of them has its own bound.
+SUBSETS = 8
+# Words remembered to be near no landmark, and near one, about.
+KNOWN, KNOWN_NEAR = 1 << 20, 1 << 16
+_LETTER = np.ones(1 << 16, bool)
+_LETTER[:128] = [chr(c).isalnum() for c in range(128)]
 
 
 def subsequence_kernel(left: np.ndarray, lengths: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -116,12 +126,44 @@ def _rows(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int)
 
 
 def _letters(rows: np.ndarray) -> np.ndarray:
-    """A bit per letter a-z that a row has, other symbols share the rest."""
+    """A bit per letter a-z that a row has; other symbols share the rest, so a missing bit is a missing symbol."""
     symbol = rows.astype(np.uint64)
     bit = np.where((rows >= 97) & (rows <= 122), symbol - np.uint64(97), np.uint64(26) + symbol % np.uint64(38))
     return np.bitwise_or.reduce(np.where(rows > 0, np.uint64(1) << bit, np.uint64(0)), axis=1)
 
 
+def _missing(row: np.ndarray, length: int) -> int:
+    """How many distinct symbols of a landmark a word must lack at least so that their kernel is surely below ``FLOOR``.
+
+    By Cauchy-Schwarz the kernel is at most the root of the share of the landmark's own kernel that its other
+    symbols make.
+    """
+    distinct = np.unique(row[:length])
+    whole = subsequence_kernel(row[None], np.array([length]), row[None])[0]
+    for missing in range(1, len(distinct)):
+        gone = np.array(list(combinations(distinct, missing)), np.uint16)
+        kept = np.where((row == gone[:, :, None]).any(1), 0, row).astype(np.uint16)
+        most = max(
+            float(subsequence_kernel(k, np.full(len(k), length), k).max())
+            for k in np.array_split(kept, -(-len(kept) // PAIRS))
+        )
+        if most < FLOOR**2 * whole:
+            return missing
+    return max(1, len(distinct))
+
+
+def _subsets(row: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Letter bits of a landmark's distinct symbols, and for each subset of them whether a word with just these may reach ``FLOOR``.
+
+    The same bound as in :func:`_missing`, for the very symbols that a word lacks.
+    """
+    distinct = np.unique(row[:length])
+    bits = np.array([int(b).bit_length() - 1 for b in _letters(distinct[:, None])], np.uint64)
+    present = np.arange(1 << len(distinct))[:, None] >> np.arange(len(distinct)) & 1
+    kept = np.where(((row == distinct[:, None]) & (present[:, :, None] > 0)).any(1), row, 0).astype(np.uint16)
+    most = subsequence_kernel(kept, np.full(len(kept), length), kept)
+    return bits, most >= FLOOR**2 * most[-1] * (1 - 1e-4)
+
 
 class Landmarks:
     """Landmark words and the kernel of other words with them."""
@@ -132,17 +174,33 @@ class Landmarks:
         self.lengths = lengths = np.diff(at)
         self.rows = _rows(flat, at[:-1], lengths, LONGEST)
         self.letters = _letters(self.rows)
-        distinct = np.bitwise_count(self.letters).astype(np.int64)
-        self.least = np.maximum(distinct - 1, np.minimum(distinct, 2))
         self.norms = np.sqrt(subsequence_kernel(self.rows, lengths, self.rows))
+        distinct = np.bitwise_count(self.letters).astype(np.int64)
+        self.least = distinct + 1 - np.array([_missing(row, n) for row, n in zip(self.rows, lengths)], np.int64)
+        self.bits = np.zeros((len(words), SUBSETS), np.uint64)
+        self.may = np.ones((len(words), 1 << SUBSETS), bool)
+        for k in np.flatnonzero((distinct <= SUBSETS) & (lengths >= 3)) if len(words) <= 256 else ():
+            bits, may = _subsets(self.rows[k], lengths[k])
+            if len(bits) <= SUBSETS:
+                self.bits[k, : len(bits)] = bits
+                # Further bits repeat the subset.
+                self.may[k] = np.resize(may, 1 << SUBSETS)
+        # Hashes of words known to be near no landmark, and of others with their kernels, in order.
+        self.far, self.near = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.values = np.zeros((0, len(words)), np.float32)
 
     def kernel(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Normalised kernel of symbol rows with every landmark."""
         out = np.zeros((len(rows), len(self.words)), np.float32)
         found = [np.zeros((2, 0), np.int64)]
         for low in range(0, len(rows), PAIRS // 8):
-            shared = np.bitwise_count(_letters(rows[low : low + PAIRS // 8])[:, None] & self.letters)
-            found.append(np.array(np.nonzero(shared >= self.least)) + [[low], [0]])
+            letters = _letters(rows[low : low + PAIRS // 8])
+            word, mark = np.nonzero(np.bitwise_count(letters[:, None] & self.letters) >= self.least)
+            subset = np.zeros(len(word), np.int64)
+            for j in range(SUBSETS):
+                subset |= (letters[word] >> self.bits[mark, j] & np.uint64(1)).astype(np.int64) << j
+            near = self.may[mark, subset]
+            found.append(np.array([word[near] + low, mark[near]]))
         word, mark = np.concatenate(found, axis=1)
         if len(word):
             used = np.unique(word)
@@ -157,13 +215,40 @@ class Landmarks:
                 for low in range(0, len(some), PAIRS):
                     w, m = word[some[low : low + PAIRS]], mark[some[low : low + PAIRS]]
                     value = subsequence_kernel(rows[w], lengths[w], self.rows[m, :width])
-                    out[w, m] = value / np.maximum(norm[w] * self.norms[m], 1e-12)
+                    value /= np.maximum(norm[w] * self.norms[m], 1e-12)
+                    out[w, m] = np.where(value >= FLOOR, value, 0)
         return out
 
+    def kernel_of(self, hashes: np.ndarray, rows, lengths: np.ndarray) -> np.ndarray:
+        """:meth:`kernel` of words with distinct ``hashes`` in order; words met before are remembered.
+
+        ``rows`` gives the symbol rows of some of the words.
+        """
+        out = np.zeros((len(hashes), len(self.words)), np.float32)
+        old, place = _members(self.near, hashes)
+        out[old] = self.values[place[old]]
+        new = np.flatnonzero(~old & ~_members(self.far, hashes)[0])
+        out[new] = self.kernel(rows(new), lengths[new])
+        close = out[new].any(1)
+        self.far = np.union1d(self.far if len(self.far) < KNOWN else self.far[:0], hashes[new[~close]])
+        if len(self.near) >= KNOWN_NEAR:
+            self.near, self.values = self.near[:0], self.values[:0]
+        near = np.append(self.near, hashes[new[close]])
+        order = np.argsort(near)
+        self.near, self.values = near[order], np.concatenate([self.values, out[new[close]]])[order]
+        return out
+
+
+def _members(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each hash is in the ordered ``known``, and where."""
+    place = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
+    return (known[place] == hashes if len(known) else np.zeros(len(hashes), bool)), place
+
 
 def tokens(data: np.ndarray, offsets: np.ndarray):
-    """Words, cut to pieces where long, and letters written apart as one: ``(bytes, starts, lengths, sentence, first sentence)``.
+    """Words, cut to pieces where long, letters written apart as one, and words without the marks between their letters.
 
+    ``(symbols, starts, lengths, sentence, first sentence)``;
     ``sentence`` numbers sentences with a word over the chunk; the last array gives each document's first.
     """
     starts, ends, first = word_spans(data, offsets, IS_WORD)
@@ -183,15 +268,21 @@ def tokens(data: np.ndarray, offsets: np.ndarray):
         _, head, size = np.unique(run, return_index=True, return_counts=True)
         where = np.flatnonzero(single)
         apart = [(where[h], s) for h, s in zip(head, size) if s >= 3]
-    pieces = np.maximum(1, -(-(lengths - LONGEST // 2) // (LONGEST // 2)))
-    if apart:
-        joined = [data[starts[w : w + s]] for w, s in apart]
-        extra = len(data) + np.cumsum([0, *map(len, joined)])
-        data = np.concatenate([data, *joined])
-        starts = np.concatenate([starts, extra[:-1]])
-        ends = np.concatenate([ends, extra[1:]])
-        sentence = np.concatenate([sentence, [sentence[w] for w, _ in apart]])
-        pieces = np.concatenate([pieces, [max(1, -(-(s - LONGEST // 2) // (LONGEST // 2))) for _, s in apart]])
+    joined = [data[starts[w : w + s]] for w, s in apart]
+    extra = len(data) + np.cumsum([0, *map(len, joined)])
+    bodies = [(extra[:-1], extra[1:], sentence[[w for w, _ in apart]] if apart else sentence[:0])]
+    # A word is read without the marks around its letters, and a second time without those between them.
+    letters = np.flatnonzero(_LETTER[data])
+    low, high = np.searchsorted(letters, starts), np.searchsorted(letters, ends)
+    some = np.flatnonzero(high > low)
+    starts[some], ends[some] = letters[low[some]], letters[high[some] - 1] + 1
+    marked = some[(ends[some] - starts[some] > high[some] - low[some]) & (high[some] - low[some] >= 3)]
+    size = high[marked] - low[marked]
+    joined.append(data[letters[np.repeat(low[marked] - np.cumsum(size) + size, size) + np.arange(size.sum())]])
+    bodies.append((extra[-1] + np.cumsum(size) - size, extra[-1] + np.cumsum(size), sentence[marked]))
+    data = np.concatenate([data, *joined])
+    starts, ends, sentence = (np.concatenate([own, *more]) for own, *more in zip((starts, ends, sentence), *bodies))
+    pieces = np.maximum(1, -(-(ends - starts - LONGEST // 2) // (LONGEST // 2)))
     number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     at = np.repeat(starts, pieces) + number * (LONGEST // 2)
     sentence = np.repeat(sentence, pieces)
@@ -205,8 +296,8 @@ def sentence_features(marks: Landmarks, data: np.ndarray, offsets: np.ndarray):
     data, starts, lengths, sentence, first = tokens(*symbols(data, offsets))
     if not len(starts):
         return np.zeros((0, len(marks.words)), np.float32), first
-    _, one, which = np.unique(word_hashes(data.view(np.uint8), 2 * starts, 2 * (starts + lengths)), return_index=True, return_inverse=True)
-    kernel = marks.kernel(_rows(data, starts[one], lengths[one], LONGEST), lengths[one])
+    hashes, one, which = np.unique(word_hashes(data.view(np.uint8), 2 * starts, 2 * (starts + lengths)), return_index=True, return_inverse=True)
+    kernel = marks.kernel_of(hashes, lambda k: _rows(data, starts[one[k]], lengths[one[k]], LONGEST), lengths[one])
     # Most words are near no landmark; only the others are spread over their sentences.
     near = kernel.any(1)[which]
     out = np.zeros((sentence[-1] + 1, len(marks.words)), np.float32)
@@ -239,7 +330,9 @@ class Machine:
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         features, first = sentence_features(self.marks, data, offsets)
-        return _worst(powers(features) @ self.weights + self.base, first, self.base)
+        margins, some = np.full(len(features), self.base), np.flatnonzero(features.any(1))
+        margins[some] += powers(features[some]) @ self.weights
+        return _worst(margins, first, self.base)
 
     def scores(self, margins: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -30, 30)))
@@ -387,15 +480,8 @@ def fit(docs: list[list[str]], toxic: np.ndarray, rounds: int = 3) -> Machine |
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine | None:
     """Fit on the documented sample; a document counts as toxic if any of its labels says so."""
-    marked = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
-    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(marked, "k")
-    counts = {int(r.y): r.n for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("y") == 1, min(1.0, TRAIN_DOCS / counts.get(1, 1))).otherwise(min(1.0, TRAIN_DOCS / counts.get(0, 1)))
-    chance = F.pmod(F.xxhash64(F.lit("toxicity"), "k"), F.lit(1_000_000)) / 1e6
-    ordered = F.array_sort(F.transform(F.split("t", "[.!?\\n]+"), lambda s: F.struct(F.xxhash64(s).alias("h"), F.substring(s, 1, SENTENCE_CHARS).alias("s"))))
-    picked = F.transform(F.slice(ordered, 1, SENTENCES), lambda x: x["s"])
-    sample = rows.where(chance < share).select("k", "y", picked.alias("s")).where("s is not null")
-    found = sorted((r.k, int(r.y), list(r.s)) for r in sample.collect())
+    with scratch(docs.sparkSession):
+        found, counts = _sample(docs, labels, key, text, label)
     toxic = np.array([y for _, y, _ in found], bool)
     machine = fit([s for _, _, s in found], toxic) if found else None
     if machine:
@@ -404,6 +490,23 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return machine
 
 
+def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[list[tuple], dict[int, int]]:
+    """Key, label and sentences of the training documents, and the number of documents of each label."""
+    marked = labels.where(F.col(label).isNotNull()).groupBy(F.col(f"`{key}`").alias("k")).agg(F.max(label).alias("y"))
+    counts = {int(r.y): r.n for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("y") == 1, min(1.0, TRAIN_DOCS / counts.get(1, 1))).otherwise(min(1.0, TRAIN_DOCS / counts.get(0, 1)))
+    chance = F.pmod(F.xxhash64(F.lit("toxicity"), "k"), F.lit(1_000_000)) / 1e6
+    # The keys are drawn first: a stored table of a few thousand, so no text but theirs is moved.
+    drawn = stage(marked.where(chance < share), "toxicity-sample")
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(drawn, "k")
+    ordered = F.array_sort(F.transform(F.split("t", "[.!?\\n]+"), lambda s: F.struct(F.xxhash64(s).alias("h"), F.substring(s, 1, SENTENCE_CHARS).alias("s"))))
+    picked = F.transform(F.slice(ordered, 1, SENTENCES), lambda x: x["s"])
+    sample = rows.select("k", "y", picked.alias("s")).where("s is not null")
+    # Of several texts of one key one is taken, so that the sample stays bounded.
+    one = sample.groupBy("k", "y").agg(F.min_by("s", F.xxhash64("s")).alias("s"))
+    return sorted((r.k, int(r.y), list(r.s)) for r in one.collect()), counts
+
+
 def score(df: DataFrame, machine: Machine | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, score, predicted`` of every row."""
     rows = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
