@@ -76,8 +76,10 @@ def batch_counts(query: StreamingQuery, inserted: dict[int, int]) -> list[tuple[
     """
     counts = []
     for progress in query.recentProgress:
-        seen, holder = progress.observedMetrics.get(RULE), progress.stateOperators[0]
-        if progress.numInputRows and seen is not None:
+        seen = progress.observedMetrics.get(RULE)
+        # A run that finds nothing reports progress too.
+        if progress.numInputRows and seen is not None and progress.stateOperators:
+            holder = progress.stateOperators[0]
             repeated = holder.customMetrics.get("numDroppedDuplicateRows", 0)
             counts.append((
                 progress.batchId, *(seen[c] for c in COUNTERS), holder.numRowsDroppedByWatermark, repeated,

@@ -12,6 +12,7 @@ from gridlens.operators.quality import COUNTERS, apply_rule
 from gridlens.session import stage
 from gridlens.sinks import ingest, tables as sink
 from gridlens.sources import feeds, tables
+from gridlens.streaming import prices
 
 PAGE = '{{"data": [{}]}}'
 MIX = '{{"region": "N", "timeInterval": {{"start": "{0}", "end": "{0}", "resolution": "h", "value": "1"}}, "totalMw": {1}, "fuelTypes": {{"coal": 1}}}}'
@@ -248,5 +249,23 @@ def test_event_window_prunes(spark, tmp_path):
     assert {f.split("year=")[1].rsplit("/", 1)[0] for f in (r.f for r in read.select(F.col("_metadata.file_path").alias("f")).distinct().collect())} == {"2024/month=1"}
 
 
-def test_counter_names():
-    assert COUNTERS == ("rows_read", "rows_kept", "rows_removed", "rows_mismatched")
+def test_streamed_deliveries(spark, tmp_path):
+    """Counters of each delivery; a stored key stays; late rows are counted and not stored; state follows the time rows may be late."""
+    landing, path, checkpoint = tmp_path / "landing", str(tmp_path / "table"), str(tmp_path / "checkpoint")
+    day = lambda d, price=5, part=0, node="A": PRICE.format(node, f"2024-01-{d:02d}T00:00:00", price, part)
+    run = lambda: [dict(zip(("batch", *COUNTERS, "late", "repeated", "inserted", "state"), r)) for r in prices.ingest_available(spark, str(landing), path, checkpoint, lateness="2 days 12 hours")]
+    land(landing, "1.json", *[day(d) for d in range(1, 11)], day(3, part="null"))
+    first, = run()
+    assert (first["rows_read"], first["rows_kept"], first["rows_removed"], first["late"], first["repeated"], first["inserted"]) == (11, 10, 1, 0, 0, 10)
+    assert run() == []
+    # Day 9 again at another price, days 11 to 13 of which one does not reconcile, and a day behind the watermark.
+    land(landing, "2.json", day(9, 7), *[day(d, part=1 if d == 12 else 0) for d in (11, 12, 13)], day(2, node="B"))
+    second, = run()
+    assert (second["rows_read"], second["rows_kept"], second["rows_mismatched"]) == (5, 5, 1)
+    assert (second["late"], second["repeated"], second["inserted"]) == (1, 1, 3)
+    for k, d in enumerate(range(14, 32, 9)):
+        land(landing, f"3{k}.json", *[day(x) for x in range(d, min(d + 9, 32))])
+        last = run()[-1]
+    assert spark.read.parquet(path).count() == 31 and last["state"] < 15
+    stored = {r.start_time.day: (r.lmp, r.lmp_check_flag) for r in spark.read.parquet(path).collect()}
+    assert stored[9] == (5.0, 0) and stored[12] == (5.0, 1) and 2 in stored
