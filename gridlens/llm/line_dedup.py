@@ -1,18 +1,20 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-A line is the words between white space. Lines of ``min_words`` or more that equal an earlier line, and
-lines of ``near_words`` or more within one word (inserted, deleted or replaced) of an earlier line, are
-removed; the earliest stays. Order is by key, then line number; a line counts as earlier even where it
-is removed itself.
-
-Every variant of a line with one word deleted is hashed from running sums, with the place of the word.
-Lines that share a variant and the place differ by one replaced word; a line that equals a variant lacks
-one word. Per variant only the earliest line is kept, so equal variants are aggregated and joined back,
+A line is the words between white space. Lines of ``min_words`` words or ``MIN_CHARS`` characters (without white
+space) or more that equal an earlier line are removed, and so are lines of ``near_words`` or more within one edit
+(inserted, deleted or replaced) of an earlier line; the earliest stays. The unit of an edit is a word; in lines of
+fewer words that have characters of scripts without spaces it is a character, and ``NEAR_CHARS`` of them make a line
+long enough. Order is by key, then line number; a line counts as earlier even where it is removed itself.
+
+Every variant of a line with one unit deleted is hashed from running sums, with the place of the unit.
+Lines that share a variant and the place differ by one replaced unit; a line that equals a variant lacks
+one unit. Per variant only the earliest line is kept, so equal variants are aggregated and joined back,
 never paired among themselves, and the edit distance to that earliest line is verified. Only lines that
-share their first or second half with another line (any pair within one word does) enter.
+share their first or second half with another line (any pair within one unit does) enter.
 
 Null texts, lines without words and shorter lines stay as they are. Rows with equal key and text are
-one document and lose the same lines; rows without a key come last. Other columns pass through.
+one document and lose the same lines; rows without a key come last. Keys are whole numbers. A text of any length is
+one row, split where it is. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -26,7 +28,11 @@ from gridlens.llm.scratch import forget_shuffles
 from gridlens.session import scratch, stage
 
 MIN_WORDS = 5
+MIN_CHARS = 10
 NEAR_WORDS = 10
+NEAR_CHARS = 20
+# Scripts written without spaces, from the CJK radicals on, and South East Asian ones.
+UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\uD7A3\uF900-\uFAFF]"
 LAST = 2**63 - 1
 # Running sums of hashes of this many bits do not overflow for lines of eight million words.
 SUM_BITS = 40
@@ -36,6 +42,22 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(line, WHITE, -1), "")
 
 
+def _dense(words: Column, near_words: int) -> Column:
+    """Whether a line of few words has many characters and some of an unspaced script."""
+    line = F.array_join(words, " ")
+    return (F.size(words) < near_words) & (F.length(line) >= NEAR_CHARS) & line.rlike(UNSPACED)
+
+
+def _characters(words: Column) -> Column:
+    """The characters of a line, marked so that they equal no word."""
+    return F.transform(F.split(F.array_join(words, " "), ""), lambda c: F.concat(F.lit("\x01"), c))
+
+
+def _units(words: Column, near_words: int) -> Column:
+    """What an edit changes: words, or characters in a dense line."""
+    return F.when(_dense(words, near_words), _characters(words)).otherwise(words)
+
+
 def _identity(df: DataFrame, key: str, text: str) -> list[Column]:
     k, t = F.col(f"`{key}`").cast("long"), F.col(f"`{text}`")
     return [F.coalesce(k, F.lit(LAST)).alias("_k"), F.xxhash64(k, t).alias("_h")]
@@ -52,20 +74,23 @@ def _halves(words: Column) -> Column:
 
 
 def _lines(df: DataFrame, key: str, text: str, min_words: int, near_words: int) -> DataFrame:
-    """One row per line that may be removed: document, line number, word hash, length, half hashes."""
-    described = F.transform(
-        F.split(F.col(f"`{text}`"), "\n", -1),
-        lambda line, at: let(_words(line), lambda w: F.struct(
-            at.cast("int").alias("at"), F.size(w).alias("n"), F.xxhash64(w).alias("line"),
-            F.when(F.size(w) >= near_words, _halves(w)).alias("halves"),
-        )),
-    )
-    rows = df.select(*_identity(df, key, text), F.filter(described, lambda x: x["n"] >= min_words).alias("_l"))
-    return rows.select("_k", "_h", F.inline("_l"))
-
-
-def _near(df: DataFrame, distinct: DataFrame, key: str, text: str) -> DataFrame:
-    """``line``: hashes of lines within one word of an earlier line."""
+    """One row per line that may be removed: document, line number, word hash, length in units, half hashes."""
+    def describe(line: Column, at: Column) -> Column:
+        # Most lines have words enough; characters are looked at in the others only.
+        return let(_words(line), lambda w: F.struct(
+            at.cast("int").alias("at"),
+            F.when(F.size(w) >= near_words, F.size(w)).otherwise(F.size(_units(w, near_words))).alias("n"), F.xxhash64(w).alias("line"),
+            F.when(F.size(w) >= near_words, _halves(w)).when(_dense(w, near_words), let(_characters(w), _halves)).alias("halves"),
+            ((F.size(w) >= min_words) | (F.length(F.array_join(w, "")) >= MIN_CHARS)).alias("long"),
+        ))
+
+    described = F.transform(F.split(F.col(f"`{text}`"), "\n", -1), describe)
+    rows = df.select(*_identity(df, key, text), F.filter(described, lambda x: x["long"]).alias("_l"))
+    return rows.select("_k", "_h", F.inline("_l")).drop("long")
+
+
+def _near(df: DataFrame, distinct: DataFrame, key: str, text: str, near_words: int) -> DataFrame:
+    """``line``: hashes of lines within one unit of an earlier line."""
     spark = df.sparkSession
     halves = distinct.where("halves is not null").select("line", F.explode("halves").alias("half"))
     often = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
@@ -79,7 +104,7 @@ def _near(df: DataFrame, distinct: DataFrame, key: str, text: str) -> DataFrame:
     # One plan at every size, here and where the texts are put together again: a join by shuffle.
     fetched = texts.join(wanted.hint("merge"), ["_k", "_h"]).select(
         "_k", "_h", F.inline(let(F.split("_t", "\n", -1), lambda lines: F.transform(F.col("_w"), lambda w: F.struct(
-            w["at"].alias("at"), w["line"].alias("line"), w["n"].alias("n"), _words(lines[w["at"]]).alias("words")
+            w["at"].alias("at"), w["line"].alias("line"), w["n"].alias("n"), let(_words(lines[w["at"]]), lambda x: _units(x, near_words)).alias("words")
         )))),
     )
     read = stage(fetched.dropDuplicates(["line"]), "line-words")
@@ -139,7 +164,10 @@ def _within_one(a: str, b: str) -> Column:
 def dedup_lines(
     df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS
 ) -> DataFrame:
-    """All columns of ``df`` with repeated lines cut from the text, ``_lines`` and ``_removed`` counts."""
+    """All columns of ``df`` with repeated lines cut from the text, ``_lines`` and ``_removed`` counts.
+
+    Columns of these two names are replaced.
+    """
     spark = df.sparkSession
     with scratch(spark):
         lines = stage(_lines(df, key, text, min_words, near_words), "lines")
@@ -152,7 +180,7 @@ def dedup_lines(
         )
         forget_shuffles(spark)
         with scratch(spark):
-            near = _near(df, distinct, key, text).withColumn("near", F.lit(True))
+            near = _near(df, distinct, key, text, near_words).withColumn("near", F.lit(True))
         forget_shuffles(spark)
         affected = distinct.join(near, "line", "left").where("near or c > 1").select(
             "line", F.coalesce("near", F.lit(False)).alias("near"), F.col("first").alias("earliest")

@@ -20,6 +20,12 @@ def distance_within_one(a, b):
     return table[-1] <= 1
 
 
+def units(words, near_words):
+    line = " ".join(words)
+    dense = len(words) < near_words and len(line) >= line_dedup.NEAR_CHARS and re.search(line_dedup.UNSPACED, line)
+    return [("c", c) for c in line] if dense else words
+
+
 def plain(rows, min_words, near_words):
     """{key: text}; keys are unique and not null."""
     earlier, out = [], {}
@@ -27,11 +33,12 @@ def plain(rows, min_words, near_words):
         kept = []
         for line in text.split("\n") if text is not None else ():
             words = re.findall(r"[^\x20\x09-\x0D]+", line)
-            drop = len(words) >= min_words and any(
-                w == words or (len(words) >= near_words and len(w) >= near_words and distance_within_one(w, words)) for w in earlier
+            long, mine = len(words) >= min_words or len("".join(words)) >= line_dedup.MIN_CHARS, units(words, near_words)
+            drop = long and any(
+                w == mine or (len(mine) >= near_words and len(w) >= near_words and distance_within_one(w, mine)) for w in earlier
             )
-            if len(words) >= min_words:
-                earlier.append(words)
+            if long:
+                earlier.append(mine)
             if not drop:
                 kept.append(line)
         out[key] = None if text is None else "\n".join(kept)
@@ -67,6 +74,19 @@ def test_lines(spark, seed, min_words, near_words):
     assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
 
 
+def test_short_and_unspaced_lines(spark):
+    """Boilerplate of few words, and lines of a script without spaces, equal or one character off."""
+    rng = np.random.default_rng(7)
+    chinese = ["".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 2000, n)) for n in (160, 25, 12, 9)]
+    off = [chinese[0][:80] + "新" + chinese[0][81:], chinese[0][:3] + chinese[0][4:], chinese[1] + "増", chinese[2][:-1] + "x", chinese[1][:5] + "新新" + chinese[1][7:]]
+    base = ["Subscribe now", "Read more about cookies", "ok", "a b", *chinese, "สวัสดีครับยินดีต้อนรับทุกท่าน", "one two three " + chinese[1]]
+    rows = [(1, "\n".join(base)), (2, "\n".join(base)), (3, "\n".join([*off, "ok", "subscribe now", "own line here"])), (4, "one two three " + chinese[1][:-1])]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain(rows, line_dedup.MIN_WORDS, line_dedup.NEAR_WORDS)
+    assert got[1] == rows[0][1] and got[2] == "ok\na b\n" + chinese[3] and got[4] == ""
+    assert got[3].split("\n") == [off[3], off[4], "ok", "subscribe now", "own line here"]
+
+
 def test_odd_rows(spark):
     line = "this line has five words"
     rows = [(1, line), (1, line), (None, line + "\nand own words of its own"), (2, line), (3, None), (3, "")]
