@@ -8,7 +8,7 @@ merged into spans. The benchmark is searched in blocks of bounded size, so only
 
 Words are runs of digits, letters (A-Z lower-cased) and characters above 127. A window is ten
 consecutive words of an item, or a shorter item as a whole; items without words have none. Null and
-empty texts have no words and no hits. Every row gives one row; repeated item texts or identifiers
+empty texts have no words and no hits; a longer text than a shard is a shard of its own. Every row gives one row; repeated item texts or identifiers
 all count; null item identifiers are not reported but their windows are. Columns pass through.
 """
 
@@ -18,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlens.llm.registry import query, table
 from gridlens.llm.text import ALNUM, LOWER, string_chunks, word_hashes, word_spans
-from gridlens.session import ship_package
+from gridlens.session import ship_package, stage
 
 WINDOW = 10
 # Text bytes of one shard, and of the benchmark items searched at once.
@@ -217,9 +218,8 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.column_stack([spans[fresh, 0], reach[np.append(fresh[1:], len(spans)) - 1]])
 
 
-def _pass(df: DataFrame, block: Windows, names: list[str], give: str | None) -> DataFrame:
+def _pass(df: DataFrame, shared: Broadcast, names: list[str], give: str | None) -> DataFrame:
     """Search one block; earlier blocks' word spans and items come in and are merged."""
-    shared = df.sparkSession.sparkContext.broadcast(block)
     text_type = pa.string()
     fields = {"_text": T.StringType(), "_hit": T.ArrayType(T.IntegerType()), "_items": T.ArrayType(T.StringType()), "_words": T.LongType()}
     out = [*names, *(("_text",) if give else ()), "_hit", "_items", "_words"]
@@ -264,27 +264,34 @@ def _pass(df: DataFrame, block: Windows, names: list[str], give: str | None) ->
     return df.mapInArrow(run, schema)
 
 
-def benchmark_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> Iterator[Windows]:
-    """The distinct benchmark items in blocks of bounded size, by hash; at least one block."""
+def benchmark_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> Iterator[tuple[Windows, bool]]:
+    """The distinct benchmark items in blocks of bounded size, by hash, and whether it is the last; at least one block."""
     rows = benchmark.select(F.col(f"`{item}`").cast("string").alias("i"), F.col(f"`{text}`").alias("t")).where("t is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES) or 1
     for k in range(blocks):
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        yield Windows([(r.i, r.t) for r in part.collect()])
+        yield Windows([(r.i, r.t) for r in part.collect()]), k == blocks - 1
 
 
 def _search(df: DataFrame, benchmark: DataFrame, columns: list[str], text: str, give: str | None) -> DataFrame:
-    """Hits next to ``columns``, which are named ``_c0, _c1, ...``."""
+    """Hits next to ``columns``, which are named ``_c0, _c1, ...``.
+
+    One block of the benchmark is on the driver and on the executors at a time: the hits of each but the last are
+    stored before the next is fetched.
+    """
     names = [f"_c{k}" for k in range(len(columns))]
     rows = df.select(
         *[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)], F.col(f"`{text}`").alias("_text"),
         F.array().cast("array<int>").alias("_hit"), F.array().cast("array<string>").alias("_items"),
     )
     ship_package(df.sparkSession)
-    blocks = list(benchmark_blocks(benchmark))
-    for k, block in enumerate(blocks):
-        rows = _pass(rows, block, names, give if k == len(blocks) - 1 else "text")
+    for block, last in benchmark_blocks(benchmark):
+        shared = df.sparkSession.sparkContext.broadcast(block)
+        rows = _pass(rows, shared, names, give if last else "text")
+        if not last:
+            rows = stage(rows, "benchmark-hits")
+            shared.destroy()
     return rows
 
 
