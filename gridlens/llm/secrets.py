@@ -6,8 +6,8 @@ lie within the same scope: an identifier with a secret, a secret with an identif
 endpoint with both. A part's scope is the interval of ``SCOPE`` code points before and after it; parts
 are linked by an interval join on scope-wide bins. Everything is native.
 
-Null and empty texts have no parts. Every row gives one row: rows with equal key and text share one
-scan. Other columns do not matter and may have any name.
+Null and empty texts have no parts; a text of any length is one row of its own parts. Every row gives one row: rows with
+equal key and text share one scan. Other columns do not matter and may have any name.
 """
 
 from __future__ import annotations
@@ -27,10 +27,21 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 HEX_LONG = r"[0-9a-f]{24}"
 
-# Weak parts, reported only next to complementary parts.
-IDENTIFIER = r"""(?i)\b(?:access_?key_?id|client_?id|user_?name|account_?id|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
-KEY = r"(?<![A-Za-z0-9/+_=-])(?=[A-Za-z/+_-]*+[0-9])(?=[a-z0-9/+_-]*+[A-Z])(?=[A-Z0-9/+_-]*+[a-z])[A-Za-z0-9/+_-]{20,}+"
-ENDPOINT = r"""[a-z][a-z0-9+.-]{1,15}://[^\x09-\x0D\x20"'<>]{3,}"""
+# Weak parts, reported only next to complementary parts. Identifiers are known by a name before them, or by their shape:
+# temporary and role access identifiers, identifiers in groups of hexadecimal digits, and the user in a URL. A secret is a
+# token of mixed classes, or the password in a URL.
+IDENTIFIER = (
+    r"""(?i:\b(?:(?:access|client|user|account|tenant|app|application|project|subscription|service|key|api)[_\x20-]?"""
+    r"""(?:access|account|key)?[_\x20-]?(?:id|name|identifier)|user|account|login|e?-?mail)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,})"""
+    r"""|\b(?:ASIA|AROA|AIDA|AGPA)[A-Z0-9]{12,}"""
+    r"""|\b[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}\b"""
+    r"""|(?<=://)[A-Za-z0-9._%+-]+(?=:[^\x09-\x0D\x20/@"'<>]+@)"""
+)
+KEY = (
+    r"(?<![A-Za-z0-9/+_=-])(?=[A-Za-z/+_-]*+[0-9])(?=[a-z0-9/+_-]*+[A-Z])(?=[A-Z0-9/+_-]*+[a-z])[A-Za-z0-9/+_-]{20,}+"
+    r"""|(?<=://[A-Za-z0-9._%+-]{1,64}:)[^\x09-\x0D\x20/@"'<>]+(?=@)"""
+)
+ENDPOINT = r"""(?i:[a-z][a-z0-9+.-]{1,15})://[^\x09-\x0D\x20"'<>]{3,}"""
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "identifier", "key", "endpoint")
