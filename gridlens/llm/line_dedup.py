@@ -192,15 +192,16 @@ def dedup_lines(
             "line-gone", outer=True,
         )
     forget_shuffles(spark)
-    source = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(df.columns)], *_identity(df, key, text))
-    body = f"_c{df.columns.index(text)}"
+    kept = [c for c in df.columns if c not in ("_lines", "_removed")]
+    source = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(kept)], *_identity(df, key, text))
+    body = f"_c{kept.index(text)}"
     joined = source.join(gone.hint("merge"), ["_k", "_h"], "left")
     left = let(F.split(body, "\n", -1), lambda x: F.array_join(
         F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: x[i]), "\n"
     ))
     new = F.when(F.col("_gone").isNull(), F.col(body)).otherwise(left)
     return joined.select(
-        *[(new if f"_c{i}" == body else F.col(f"_c{i}")).alias(c) for i, c in enumerate(df.columns)],
+        *[(new if f"_c{i}" == body else F.col(f"_c{i}")).alias(c) for i, c in enumerate(kept)],
         F.when(F.col(body).isNull(), 0).otherwise(F.size(F.split(body, "\n", -1))).cast("long").alias("_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_removed"),
     )
