@@ -3,14 +3,16 @@
 Documents with equal shingle sets are one class. Of each class the smallest shingle hashes (by default
 twice as many as a prefix needs) are indexed. A partner must share those beyond one prefix, so shingles are put in
 order of their frequency and each class keeps the rarest part: its prefix. Classes with equal prefix and
-size form a group. Groups that meet in a prefix shingle are candidates; connected candidates are
+size form a group. Groups meet in a prefix shingle and only with groups whose size fits theirs (equal or
+neighbouring size bands, of which a fitting pair is never further apart); connected candidates are
 expanded to their members and verified on whole shingle sets, in pairs of bounded blocks, where only
 pairs of fitting sizes and prefixes are compared and a found component is not compared again. Links
 that join different components are all found; pairs inside one are not written out.
 
-A null or empty text has an empty set and no links. Repeated rows are copies of each other. Rows with a
-null key are classed and linked like others, and get the component of their class's smallest key (null
-if none has one). Other columns do not matter.
+A null or empty text has an empty set and no links. Repeated rows are copies of each other, and so are rows of one
+key with different texts only where their sets are equal or linked: what is linked are sets, not keys. Rows with a
+null key are classed and linked like others, and get the component of the smallest key in it (null
+if none has one). Keys are whole numbers; a text of any length is one row of one task. Other columns do not matter.
 """
 
 from __future__ import annotations
@@ -82,13 +84,19 @@ def _kept(n: Column, percent: int, tenths: int) -> Column:
     return _indexed(n, percent, tenths) - common + 1
 
 
+def identity(df: DataFrame, key: str, text: str) -> list[Column]:
+    """Key and hash of key and text: what tells rows apart, but for repeated ones."""
+    k, t = F.col(f"`{key}`").cast("long"), F.col(f"`{text}`")
+    return [k.alias("id"), F.xxhash64(k, t).alias("h")]
+
+
 def _describe(df: DataFrame, key: str, text: str, size: int, percent: int, tenths: int) -> DataFrame:
-    source = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("body"))
+    source = df.select(*identity(df, key, text), F.col(f"`{text}`").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, classes, least = [], [], []
-            for shingles in shingle_sets(batch.column(1), size):
+            for shingles in shingle_sets(batch.column(2), size):
                 n = len(shingles)
                 need = -(-n * percent // 100)
                 sizes.append(n)
@@ -97,11 +105,11 @@ def _describe(df: DataFrame, key: str, text: str, size: int, percent: int, tenth
             ends = np.cumsum([0, *map(len, least)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.int64), *least])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["id", "n", "class", "least"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                names=["id", "h", "n", "class", "least"],
             )
 
-    return source.mapInArrow(run, _schema("id long, n int, class long, least array<long>"))
+    return source.mapInArrow(run, _schema("id long, h long, n int, class long, least array<long>"))
 
 
 def _schema(text: str):
@@ -111,7 +119,7 @@ def _schema(text: str):
 
 
 def _groups(reps: DataFrame, classes: DataFrame, percent: int, tenths: int) -> DataFrame:
-    """``rep, n, class, group, tokens``: prefixes of the classes that may have partners."""
+    """``id, h, n, class, group, tokens``: prefixes of the classes that may have partners."""
     n = F.col("n")
     entries = reps.select("class", F.explode("least").alias("token"))
     often = entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -121,33 +129,40 @@ def _groups(reps: DataFrame, classes: DataFrame, percent: int, tenths: int) -> D
     # Shingles of one class only come first in the order and meet nobody.
     left = _kept(n, percent, tenths) - (_indexed(n, percent, tenths) - F.size("s"))
     prefixes = shared.where(left > 0).select(
-        "rep", "n", "class", F.transform(F.slice("s", 1, left), lambda x: x["token"]).alias("tokens")
+        "id", "h", "n", "class", F.transform(F.slice("s", 1, left), lambda x: x["token"]).alias("tokens")
     )
     prefixes = stage(prefixes, "jaccard-prefixes").withColumn("same", F.xxhash64("tokens"))
-    heads = prefixes.groupBy("n", "same").agg(F.min("rep").alias("group"))
+    heads = prefixes.groupBy("n", "same").agg(F.min("class").alias("group"))
     return stage(prefixes.join(heads, ["n", "same"]).drop("same"), "jaccard-groups")
 
 
-def _candidates(groups: DataFrame) -> DataFrame:
-    """``rep, class, n, part``: classes with possible partners; partners lie in one part."""
-    tokens = groups.where("rep = group").select("group", F.explode("tokens").alias("token"))
-    first = tokens.groupBy("token").agg(F.min("group").alias("first"), F.count("*").alias("k")).where("k > 1")
-    meets = tokens.join(first, "token").where("group <> first").select("group", "first").distinct()
+def _candidates(groups: DataFrame, percent: int) -> DataFrame:
+    """``id, h, class, n, part``: classes with possible partners; partners lie in one part.
+
+    Sizes in a ratio that fits lie in one size band or in neighbouring ones. A group meets others in its band's
+    slot and in the next, so pairs whose sizes don't fit meet only where sizes between them do.
+    """
+    # A little wider than the ratio, so that rounding separates no pair.
+    band = F.floor(F.log("n") / F.lit(1.0001 * np.log(100 / percent))) if percent < 100 else F.col("n")
+    tokens = groups.where("class = group").select("group", band.cast("int").alias("band"), F.explode("tokens").alias("token"))
+    slots = tokens.select("group", "token", F.explode(F.array("band", F.col("band") + 1)).alias("slot"))
+    first = slots.groupBy("token", "slot").agg(F.min("group").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
+    meets = slots.join(first, ["token", "slot"]).where("group <> first").select("group", "first").distinct()
     parts = connected_components(meets, "group", "first", "jaccard-parts")
-    placed = groups.join(parts, groups["group"] == parts["node"], "left").select(
-        "rep", "class", "n", F.coalesce("component", "group").alias("part")
+    return groups.join(parts, groups["group"] == parts["node"], "left").select(
+        "id", "h", "class", "n", F.coalesce("component", "group").alias("part")
     )
-    return placed
 
 
 def _verifier(size: int, percent: int):
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
-        """Links of one pair of blocks: each component's members, by its first member."""
-        sets, reps = [], []
-        column = pa.array(rows["body"], pa.string())
-        for rep, want, shingles in zip(rows["rep"], rows["class"], shingle_sets(column, size)):
-            if class_of(shingles) == want:
-                reps.append(rep)
+        """Links of classes in one pair of blocks: each component's members, by its first member."""
+        sets, reps, column = [], [], pa.array(rows["body"], pa.string())
+        seen = set()
+        for want, shingles in zip(rows["class"], shingle_sets(column, size)):
+            if want not in seen and class_of(shingles) == want:
+                seen.add(want)
+                reps.append(want)
                 sets.append(shingles)
         if len(sets) < 2:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
@@ -201,25 +216,53 @@ def _verifier(size: int, percent: int):
     return verify
 
 
-def _tasks(described: DataFrame, known: DataFrame, percent: int, tenths: int) -> DataFrame:
-    """``rep, class, part, i, j``: which classes are compared in which pair of blocks of a part."""
+def _tasks(described: DataFrame, classes: DataFrame, percent: int, tenths: int) -> DataFrame:
+    """``id, h, class, part, i, j``: which classes are compared in which pair of blocks of a part, and where their text is."""
     reps = described.join(
-        known.select(F.col("rep").alias("id"), "rep", F.col("class").alias("c"), F.col("n").alias("m")), "id"
-    ).where("class = c and n = m").select("rep", "class", "least").dropDuplicates(["rep", "class"])
-    placed = stage(_candidates(_groups(reps, known, percent, tenths)), "jaccard-placed")
+        classes.select(F.col("first.h").alias("h"), F.col("class").alias("c"), F.col("n").alias("m")), "h"
+    ).where("class = c and n = m").select("id", "h", "class", "least").dropDuplicates(["class"])
+    sizes = classes.select("class", "n", F.col("first.id").alias("id"), F.col("first.h").alias("h"))
+    placed = stage(_candidates(_groups(reps, sizes, percent, tenths), percent), "jaccard-placed")
     blocks = placed.groupBy("part").agg(
         F.count("*").alias("k"), F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")
     ).where("k > 1")
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    mine = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     spread = placed.join(blocks, "part").withColumn("mine", mine).select(
-        "rep", "class", "part", "mine",
+        "id", "h", "class", "part", "mine",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "blocks",
     )
     return spread.where("blocks = 1 or other <> mine").select(
-        "rep", "class", "part", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")
+        "id", "h", "class", "part", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")
     )
 
 
+def _labelled(df: DataFrame, key: str, text: str, size: int, percent: int, tenths: int) -> tuple[DataFrame, DataFrame]:
+    """Rows ``id, h, n, class``, and per class its first row, its group of linked classes and that group's first key and row."""
+    described = stage(_describe(df, key, text, size, percent, tenths), "jaccard-sets")
+    rows = stage(described.select("id", "h", "n", "class"), "jaccard-rows")
+    # Rows with a key come first; equal rows are the same first row.
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    classes = stage(rows.where("n > 0").groupBy("class", "n").agg(F.min(order).alias("first")), "jaccard-classes")
+    wanted = stage(_tasks(described, classes, percent, tenths), "jaccard-tasks")
+    forget_shuffles(df.sparkSession)
+    bodies = df.select(identity(df, key, text)[1], F.col(f"`{text}`").alias("body"))
+    repeated = stage(rows.where("n > 0").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "jaccard-repeated")
+    if not repeated.isEmpty():
+        # Repeated rows are fetched once.
+        once = bodies.join(repeated, "h", "left_semi").dropDuplicates(["h"])
+        bodies = bodies.join(repeated, "h", "left_anti").unionByName(once)
+    # A hash of key and text finds the row, null keys included; one plan at every size: texts and tasks meet by a shuffle.
+    links = bodies.join(wanted.drop("id").hint("merge"), "h").groupBy("part", "i", "j").applyInPandas(
+        _verifier(size, percent), _schema("a long, b long")
+    )
+    found = stage(connected_components(links, "a", "b", "jaccard-links"), "jaccard-components")
+    grouped = classes.join(found, classes["class"] == found["node"], "left").select(
+        "class", "n", "first", F.coalesce("component", "class").alias("group")
+    )
+    firsts = grouped.groupBy("group").agg(F.min("first").alias("least"))
+    return rows, stage(grouped.join(firsts, "group"), "jaccard-labels")
+
+
 def jaccard_components(
     df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90,
     tenths: int = INDEXED,
@@ -231,33 +274,37 @@ def jaccard_components(
     (of a prefix, 10 or more) are indexed: more tell shared passages apart better, fewer take less disk.
     """
     ship_package(df.sparkSession)
-    spark = df.sparkSession
-    with scratch(spark):
-        described = stage(_describe(df, key, text, size, percent, tenths), "jaccard-sets")
-        rows = stage(described.select("id", "n", "class"), "jaccard-rows", outer=True)
-        classes = stage(
-            rows.where("n > 0").groupBy("class", "n").agg(F.min("id").alias("rep")), "jaccard-classes", outer=True
-        )
-        wanted = stage(_tasks(described, classes.where("rep is not null"), percent, tenths), "jaccard-tasks")
-        forget_shuffles(spark)
-        bodies = df.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("body"))
-        # One plan at every size: texts and tasks meet by a shuffle.
-        links = bodies.join(wanted.hint("merge"), "rep").groupBy("part", "i", "j").applyInPandas(
-            _verifier(size, percent), _schema("a long, b long")
+    with scratch(df.sparkSession):
+        rows, labels = _labelled(df, key, text, size, percent, tenths)
+        joined = rows.join(labels.select("class", "n", "first", "least"), ["class", "n"], "left").select(
+            F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"),
+            F.coalesce("least.id", "id").alias("component_id"), F.coalesce("first.id", "id").alias("class_id"),
         )
-        found = stage(connected_components(links, "a", "b", "jaccard-links"), "jaccard-components", outer=True)
-    forget_shuffles(spark)
-    labelled = classes.join(found, classes["rep"] == found["node"], "left").select(
-        F.col("class").alias("c"), F.col("n").alias("m"), F.col("rep").alias("class_id"),
-        F.coalesce("component", "rep").alias("component_id"),
-    )
-    joined = rows.join(
-        labelled, (F.col("class") == F.col("c")) & (F.col("n") == F.col("m")), "left"
-    )
-    return joined.select(
-        F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"),
-        F.coalesce("component_id", "id").alias("component_id"), F.coalesce("class_id", "id").alias("class_id"),
-    )
+        result = stage(joined, "jaccard", outer=True)
+    forget_shuffles(df.sparkSession)
+    return result
+
+
+def first_of_components(
+    df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90, tenths: int = INDEXED
+) -> DataFrame:
+    """All columns of one row of each component: of the smallest key, of equal keys by a hash of the text.
+
+    Rows with an empty set are in no component; of repeated rows one stays. Rows without a key go like
+    others, and a row of theirs stays only where no key is in the component.
+    """
+    ship_package(df.sparkSession)
+    with scratch(df.sparkSession):
+        rows, labels = _labelled(df, key, text, size, percent, tenths)
+        kept = labels.select("class", "n", F.col("least.h").alias("kept"))
+        name = "_h"
+        while name in df.columns:
+            name += "_"
+        gone = rows.join(kept, ["class", "n"]).where("h <> kept").select(F.col("h").alias(name)).distinct()
+        gone = stage(gone, "jaccard-gone", outer=True)
+    forget_shuffles(df.sparkSession)
+    marked = df.withColumn(name, identity(df, key, text)[1])
+    return marked.join(gone, name, "left_anti").dropDuplicates([name]).drop(name)
 
 
 @query("op1_ngram_jaccard")
