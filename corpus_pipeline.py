@@ -3,19 +3,19 @@
 Every stage gets the table that its predecessor kept and returns the same columns; the last one returns
 token counts and digests. Between stages the table is written to the shared folder and read again.
 
-Null and empty texts are rejected by the first stage, as are texts without a letter. Rows without a key
-pass the near-duplicate stage untouched; of repeated rows of one key and text one stays. Columns beyond
-those of ``documents`` pass through every stage but the last.
+Null and empty texts are rejected by the first stage, as are texts without a letter. The near-duplicate stage
+groups texts, not keys: rows without a key and several texts of one key are documents like others, and of repeated rows
+one stays. Columns beyond those of ``documents``, whatever their names, pass through every stage but the last.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlens.llm import bpe, decontamination, language, line_dedup, ngram_jaccard
 from gridlens.llm.quality import NOT_WHITE
-from gridlens.session import stage
+from gridlens.session import scratch, stage
 
 # Mean probability of the found language below which a text is in none of the learnt ones.
 LANGUAGE_SCORE = 0.35
@@ -29,27 +29,30 @@ def _sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
+def _apart(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns of the given names called otherwise, and what gives them their names back."""
+    taken = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c in names}
+    return docs.withColumnsRenamed(taken), [F.col(f"`{taken.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of a learnt language."""
     network = language.train(docs.where(~language.held_out()))
-    clear = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    found = language.predict(docs, network, columns=clear)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE)).select(*clear)
+    apart, columns = _apart(docs, ("lang_pred", "score"))
+    found = language.predict(apart, network)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE)).select(*columns)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut repeated lines; documents of which nothing is left go."""
-    left = line_dedup.dedup_lines(docs).where((F.col("_removed") == 0) | F.col("text").rlike(NOT_WHITE))
-    return _sized(left.drop("_lines", "_removed")).select(*docs.columns)
+    apart, columns = _apart(docs, ("_lines", "_removed"))
+    left = line_dedup.dedup_lines(apart).where((F.col("_removed") == 0) | F.col("text").rlike(NOT_WHITE))
+    return _sized(left.select(*columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest key of each group of near copies."""
-    groups = ngram_jaccard.jaccard_components(docs, size=SHINGLE_WORDS, percent=SHINGLE_PERCENT, tenths=INDEXED_TENTHS)
-    gone = groups.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    keyed = docs.where("doc_id is not null").join(stage(gone, "near-duplicates"), "doc_id", "left_anti")
-    once = keyed.withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]).drop("_same")
-    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Keep one document of each group of near copies, that of the smallest key."""
+    return ngram_jaccard.first_of_components(docs, size=SHINGLE_WORDS, percent=SHINGLE_PERCENT, tenths=INDEXED_TENTHS).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,6 +81,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch(spark):
+        for name, function in STAGES[:-1]:
+            docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        return stage(STAGES[-1][1](spark, docs, sf_dir), "pipeline-tokens", outer=True)
