@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -43,6 +44,8 @@ def test_stages(spark, planted):
 
     unique = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, planted, SF_DIR).collect()}
     assert unique == {1, 4, 5, 6, 7, 8, 9, 10, 11}
+    named = corpus_pipeline.language_id(spark, planted.withColumn("lang_pred", planted.lang), SF_DIR)
+    assert named.columns == [*planted.columns, "lang_pred"] and {(r.score, r.lang_pred) for r in named.collect()} == {(7, "en")}
 
     clean = {r.doc_id: r for r in corpus_pipeline.benchmark_decontamination(spark, planted, SF_DIR).collect()}
     assert 11 not in clean and clean[5].text.startswith(texts[5].split("\n")[0])
@@ -50,6 +53,19 @@ def test_stages(spark, planted):
     assert all(clean[k].text == texts[k] for k in (1, 2, 3, 4, 6, 9, 10))
 
 
+def test_one_row_of_every_component(spark):
+    """Texts are grouped, not keys: several texts of a key, and rows without a key."""
+    a, b = words(1, 200), words(2, 200)
+    near = [*b[:90], "changed", *b[91:]]
+    rows = [(1, a), (2, a), (2, b), (None, a), (None, a), (3, near), (None, words(3, 50)), (None, words(3, 50)), (4, []), (4, []), (None, [])]
+    docs = spark.createDataFrame([(k, " ".join(t), "x", 1) for k, t in rows], "doc_id long, text string, h string, score int")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF_DIR)
+    assert kept.columns == docs.columns
+    got = sorted((str(r.doc_id), r.text) for r in kept.collect())
+    want = [("1", a), ("2", b), ("None", words(3, 50)), ("4", []), ("None", [])]
+    assert got == sorted((k, " ".join(t)) for k, t in want)
+
+
 def test_run(spark):
     library = Tokenizer.from_file(default_vocabulary())
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
@@ -63,6 +79,17 @@ def test_run(spark):
     assert same > 0.5 * len(rows)
 
 
+def test_clashing_names(spark, planted):
+    """Columns with the names of the operators' own pass through every stage."""
+    extra = {c: F.lit("mine") for c in ("_lines", "_removed", "lang_pred", "_h", "h", "_hit", "_items", "_words", "_c0", "class")}
+    docs = planted.withColumns(extra).where("doc_id in (1, 3, 4, 9, 10)")
+    for _, function in corpus_pipeline.STAGES[:-1]:
+        out = function(spark, docs, SF_DIR)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == "mine" for r in rows for c in extra)
+
+
 def test_empty(spark, planted):
     docs = planted.limit(0)
     for _, function in corpus_pipeline.STAGES:
