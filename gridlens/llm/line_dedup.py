@@ -86,7 +86,8 @@ def _lines(df: DataFrame, key: str, text: str, min_words: int, near_words: int)
 
     described = F.transform(F.split(F.col(f"`{text}`"), "\n", -1), describe)
     rows = df.select(*_identity(df, key, text), F.filter(described, lambda x: x["long"]).alias("_l"))
-    return rows.select("_k", "_h", F.inline("_l")).drop("long")
+    # Not ``inline``: Spark puts a filter on the list before it, and that filter describes every line once more.
+    return rows.select("_k", "_h", F.inline_outer("_l")).where("line is not null").drop("long")
 
 
 def _near(df: DataFrame, distinct: DataFrame, key: str, text: str, near_words: int) -> DataFrame:

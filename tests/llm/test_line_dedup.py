@@ -93,3 +93,15 @@ def test_odd_rows(spark):
     got = sorted((r.doc_id or -1, r.text or "", r._removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(-1, "and own words of its own", 1), (1, line, 0), (1, line, 0), (2, "", 1), (3, "", 0), (3, "", 0)]
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_lines_are_described_once(spark):
+    """The plan splits a line into words once, and rows without lines to describe leave none."""
+    line = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, line), (2, "own\n" + line + " more\nshort"), (3, "short\n\n"), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = line_dedup._lines(df, "doc_id", "text", line_dedup.MIN_WORDS, line_dedup.NEAR_WORDS)
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count(line_dedup.WHITE) == 1
+    assert sorted((r._k, r["at"], r.n) for r in lines.collect()) == [(1, 0, 12), (2, 1, 13)]
+    got = {r.doc_id: (r.text, r._removed) for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {1: (line, 0), 2: ("own\nshort", 1), 3: ("short\n\n", 0), 4: (None, 0), 5: ("", 0)}
