@@ -6,6 +6,9 @@ token counts and digests. Between stages the table is written to the shared fold
 Null and empty texts are rejected by the first stage, as are texts without a letter. The near-duplicate stage
 groups texts, not keys: rows without a key and several texts of one key are documents like others, and of repeated rows
 one stays. Columns beyond those of ``documents``, whatever their names, pass through every stage but the last.
+
+All stages run in one application, whose executors keep the heap they once had. What is outside of it, the rows exchanged
+with Python workers, is bounded by every stage that has such workers.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 
 from gridlens.llm import bpe, decontamination, language, line_dedup, ngram_jaccard
 from gridlens.llm.quality import NOT_WHITE
-from gridlens.session import scratch, stage
+from gridlens.session import bound_batches, scratch, stage
 
 # Mean probability of the found language below which a text is in none of the learnt ones.
 LANGUAGE_SCORE = 0.35
@@ -37,6 +40,7 @@ def _apart(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[Col
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of a learnt language."""
+    bound_batches(spark)
     network = language.train(docs.where(~language.held_out()))
     apart, columns = _apart(docs, ("lang_pred", "score"))
     found = language.predict(apart, network)
@@ -52,17 +56,20 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies, that of the smallest key."""
+    bound_batches(spark)
     return ngram_jaccard.first_of_components(docs, size=SHINGLE_WORDS, percent=SHINGLE_PERCENT, tenths=INDEXED_TENTHS).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut benchmark passages; documents of which nothing is left go."""
+    bound_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _sized(decontamination.decontaminate(docs, benchmark, keep_emptied=False))
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
+    bound_batches(spark)
     return bpe.digests(docs, bpe.default_vocabulary())
 
 

@@ -38,7 +38,9 @@ ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 def character_classes() -> np.ndarray:
     """The class of every code point: white space, letter, number or other."""
     classes = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    # Decoded at once: a join holds a string object for every code point, in each worker.
+    points = np.concatenate([np.arange(0xD800, dtype="<u4"), np.arange(0xE000, 0x110000, dtype="<u4")])
+    every = points.tobytes().decode("utf-32-le")
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
         for found in regex.finditer(pattern, every):
             for char in found[0]:

@@ -82,6 +82,22 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+# Bytes of rows that a task and its Python worker exchange at a time.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Let Arrow batches end with the row that reaches ``most`` bytes. A lower bound of the session stays.
+
+    Spark's own bound is 64 MB, and of each batch in work there are copies outside the heap of an executor and in its
+    worker, for each of its tasks and each way. Spark reads the setting when a plan runs, so it stays set.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(name, None)
+    if given is None or spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(given) > most:
+        spark.conf.set(name, str(most))
+
+
 # Folders made inside each open scope, the innermost last.
 _SCOPES: list[list[str]] = []
 

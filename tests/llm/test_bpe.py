@@ -1,6 +1,7 @@
 """Encoding against the tokenizers library, and the round trip."""
 
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,19 @@ def path():
     return bpe.default_vocabulary()
 
 
+def test_class_table_in_small_memory():
+    """Every worker builds the table; it needs few times the code points' bytes, and is right for each kind."""
+    tracemalloc.start()
+    classes = bpe.character_classes.__wrapped__()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000
+    assert [classes[ord(c)] for c in "aß漢\U0001e943 \n\u3000½٣\U0001f600'"] == [
+        *[bpe.LETTER] * 4, *[bpe.SPACE] * 3, *[bpe.NUMBER] * 2, *[bpe.OTHER] * 2
+    ]
+    assert classes[0xD7FF] == classes[0xD800] == classes[0xDFFF] == classes[0xE000] == bpe.OTHER
+
+
 CASES = [
     None, "", " ", "  ", "\n", "a", "it's we're I'll he'd'm 'tis ''s 's  's \t's", "  two  blanks \n\n next\r\n ",
     "<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>  ", "<|endoftext", "aaaaaaaaaaaaa bbbb aaaa",
